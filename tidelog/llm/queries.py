@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.bpe import encode_decode_digests
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.mixing import mix
 from tidelog.llm.quality_rules import ledger, verdict
-from tidelog.llm.shared import table
+from tidelog.llm.shared import table, tokenizer_path
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_mixing": op8_mixing,
+    "op10_bpe": op10_bpe,
 }

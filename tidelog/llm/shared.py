@@ -29,3 +29,10 @@ def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty. lower() does the same where all characters are ASCII."""
     text = F.coalesce(text, F.lit(""))
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where a vocabulary file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
