@@ -49,4 +49,30 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, coalesc
 FROM q LEFT JOIN got ON q.doc_id IS NOT DISTINCT FROM got.doc_id AND q.size = got.size AND q.cum = got.cum
 """
 
-ORACLE_SQL = {"op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op8_mixing": OP8}
+OP1 = r"""
+WITH t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
+i AS (SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS idx FROM t),
+p AS (SELECT conv_id, turns[:idx[-1]] AS c,
+  CASE WHEN len(idx) = 1 THEN turns[:idx[-1] - 1] ELSE list_append(turns[:idx[-1] - 1], {'role': 'assistant', 'text': turns[idx[1]].text}) END AS r FROM i WHERE len(idx) > 0),
+k AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r))) AS n FROM p),
+s AS (SELECT conv_id, n, c[:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM k),
+x AS (SELECT conv_id, n,
+  list_transform(p, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)) AS xp,
+  list_transform(c, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)) AS xc,
+  list_transform(r, lambda t: '<|im_start|>' || coalesce(t.role, '') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10)) AS xr, c, r FROM s),
+y AS (SELECT *, list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(xc[:i - 1], lambda z: length(z))), 0) + 22)::BIGINT || '-' || (list_sum(list_transform(xc[:i], lambda z: length(z))) - 1)::BIGINT) AS mc,
+  list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i:
+    (coalesce(list_sum(list_transform(xr[:i - 1], lambda z: length(z))), 0) + 22)::BIGINT || '-' || (list_sum(list_transform(xr[:i], lambda z: length(z))) - 1)::BIGINT) AS mr FROM x)
+SELECT conv_id, n::BIGINT AS n_prompt_turns, array_to_string(xp, '') AS prompt, array_to_string(xc, '') AS chosen, array_to_string(xr, '') AS rejected,
+  array_to_string(mc, ',') AS chosen_mask, array_to_string(mr, ',') AS rejected_mask, xc IS DISTINCT FROM xr AND len(mc) > 0 AND len(mr) > 0 AS usable FROM y
+"""
+
+OP6 = rf"""
+WITH c AS (SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS words, len(regexp_extract_all(coalesce(text, ''), '\p{{L}}+')) AS letters,
+  len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}]+')) AS alnum FROM documents),
+d AS (SELECT source, lang, 'words-1' AS tokenizer, words AS tokens FROM c WHERE words >= 50 UNION ALL SELECT source, lang, 'runs-1', alnum FROM c WHERE words >= 50)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+"""
+
+ORACLE_SQL = {"op1_preference_format": OP1, "op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op6_token_counts": OP6, "op8_mixing": OP8}
