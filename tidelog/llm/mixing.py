@@ -50,7 +50,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return level.select("source", "source_size", "weight", "target", "total")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2, rows_per_bucket: int = 20_000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
     """One row per document: id_col, size, source_size, target, taken (words the mix takes, repeats counted).
 
     The document at the end of the budget is taken in part. Null text is of size 0, null source is a source
@@ -61,7 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("at", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))),
         "mix-sized",
     )
-    buckets = max(1, -(-sized.count() // rows_per_bucket))
+    buckets = math.isqrt(sized.count()) + 1  # as many buckets as rows in one: neither level outgrows a task
     nulls = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("key")]
     rows = sized.select("id", "size", "at", "source", *nulls, F.floor(F.conv(F.substring("at", 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).alias("bucket"))
     sums = rows.groupBy("no_source", "key", "bucket").agg(F.sum("size").alias("n"))
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     queued = rows.withColumn("cum", F.sum("size").over(inside)).join(offsets, ["no_source", "key", "bucket"]).withColumn("cum", F.col("cum") + F.col("offset"))
     queued = materialize(queued.select("id", "size", "at", "no_source", "key", "cum", "source_size", "target", "total"), "mix-queued")
 
-    finishes = [F.floor(F.least((F.col("source_size") * e + F.col("cum")) / F.col("target"), F.lit(2.0)) * (buckets * 8)).alias(f"slot{e}") for e in range(max_epochs)]
+    finishes = [F.floor(F.least((F.col("source_size") * e + F.col("cum")) / F.col("target"), F.lit(2.0)) * buckets).alias(f"slot{e}") for e in range(max_epochs)]
     positive = queued.filter("size > 0").select("size", "total", *finishes)
     slots = positive.select("size", "total", F.explode(F.array(*[f"slot{e}" for e in range(max_epochs)])).alias("slot")).groupBy("slot").agg(F.sum("size").alias("n"), F.max("total").alias("total"))
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
