@@ -14,6 +14,7 @@ from tidelog.llm.preference_format import conversation_turns, format_preferences
 from tidelog.llm.quality_rules import ledger, verdict
 from tidelog.llm.shared import table, tokenizer_path, word_count
 from tidelog.llm.token_counts import TokenRollup
+from tidelog.llm.toxicity import fit, score
 from tidelog.llm.warc import read_records, write_bundles
 from tidelog.session import materialize, work_path
 
@@ -64,6 +65,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
     "op10_bpe": op10_bpe,
 }

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT, STEP, BITS, DECAY = 24, 16, 17, 0.7
+UNIT, STEP, BITS, DECAY = 24, 8, 17, 0.7
 #: Offsets of the characters of a subsequence from its first one, by length and greatest span.
 SHAPES = [(0, *c) for n, span in ((3, 6), (4, 7)) for c in combinations(range(1, span), n - 1)]
 WORD_SPLIT, SPELLED = re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){3,}[^\W\d_](?!\S)")
