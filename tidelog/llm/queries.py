@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import encode_decode_digests
 from tidelog.llm.exact_dedup import exact_dedup
+from tidelog.llm.jaccard_join import jaccard_components
 from tidelog.llm.mixing import mix
 from tidelog.llm.preference_format import conversation_turns, format_preferences, stale_reply_pairs
 from tidelog.llm.quality_rules import ledger, verdict
@@ -74,6 +75,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -86,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_bpe": op10_bpe,
 }
