@@ -13,6 +13,7 @@ from tidelog.llm.jaccard_join import jaccard_components
 from tidelog.llm.mixing import mix
 from tidelog.llm.preference_format import conversation_turns, format_preferences, stale_reply_pairs
 from tidelog.llm.quality_rules import ledger, verdict
+from tidelog.llm.repeats import remove_repeats
 from tidelog.llm.shared import table, tokenizer_path, word_count
 from tidelog.llm.token_counts import TokenRollup
 from tidelog.llm.toxicity import fit, score
@@ -46,6 +47,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~verdict(F.col("fail_bits"), "base")).alias("base_failed"), verdict(F.col("fail_bits"), "v1").alias("kept"), "n_lines", "fail_bits")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents, one of them committed twice.
 
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_warc": op3_warc,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_mixing": op8_mixing,
