@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidelog.llm.bwt import Shard, merge
+from tidelog.llm.bwt import Shard, merge, repeated_intervals
 
 
 def rotation(shard, start, length):
@@ -29,8 +29,15 @@ def test_merged_rows_are_in_order_with_their_common_prefixes():
         for i in range(1, len(rows)):
             common = next((j for j in range(depth) if rows[i][j] != rows[i - 1][j]), depth)
             assert prefix[i] == (depth if common == depth else common // step * step)
+        tied = (prefix == depth) | np.append(prefix[1:] == depth, False)
+        interval, of2, start2 = repeated_intervals(shards, depth, step)
+        assert sorted(zip(of2.tolist(), start2.tolist())) == sorted(zip(of[tied].tolist(), start[tied].tolist()))
+        for i in range(1, len(of2)):
+            a, b = (rotation(shards[of2[j]], start2[j], depth) for j in (i - 1, i))
+            assert (interval[i] == interval[i - 1]) == (a == b) and a <= b
 
 
 def test_nothing_to_merge():
     assert [len(x) for x in merge([], 8)] == [0, 0, 0]
     assert [len(x) for x in merge([Shard([])], 8)] == [0, 0, 0]
+    assert [len(x) for x in repeated_intervals([Shard([])], 8)] == [0, 0, 0]

@@ -222,7 +222,14 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def finish(values, names):
         counts = np.array([len(v) for v in values], np.int64)
-        return lambda at: (int(counts[at].sum()), [i for w in at.tolist() for i in values[w]])
+        flat, starts = np.fromiter((i for v in values for i in v), np.int32, int(counts.sum())), np.cumsum(counts) - counts
+
+        def one(at):
+            n = counts[at]
+            total = int(n.sum())
+            return total, flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(total)]
+
+        return one
 
     schema = pa.schema([(id_col, arrow), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return _apply(docs, tokenizer_path, id_col, text_col, f"`{id_col}` {sql}, n_tokens long, ids array<int>", schema, finish, chunk_bytes, n_parts)

@@ -47,19 +47,22 @@ def mask(rules: tuple[str, ...], known: tuple[Rule, ...] = RULES) -> int:
     return sum(1 << at[name] for name in set(rules))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The measures of each document, from one pass over its words.
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole_row: bool = False) -> DataFrame:
+    """The measures of each document, from one pass over its words; whole_row adds all its columns as a struct `row`.
 
     n_repeat_words: words in 3-word windows that the text has twice or more. The windows' hashes are
     sorted with their positions, so equal windows stand side by side; the positions of those, sorted
     again, cover min(3, gap to the next) words each. Only texts with an equal pair pay for the sort.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    base = base.select("id", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    row = [F.struct("*").alias("row")] if whole_row else []
+    base = docs.select(F.col(id_col).alias("id"), text.alias("t"), *row)
+    row = ["row"] if whole_row else []
+    base = base.select("id", "t", *row, words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     hashed = F.transform("w", lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2)))
     base = base.select(
         "id",
+        *row,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -72,10 +75,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twice = F.filter("s", lambda x, i: (x["h"] == F.get("s", i - 1)["h"]) | (x["h"] == F.get("s", i + 1)["h"]))
     at = sorted_.withColumn("p", F.sort_array(F.transform(twice, lambda x: x["i"]))).drop("s")
     covered = F.aggregate(F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return at.select(F.col("id").alias(id_col), *[F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words") if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    return at.select(F.col("id").alias(id_col), *row, *[F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words") if m == "n_repeat_words" else F.col(m) for m in MEASURES])
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, whole_row: bool = False) -> DataFrame:
     """id_col, the measures and fail_bits (long): every rule evaluated once.
 
     A null or empty text has all measures 0 and fails few_words and no_words. Rows are independent, so
@@ -85,7 +88,17 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     total: Column = bits[0]
     for b in bits[1:]:
         total = total.bitwiseOR(b)
-    return measured(docs, id_col, text_col).withColumn("fail_bits", total)
+    return measured(docs, id_col, text_col, whole_row).withColumn("fail_bits", total)
+
+
+def keep_good(docs: DataFrame, policy: str = "v1", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that a policy keeps, with their columns; nothing is shuffled.
+
+    Rows leave by an explode of at most one row: a filter would be pushed below the measures, each spelled out
+    wherever the next one names it.
+    """
+    kept = F.when(verdict(F.col("fail_bits"), policy), F.array("row"))
+    return ledger(docs, id_col, text_col, whole_row=True).select(F.explode(kept).alias("row")).select("row.*")
 
 
 def verdict(bits: Column, policy: str, policies: dict[str, tuple[str, ...]] | None = None, rules: tuple[Rule, ...] = RULES) -> Column:
