@@ -64,6 +64,17 @@ class Shard:
             gram |= self.text[at].astype(np.uint32) << np.uint32(8 * k)
         return gram[self.order]
 
+    def moves(self, step: int) -> np.ndarray:
+        """Of each row, the row that begins `step` bytes before it (the transform's own map, `step` times)."""
+        row = np.empty(len(self.text), np.int32)
+        row[self.order] = np.arange(len(self.text), dtype=np.int32)
+        previous = np.empty(len(self.text), np.int32)
+        previous[self.next] = np.arange(len(self.text), dtype=np.int32)
+        at = self.order
+        for _ in range(step):
+            at = previous[at]
+        return row[at]
+
 
 def merge(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merged rows of at most 256 shards: shard and start of each, and its common prefix with the row before.
@@ -108,3 +119,33 @@ def merge(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, n
     for s, shard in enumerate(shards):
         start[interleave == s] = shard.order
     return interleave, start, prefix
+
+
+def repeated_intervals(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged rows with a common prefix of at least `depth` with a neighbour: interval, shard and start of each.
+
+    The refinement of merge(), kept to rows that still share a block: a row that the first k bytes tell from all
+    others is told apart by `step` more bytes wherever it moves, so it and its moves are never looked at again.
+    depth is a multiple of step.
+    """
+    if not sum(len(s.text) for s in shards):
+        return np.empty(0, np.int32), np.empty(0, np.uint8), np.empty(0, np.int64)
+    alphabet, codes = np.unique(np.concatenate([s.before(step) for s in shards]), return_inverse=True)
+    small = len(alphabet) <= 1 << 16
+    codes = codes.astype(np.uint16 if small else np.int64)
+    cuts = np.cumsum([0] + [len(s.text) for s in shards])
+    moves = np.concatenate([s.moves(step) + np.int32(a) for s, a in zip(shards, cuts, strict=False)])
+    rows, block = np.arange(cuts[-1], dtype=np.int32), np.zeros(cuts[-1], np.int32)
+    for _ in range(0, depth, step):
+        c = codes[rows]
+        order = np.argsort(c, kind="stable")
+        c, block, rows = c[order], block[order], moves[rows[order]]
+        new = np.ones(len(rows) + 1, bool)
+        new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])
+        tied = ~(new[1:] & new[:-1])
+        block, rows = np.cumsum(new[:-1], dtype=np.int32)[tied], rows[tied]
+        if not len(rows):
+            break
+    of = (np.searchsorted(cuts, rows, side="right") - 1).astype(np.uint8)
+    start = np.concatenate([s.order for s in shards])[rows]
+    return block, of, start

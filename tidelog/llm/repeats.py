@@ -11,8 +11,8 @@ one before). The strings of `width` bytes are called windows here.
    first within each task and then within a part; the later places are repeats as a whole. Runs of a hash with
    very many places (the edge of a passage that many texts quote) are cut again by a longer gram and spread.
 3. *Merge.* A part orders its segments by hash and takes them in collections of bounded size: each collection's
-   shards get their transforms, and the merge by interleave refinement gives the common prefixes of neighbouring
-   rows. Rows with a common prefix of `width` are one repeated interval: its earliest window stays, the others go.
+   shards get their transforms, and the merge by interleave refinement tells the rows apart `step` bytes at a time.
+   Rows that still share their first `width` bytes are one repeated interval: its earliest window stays, the others go.
 4. *Cut.* Ranges come together by document, and the bytes outside them stay.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import pack, unpack
-from tidelog.llm.bwt import Shard, merge
+from tidelog.llm.bwt import Shard, repeated_intervals
 from tidelog.llm.jaccard_join import BLOBS, _rows, runs_of
 from tidelog.session import materialize
 
@@ -238,16 +238,13 @@ def repeated_windows(strings: list[bytes], k: np.ndarray, s: np.ndarray, width:
     n_shards = max(1, min(255, -(-sum(map(len, strings)) // SHARD)))
     numbers = [np.arange(i, len(strings), n_shards) for i in range(min(n_shards, len(strings)))]
     shards = [Shard([strings[j] for j in own]) for own in numbers]
-    of, start, prefix = merge(shards, width)
+    interval, of, start = repeated_intervals(shards, width, next(x for x in (4, 2, 1) if width % x == 0))
     string, offset = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
     for i, (shard, own) in enumerate(zip(shards, numbers, strict=True)):
         mine = of == i
-        at = start[mine]
-        first = shard.first[at]
-        begins = np.flatnonzero(np.concatenate([[True], shard.first[1:] != shard.first[:-1]]))
-        string[mine] = own[np.searchsorted(begins, first)]
-        offset[mine] = at - first
-    interval = np.cumsum(prefix < width) - 1
+        first = shard.first[start[mine]]
+        string[mine] = own[np.searchsorted(np.unique(shard.first), first)]
+        offset[mine] = start[mine] - first
     lengths = np.array([len(x) for x in strings], np.int64)
     whole = offset + width <= lengths[string]  # windows, and not rows that pass a string's end
     interval, string, offset = interval[whole], string[whole], offset[whole]
