@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,27 +39,19 @@ from tidelog.session import materialize
 
 #: A token in more documents than this is frequent.
 RARE = 8
+#: Signatures from here on are pairs of frequent tokens.
+PAIRS = 1 << 62
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Odd multipliers of the words of a shingle.
 MULTIPLIERS = np.array([int.from_bytes(hashlib.blake2b(b"shingle %d" % i, digest_size=8).digest(), "little") | 1 for i in range(64)], np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, each computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 2_000_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def shingles(text: bytes, hashes: WordHashes, size: int = 5) -> np.ndarray:
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles; of fewer words, one of the whole sequence; empty without words."""
     found = text.translate(LOWER).split()
     if not found:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    w = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
     k = min(size, len(w))
     n = len(w) - k + 1
     h = np.full(n, np.uint64(k))
@@ -67,7 +60,8 @@ def shingles(text: bytes, hashes: WordHashes, size: int = 5) -> np.ndarray:
     h ^= h >> np.uint64(29)
     h *= MULTIPLIERS[63]
     h ^= h >> np.uint64(32)
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def most_missing(n, threshold: float):
@@ -81,17 +75,20 @@ def bound(n: float, threshold: float) -> np.uint64:
     return np.uint64(int(share * (1 << 48)))
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union."""
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
-
-
 def close(na, nb, percent: int):
     """The sizes allow a link."""
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
+def may_link(sig, n1, rare1, n2, rare2, percent: int):
+    """The sizes allow a link; and where only frequent tokens can be common, there are enough of those.
+
+    Documents that meet by a pair and by no rare token have none in common: a prefix with pairs has all rare tokens.
+    """
+    common = F.least(n1 - rare1, n2 - rare2)
+    return close(n1, n2, percent) & ((sig < PAIRS) | (common * (100 + percent) >= (n1 + n2) * percent))
+
+
 def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of equal neighbours."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
@@ -99,7 +96,7 @@ def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(tokens: np.ndarray, is_frequent: np.ndarray, threshold: float) -> np.ndarray:
-    """The extended prefix of a document: single rare tokens (below 2^48) and pairs of frequent ones (above)."""
+    """The extended prefix of a document: single rare tokens (below PAIRS) and pairs of frequent ones (above)."""
     n = len(tokens)
     lacks = int(most_missing(n, threshold))
     rare = tokens[~is_frequent][: lacks + 1]
@@ -121,7 +118,7 @@ def signatures(tokens: np.ndarray, is_frequent: np.ndarray, threshold: float) ->
             i, j = np.triu_indices(length, 1)
             h = (at[i] * MULTIPLIERS[1] + at[j] * MULTIPLIERS[2] + np.uint64(level)) * MULTIPLIERS[3]
             h ^= h >> np.uint64(31)
-            out.append(((h >> np.uint64(2)) | np.uint64(1 << 62)).astype(np.int64))
+            out.append(((h >> np.uint64(2)) | np.uint64(PAIRS)).astype(np.int64))
     return np.concatenate(out)
 
 
@@ -134,27 +131,16 @@ BLOBS = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _sizes(source: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """Per row: set size, tokens below the bound, digest of the set."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            n, q, digests = [], [], []
-            for text in batch.column(1):
-                u = shingles((text.as_py() or "").encode(), hashes, shingle)
-                n.append(len(u))
-                q.append(int(np.searchsorted(u >> np.uint64(16), bound(len(u), threshold))))
-                digests.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest())
-            yield _rows(SIZES, [batch.column(0), n, q, digests])
-
-    return source.mapInArrow(measure, "id long, n long, q long, digest binary")
-
-
-def _single_index(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_tokens: int = 1 << 20) -> DataFrame:
-    """kind 0: ids that share a rare token; kind 1: an id and how many of its tokens below its bound are frequent."""
+def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_tokens: int = 1 << 20) -> DataFrame:
+    """One pass over the texts. Rows of part -1 hold ids (null ones too), set sizes, tokens below the bound and
+    digests of sets; the others hold the tokens of a part with their documents."""
 
-    def flush(ids: list, tokens: list, flags: list) -> Iterator[pa.RecordBatch]:
+    def flush(sizes: list, ids: list, tokens: list, flags: list) -> Iterator[pa.RecordBatch]:
+        if sizes:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, SIZES) as w:
+                w.write_batch(_rows(SIZES, zip(*sizes, strict=True)))
+            yield _rows(BLOBS, [[-1], [pack(sink.getvalue().to_pybytes())]])
         if not tokens:
             return
         owner = np.repeat(np.array(ids, np.int64), [len(t) for t in tokens])
@@ -170,33 +156,46 @@ def _single_index(source: DataFrame, threshold: float, shingle: int, parts: int,
         part = (t % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((t, part))
         ends = np.searchsorted(part[order], np.arange(parts + 1))
-        rows = []
         for p in range(parts):
             at = order[ends[p] : ends[p + 1]]
             if len(at):
                 delta = np.diff(t[at], prepend=np.uint64(0))
-                rows.append((p, pack(delta, owner[at], f[at].view(np.uint8) + 2 * mark[at])))
+                yield _rows(BLOBS, [[p], [pack(delta, owner[at], f[at].view(np.uint8) + 2 * mark[at])]])
         if len(hot_ids):
-            rows.append((int(hot_ids[0] % parts), pack(np.empty(0, np.uint64), hot_ids, hot_counts.astype(np.int64))))
-        for a in range(0, len(rows), 64):
-            yield _rows(BLOBS, zip(*rows[a : a + 64], strict=True))
+            yield _rows(BLOBS, [[int(hot_ids[0] % parts)], [pack(np.empty(0, np.uint64), hot_ids, hot_counts.astype(np.int64))]])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, tokens, flags, size = WordHashes(), [], [], [], 0
+        held, size = ([], [], [], []), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                u = shingles((text.as_py() or "").encode(), hashes, shingle)
-                if len(u):
-                    t = u >> np.uint64(16)
+                u = shingles((text.as_py() or "").encode(), shingle)
+                t = u >> np.uint64(16)
+                held[0].append((doc_id, len(u), int(np.searchsorted(t, bound(len(u), threshold))), hashlib.blake2b(u.tobytes(), digest_size=16).digest()))
+                if len(u) and doc_id is not None:
                     t = t[: np.searchsorted(t, bound(threshold * len(u), threshold))]
-                    ids.append(doc_id)
-                    tokens.append(t)
-                    flags.append(t < bound(len(u), threshold))
+                    for to, x in zip(held[1:], (doc_id, t, t < bound(len(u), threshold)), strict=True):
+                        to.append(x)
                     size += len(t)
-                if size >= chunk_tokens:
-                    yield from flush(ids, tokens, flags)
-                    ids, tokens, flags, size = [], [], [], 0
-        yield from flush(ids, tokens, flags)
+                if size >= chunk_tokens or len(held[0]) >= 1 << 16:
+                    yield from flush(*held)
+                    held, size = ([], [], [], []), 0
+        yield from flush(*held)
+
+    return source.mapInArrow(emit, "part int, payload binary")
+
+
+def _sizes(scanned: DataFrame) -> DataFrame:
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                with pa.ipc.open_stream(unpack(payload.as_py())[0]) as reader:
+                    yield from reader
+
+    return scanned.filter("part = -1").select("payload").mapInArrow(unpacked, "id long, n long, q long, digest binary")
+
+
+def _single_index(scanned: DataFrame) -> DataFrame:
+    """kind 0: ids that share a rare token; kind 1: an id and how many of its tokens below its bound are frequent."""
 
     def meet(table: pa.Table) -> pa.Table:
         tokens, owners, flags, out = [], [], [], [np.empty((0, 3), np.int64)]
@@ -231,7 +230,7 @@ def _single_index(source: DataFrame, threshold: float, shingle: int, parts: int,
         found = np.concatenate(out)
         return pa.table([pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2])], schema=FOUND)
 
-    return source.mapInArrow(emit, "part int, payload binary").groupBy("part").applyInArrow(meet, "kind int, a long, b long")
+    return scanned.filter("part >= 0").groupBy("part").applyInArrow(meet, "kind int, a long, b long")
 
 
 def _pool(source: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
@@ -245,11 +244,10 @@ def _pool(source: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
             yield _rows(zipped, [b.column(0), [c.compress((t.as_py() or "").encode()) for t in b.column(1)]])
 
     def right_ones(batches):
-        hashes = WordHashes()
         for b in batches:
             rows = []
             for digest, n, hard, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                u = shingles(zstandard.ZstdDecompressor().decompress(z), hashes, shingle)
+                u = shingles(zstandard.ZstdDecompressor().decompress(z), shingle)
                 if hashlib.blake2b(u.tobytes(), digest_size=16).digest() == digest:  # an id may repeat with another text
                     rows.append((digest, n, hard, z))
             if rows:
@@ -260,51 +258,89 @@ def _pool(source: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
 
 
 def _combination_index(hard: DataFrame, threshold: float, shingle: int) -> DataFrame:
-    """sig, digest, n: the extended prefixes of the documents that rare tokens don't settle."""
+    """sig, digest, n, rare (number of rare tokens): the extended prefixes of the documents that rare tokens don't settle."""
     token_rows = pa.schema([("digest", pa.binary()), ("token", pa.int64())])
-    sig_rows = pa.schema([("sig", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
+    sig_rows = pa.schema([("sig", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("rare", pa.int64())])
 
     def explode(batches):
-        hashes = WordHashes()
         for b in batches:
             for digest, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t = (shingles(zstandard.ZstdDecompressor().decompress(z), hashes, shingle) >> np.uint64(16)).astype(np.int64)
+                t = (shingles(zstandard.ZstdDecompressor().decompress(z), shingle) >> np.uint64(16)).astype(np.int64)
                 yield _rows(token_rows, [[digest] * len(t), t])
 
     def sign(batches):
-        hashes = WordHashes()
         for b in batches:
             for digest, n, z, common in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                t = shingles(zstandard.ZstdDecompressor().decompress(z), hashes, shingle) >> np.uint64(16)
-                s = signatures(t, np.isin(t, np.array(common or [], np.uint64)), threshold)
-                yield _rows(sig_rows, [s, [digest] * len(s), [n] * len(s)])
+                t = shingles(zstandard.ZstdDecompressor().decompress(z), shingle) >> np.uint64(16)
+                is_frequent = np.isin(t, np.array(common or [], np.uint64))
+                s = signatures(t, is_frequent, threshold)
+                yield _rows(sig_rows, [s, [digest] * len(s), [n] * len(s), [int((~is_frequent).sum())] * len(s)])
 
     tokens = hard.select("digest", "z").mapInArrow(explode, "digest binary, token long")
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") > RARE).select("token")
     common = tokens.join(frequent, "token").groupBy("digest").agg(F.collect_list("token").alias("common"))  # a document's tokens at most
-    return hard.join(common, "digest", "left").select("digest", "n", "z", "common").mapInArrow(sign, "sig long, digest binary, n long")
+    return hard.join(common, "digest", "left").select("digest", "n", "z", "common").mapInArrow(sign, "sig long, digest binary, n long, rare long")
 
 
-def _verified(pairs: DataFrame, pool: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Of the pairs of digests a, b those that link."""
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def _compared(pairs: DataFrame, pool: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs of digests a, b with their common tokens and whether they link."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("common", pa.int64()), ("linked", pa.bool_())])
 
     def compare(batches):
-        hashes, sets = WordHashes(), {}
+        sets = {}
 
         def of(digest, z):
             if digest not in sets:
                 if len(sets) >= 256:
                     sets.clear()
-                sets[digest] = shingles(zstandard.ZstdDecompressor().decompress(z), hashes, shingle)
+                sets[digest] = shingles(zstandard.ZstdDecompressor().decompress(z), shingle)
             return sets[digest]
 
         for batch in batches:
-            keep = [linked(of(a, za), of(b, zb), percent) for a, b, za, zb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
-            yield _rows(schema, [batch.column(0), batch.column(1)]).filter(pa.array(keep, pa.bool_()))
+            rows = []
+            for a, b, za, zb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                x, y = of(a, za), of(b, zb)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                rows.append((common, common > 0 and 100 * common >= percent * (len(x) + len(y) - common)))
+            if rows:
+                yield _rows(schema, [batch.column(0), batch.column(1), *zip(*rows, strict=True)])
 
     left, right = pool.select(F.col("digest").alias("a"), F.col("z").alias("za")), pool.select(F.col("digest").alias("b"), F.col("z").alias("zb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(compare, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(compare, "a binary, b binary, common long, linked boolean")
+
+
+def _across(signed: DataFrame, compared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b that share a signature, may link, and are in different components so far.
+
+    A rare token has at most RARE documents, so those meet as they are. Documents that meet by frequent tokens meet
+    once for each leader they share, whatever number of signatures brought them to it, and only those outside the
+    leader's component look for partners. With a leader L, x and y have at most
+    min(|x & L|, |y & L|) + min(other frequent tokens of x, of y) + rare tokens of L in common.
+    """
+    label = labels.withColumnRenamed("node", "digest")
+    placed = lambda df: df.join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    sides = lambda df, cols: [df.select(*[c for c in df.columns if c not in cols], *[F.col(c).alias(f"{c}{k}") for c in cols]) for k in (1, 2)]
+    ordered = lambda df: df.select(F.least("digest1", "digest2").alias("a"), F.greatest("digest1", "digest2").alias("b"))
+
+    singles = placed(signed.filter(F.col("sig") < PAIRS).select("sig", "digest", "n"))
+    one, two = sides(singles, ["digest", "n", "label"])
+    rare = one.join(two, "sig").filter((F.col("label1") < F.col("label2")) & close(F.col("n1"), F.col("n2"), percent))
+
+    members = signed.filter(F.col("sig") >= PAIRS).select(F.col("leader.digest").alias("leader"), F.col("leader.rare").alias("extra"), "digest", "n", "rare").distinct()
+    with_leader = compared.select(F.col("a").alias("digest"), F.col("b").alias("leader"), "common").unionByName(compared.select(F.col("b").alias("digest"), F.col("a").alias("leader"), "common"))
+    members = members.join(with_leader, ["leader", "digest"], "left").withColumn("common", F.when(F.col("leader") == F.col("digest"), F.col("n")).otherwise(F.col("common")))
+    other = F.col("n") - F.col("common") - F.col("rare")
+    members = placed(members.withColumns({"common": F.coalesce("common", "n"), "other": F.coalesce(other, F.col("n"))}))
+    members = materialize(members, "join-members")
+    most = members.groupBy("leader").agg(F.max("other").alias("most"), F.max(F.when(F.col("leader") == F.col("digest"), F.col("label"))).alias("home"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    enough = lambda common, n1, n2: common * (100 + percent) >= (n1 + n2) * percent
+    apart = members.join(most.filter("lo <> hi"), "leader").filter(~F.col("label").eqNullSafe(F.col("home")))
+    apart = apart.filter(enough(F.col("common") + F.least("other", "most") + F.col("extra"), F.col("n"), F.col("n") * (percent / 100)))
+    one = apart.select("leader", "extra", "home", *[F.col(c).alias(f"{c}1") for c in ("digest", "n", "rare", "label", "common", "other")])
+    two = members.select("leader", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "rare", "label", "common", "other")])
+    bound_ = F.least("common1", "common2") + F.least("other1", "other2") + F.col("extra")
+    met = one.join(two, "leader").filter((F.col("label1") != F.col("label2")) & may_link(F.lit(PAIRS), F.col("n1"), F.col("rare1"), F.col("n2"), F.col("rare2"), percent) & enough(bound_, F.col("n1"), F.col("n2")))
+    return ordered(rare).unionByName(ordered(met)).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, shingle: int = 5) -> DataFrame:
@@ -320,35 +356,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, percent = docs.sparkSession, round(threshold * 100)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sizes = materialize(_sizes(source, threshold, shingle), "join-sizes")
-    known = source.filter("id is not null")
-    found = materialize(_single_index(known, threshold, shingle, parts), "join-singles")
+    scanned = materialize(_scan(source, threshold, shingle, parts), "join-scan")
+    sizes = _sizes(scanned)
+    found = materialize(_single_index(scanned), "join-singles")
 
     frequent = found.filter("kind = 1").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("f"))
     lacks = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(threshold), 6))
     marked = sizes.filter("id is not null and n > 0").join(frequent, "id", "left").withColumn("hard", F.col("q") - F.coalesce("f", F.lit(0)) <= lacks)
-    reps = materialize(marked.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("hard").alias("hard")), "join-reps")
+    reps = marked.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("hard").alias("hard"))
     side = lambda c: sizes.select(F.col("id").alias(c), F.col("digest").alias(f"d{c}"), F.col("n").alias(f"n{c}"))
     near = found.filter("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(close(F.col("na"), F.col("nb"), percent) & (F.col("da") != F.col("db")))
     pairs = materialize(near.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct(), "join-pairs")
     wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(reps.filter("hard").select("digest")).distinct()
-    pool = materialize(_pool(known, reps.join(wanted, "digest"), shingle), "join-pool")
+    pool = materialize(_pool(source, reps.join(wanted, "digest"), shingle), "join-pool")
 
     signed = materialize(_combination_index(pool.filter("hard"), threshold, shingle), "join-combinations")
-    leaders = signed.groupBy("sig").agg(F.min(F.struct("n", "digest")).alias("leader"), F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df")
-    shared = signed.join(leaders, "sig").filter((F.col("digest") != F.col("leader.digest")) & close(F.col("n"), F.col("leader.n"), percent))
+    # the leader has the fewest rare tokens: of near copies, the one that least was changed in
+    least = signed.groupBy("sig").agg(F.min(F.struct("rare", "n", "digest")).alias("leader"), F.min("n").alias("n0"), F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df")
+    # of a pair's documents only those that enough frequent tokens let link with a partner as small as can be
+    partner = F.greatest(F.col("n0") * 100, F.col("n") * percent)
+    able = (F.col("sig") < PAIRS) | ((F.col("n") - F.col("rare")) * (100 + percent) * 100 >= (F.col("n") * 100 + partner) * percent)
+    signed = materialize(signed.join(least, "sig").filter(able).select("sig", "digest", "n", "rare", "leader"), "join-able")
+    shared = signed.filter((F.col("digest") != F.col("leader.digest")) & may_link(F.col("sig"), F.col("n"), F.col("rare"), F.col("leader.n"), F.col("leader.rare"), percent))
     star = shared.select(F.least("digest", "leader.digest").alias("a"), F.greatest("digest", "leader.digest").alias("b"))
-    tried = materialize(pairs.unionByName(star).distinct(), "join-tried")
-    links = materialize(_verified(tried, pool, percent, shingle), "join-links")
-
+    compared = materialize(_compared(pairs.unionByName(star).distinct(), pool, percent, shingle), "join-compared")
+    links = compared.filter("linked").select("a", "b")
     labels = components(links)
-    labelled = signed.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    open_sigs = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sig")
-    members = materialize(labelled.join(open_sigs, "sig"), "join-open")
-    one, two = (members.select("sig", *[F.col(c).alias(f"{c}{k}") for c in ("digest", "n", "label")]) for k in (1, 2))
-    across = one.join(two, "sig").filter((F.col("label1") < F.col("label2")) & close(F.col("n1"), F.col("n2"), percent))
-    across = across.select(F.least("digest1", "digest2").alias("a"), F.greatest("digest1", "digest2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(_verified(across, pool, percent, shingle), "join-links")
+    across = _across(signed, compared, labels, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    more = materialize(_compared(across, pool, percent, shingle).filter("linked").select("a", "b"), "join-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
