@@ -1,10 +1,313 @@
-"""The registered queries over the change feed."""
+"""The registered queries over the change feed, and DuckDB SQL for each."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelog.functions import ddl
+from tidelog.functions.filters import action_of, applied_queries, kept_rows, schema_gate
+from tidelog.model import FileConf, Task
+from tidelog.operators import decode, encode, recovery, schemas, views
+from tidelog.plans import seeds
+from tidelog.sources.change_log import stream_events
+from tidelog.sources.sinks import FileSink, read_files
+from tidelog.streaming.pipeline import ChangeFeed
+from tidelog.session import work_path
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+TASK = Task("task_001")
+#: Over the tables of orders_log: a database list, whole databases and single tables, and exclusions that win.
+FILTERED = Task("task_001", database=("db0", "db1", "db2"), tables=("db0.*", "db1.t1", "db1.t2", "db3.*", "t4"), exclude_table=("db0.t3", "db1.t2", "*.t0"))
+
+# The seeds of plans/seeds.py once more, as SQL.
+ORDERS_SQL = """
+o AS (SELECT o_orderkey AS seq, o_custkey, o_orderstatus AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS price, CAST(epoch(o_orderdate) AS BIGINT) AS ts,
+  'db' || (o_custkey % 4) AS db, 't' || (o_orderkey % 5) AS tbl, 'bin.' || lpad((o_orderkey // 1000)::VARCHAR, 6, '0') AS log_file, o_orderkey % 1000 * 100 + 4 AS log_pos,
+  CASE WHEN o_orderkey % 7 < 3 THEN 'insert' WHEN o_orderkey % 7 < 5 THEN 'update' WHEN o_orderkey % 7 = 5 THEN 'delete' ELSE '' END AS action FROM orders)
+"""
+KEPT_SQL = "db IN ('db0', 'db1', 'db2') AND (db = 'db0' OR (db = 'db1' AND tbl IN ('t1', 't2')) OR db = 'db3') AND NOT (db = 'db0' AND tbl = 't3') AND NOT (db = 'db1' AND tbl = 't2')"
+LINES_SQL = """
+li AS (SELECT l_orderkey AS seq, l_partkey::VARCHAR AS partkey, l_suppkey::VARCHAR AS suppkey, l_linenumber::VARCHAR AS linenumber,
+  CAST(l_quantity AS DECIMAL(18,2)) AS quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS price,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS DECIMAL(18,2)), CAST(l_extendedprice AS DECIMAL(18,2))) - 1 AS row_index FROM lineitem)
+"""
+
+
+def order_changes(spark, sf_dir, task=TASK, events=None) -> DataFrame:
+    events = seeds.orders_log(spark, sf_dir) if events is None else events
+    rows = decode.row_events(events, task).withColumn("columns", seeds.columns(seeds.ORDER_COLUMNS))
+    return decode.decoded(rows, task.task_id)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mixed log: filtered, joined with its tables' schema versions, decoded, flat."""
+    versions = schemas.schema_versions(schemas.ddl_changes(seeds.orders_log(spark, sf_dir), FILTERED), seeds.orders_catalog(spark))
+    rows = schemas.with_schema(decode.row_events(seeds.orders_log(spark, sf_dir), FILTERED), versions)
+    c = decode.decoded(rows, FILTERED.task_id)
+    return c.select("seq", "row_index", "topic", "action", c.before["price"].alias("before_price"), c.after["price"].alias("after_price"), c.event_header["log_pos"].alias("log_pos"))
+
+
+query(
+    f"""WITH {ORDERS_SQL}
+SELECT seq, 0::BIGINT AS row_index, 'task_001.' || db || '.' || tbl AS topic, action, CASE WHEN action <> 'insert' THEN price::VARCHAR END AS before_price,
+  CASE action WHEN 'insert' THEN price::VARCHAR WHEN 'update' THEN (price + 1)::VARCHAR END AS after_price, log_pos FROM o WHERE action <> '' AND {KEPT_SQL}"""
+)(flagship)
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'signup' THEN 'insert' WHEN 'purchase' THEN 'insert' WHEN 'click' THEN 'update' WHEN 'view' THEN 'delete' ELSE '' END AS action,
+  event_type <> 'error' AS decoded FROM events""")
+def route_classify(spark, sf_dir):
+    kinds = F.create_map(*[F.lit(x) for x in ("signup", "WRITE_ROWS_EVENTv1", "purchase", "WRITE_ROWS_EVENTv2", "click", "UPDATE_ROWS_EVENTv2", "view", "DELETE_ROWS_EVENTv2", "error", "QUERY_EVENT")])
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("action", action_of(kinds[F.col("event_type")]))
+    return e.select("event_id", "action", (F.col("action") != "").alias("decoded"))
+
+
+def _filter_query(name: str, task: Task, sql: str):
+    def run(spark, sf_dir):
+        return seeds.orders_log(spark, sf_dir).filter(kept_rows(task)).select("seq", "db", "tbl")
+
+    run.__name__ = name
+    query(f"WITH {ORDERS_SQL} SELECT seq, db, tbl FROM o WHERE {sql}")(run)
+
+
+_filter_query("filter_database", Task("t", database=("db1", "db3")), "db IN ('db1', 'db3')")
+_filter_query("filter_table_include", Task("t", tables=("db0.*", "db1.t1", "t2")), "db = 'db0' OR (db = 'db1' AND tbl = 't1')")
+_filter_query("filter_table_exclude", Task("t", exclude_table=("db2.*", "db3.t4", "*.t1")), "db <> 'db2' AND NOT (db = 'db3' AND tbl = 't4')")
+_filter_query("filter_combined", FILTERED, KEPT_SQL)
+
+
+def line_changes(spark, events, image_order="after_first") -> DataFrame:
+    rows = decode.row_events(events, TASK).withColumn("columns", seeds.columns(seeds.LINE_COLUMNS))
+    return decode.decoded(rows, TASK.task_id, image_order)
+
+
+def flat_lines(c: DataFrame, side: str) -> DataFrame:
+    return c.select("seq", "row_index", "action", *[F.col(side)[n].alias(n) for n in seeds.LINE_COLUMNS], F.col("after" if side == "before" else "before").isNull().alias("other_is_null"))
+
+
+LINE_FLAT_SQL = "SELECT seq, row_index::BIGINT AS row_index, '{action}' AS action, partkey, suppkey, linenumber, quantity::VARCHAR AS quantity, price::VARCHAR AS price, TRUE AS other_is_null FROM li"
+
+
+@query(f"WITH {LINES_SQL} {LINE_FLAT_SQL.format(action='insert')}")
+def decode_insert(spark, sf_dir):
+    return flat_lines(line_changes(spark, seeds.lines_log(spark, sf_dir, "WRITE_ROWS_EVENTv2")), "after")
+
+
+@query(f"WITH {LINES_SQL} {LINE_FLAT_SQL.format(action='delete')}")
+def decode_delete(spark, sf_dir):
+    return flat_lines(line_changes(spark, seeds.lines_log(spark, sf_dir, "DELETE_ROWS_EVENTv2")), "before")
+
+
+UPDATES_SQL = f"WITH {LINES_SQL} SELECT seq, row_index::BIGINT AS row_index, quantity::VARCHAR AS old_quantity, (quantity + 1)::VARCHAR AS new_quantity, partkey, 2 AS images FROM li"
+
+
+def _updates(c: DataFrame) -> DataFrame:
+    return c.select("seq", "row_index", c.before["quantity"].alias("old_quantity"), c.after["quantity"].alias("new_quantity"), c.after["partkey"].alias("partkey"), F.size("org_row").alias("images"))
+
+
+@query(UPDATES_SQL)
+def decode_update_pairs(spark, sf_dir):
+    return _updates(line_changes(spark, seeds.lines_log(spark, sf_dir, "UPDATE_ROWS_EVENTv2", seeds.update_pairs())))
+
+
+@query(UPDATES_SQL)
+def decode_update_before_first(spark, sf_dir):
+    return _updates(line_changes(spark, seeds.lines_log(spark, sf_dir, "UPDATE_ROWS_EVENTv1", seeds.update_pairs(False)), "before_first"))
+
+
+@query("""WITH e AS (SELECT l_orderkey AS seq, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT seq, CASE WHEN seq % 11 = 3 THEN 'no rows' WHEN seq % 11 = 5 AND n % 2 = 1 THEN 'odd update images' WHEN seq % 11 = 7 THEN 'wrong number of cells' ELSE 'no schema' END AS reason
+FROM e WHERE seq % 11 IN (3, 7, 9) OR (seq % 11 = 5 AND n % 2 = 1)""")
+def validate_quarantine(spark, sf_dir):
+    """By key: no rows; update events with one image a line; a line without its last cell; a table that nobody knows."""
+    k = F.col("seq") % 11
+    e = seeds.lines_log(spark, sf_dir, "WRITE_ROWS_EVENTv2")
+    short = F.transform("rows", lambda r, i: F.when(i == 0, F.slice(r, 1, 4)).otherwise(r))
+    e = e.withColumn("rows", F.when(k == 3, F.slice("rows", 1, 0)).when(k == 7, short).otherwise(F.col("rows")))
+    e = e.withColumn("event_type", F.when(k == 5, "UPDATE_ROWS_EVENTv2").otherwise(F.col("event_type"))).withColumn("tbl", F.when(k == 9, "unknown").otherwise(F.col("tbl")))
+    versions = schemas.schema_versions(schemas.ddl_changes(e, TASK), seeds.lines_catalog(spark))
+    return decode.quarantined(schemas.with_schema(decode.row_events(e, TASK), versions)).select("seq", "reason")
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT 'task_001.' || db || '.' || tbl AS topic, db || '.' || tbl AS key, action, count(*) AS n, min(ts)::BIGINT AS first_ts, max(log_pos)::BIGINT AS last_pos
+FROM o WHERE action <> '' GROUP BY ALL""")
+def envelope_topic_key(spark, sf_dir):
+    c = order_changes(spark, sf_dir)
+    return c.groupBy("topic", "key", "action").agg(F.count(F.lit(1)).alias("n"), F.min("event_header.timestamp").alias("first_ts"), F.max("event_header.log_pos").alias("last_pos"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT seq, 'task_001.' || db || '.' || tbl AS topic, db AS database, tbl AS "table", action, action = 'insert' AS no_before, action = 'delete' AS no_after,
+  CASE WHEN action <> 'insert' THEN price::VARCHAR END AS before_price, CASE action WHEN 'insert' THEN price::VARCHAR WHEN 'update' THEN (price + 1)::VARCHAR END AS after_price,
+  CASE WHEN action = 'update' THEN 2 ELSE 1 END AS images, ts AS timestamp, log_pos, 2 AS nulls FROM o WHERE action <> ''""")
+def envelope_json_roundtrip(spark, sf_dir):
+    """Messages parsed back; nulls counts the null images that the text spells out, over an insert and a delete."""
+    m = encode.messages(order_changes(spark, sf_dir))
+    spelled = F.when(F.get_json_object("value", "$.action") == "insert", F.instr("value", '"before":null') > 0).when(F.get_json_object("value", "$.action") == "delete", F.instr("value", '"after":null') > 0).otherwise(True)
+    e = encode.parsed(m.filter(spelled))
+    return e.select("seq", "topic", "database", "table", "action", e.before.isNull().alias("no_before"), e.after.isNull().alias("no_after"), e.before["price"].alias("before_price"), e.after["price"].alias("after_price"), F.size("org_row").alias("images"), e.event_header["timestamp"].alias("timestamp"), e.event_header["log_pos"].alias("log_pos"), F.lit(2).alias("nulls"))
+
+
+def _statement_rows() -> str:
+    """What the plain-token rules read in each statement: id, schema (null: the default), table, action, error."""
+    named = {5: "test.casbin_rule", 6: "casbin_rule", 15: "other.t", 21: "`test`.`casbin_rule`"}
+    actions = {1: "change", 2: "modify", 3: "drop", 4: "add", 5: "add", 6: "add", 7: "change", 8: "modify", 9: "drop", 10: "add", 11: "add", 12: "change", 13: "add", 14: "add", 15: "add", 17: "add", 18: None, 20: "drop", 21: "add", 22: "rename"}
+    rows = []
+    for i, action in actions.items():
+        schema, _, table = named.get(i, "test.casbin_rule").rpartition(".")
+        text = lambda v: "NULL" if v is None else "'" + v + "'"
+        rows.append(f"({i}, {text(schema or None)}, {text(table)}, {text(action)}, {text('missing token' if i == 18 else None)})")
+    return "(VALUES " + ", ".join(rows) + ") s(id, schema, tbl, action, error)"
+
+
+@query(f"""SELECT id, n_nationkey, coalesce(schema, 'db' || n_nationkey) AS schema, tbl AS "table", action, error FROM {_statement_rows()} CROSS JOIN nation""")
+def ddl_parse(spark, sf_dir):
+    """Every statement under every nation's key as the default schema (23 by 25 rows)."""
+    each = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(q).alias("query")) for i, q in seeds.STATEMENTS])))
+    p = each.select("n_nationkey", "s.id", ddl.parse(F.col("s.query"), F.concat(F.lit("db"), F.col("n_nationkey").cast("string"))).alias("p")).filter("p is not null")
+    return p.select("id", "n_nationkey", "p.schema", "p.table", "p.action", "p.error")
+
+
+#: Column lists after each statement that changes or moves them.
+FOLDED = {
+    1: "id,p_type,v0,v1,v2,vx", 3: "id,p_type,v0,v2,num", 4: "id,p_type,v0,v1,v2,num,xxs", 5: "id,p_type,v0,age,v1,v2,num", 6: "test,id,p_type,v0,v1,v2,num", 7: "id,p_type,v0,v1,v2,num",
+    9: "id,p_type,v0,v1,v2", 10: "id,p_type,v0,v1,v2,num,ps", 12: "id,p_type,v0,v1,v2,num", 13: "id,p_type,v0,v1,v2,num,INDEX", 14: "id,p_type,v0,v1,v2,num,a", 17: "id,p_type,v0,v1,v2,num", 20: "id,p_type,v0,v1,v2,num",
+}
+
+
+@query("SELECT id, columns, 'id,p_type,v0,v1,v2,num' AS old FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in FOLDED.items()) + ") v(id, columns)")
+def ddl_fold_versions(spark, sf_dir):
+    """Each statement alone over the start columns: the lists after and before it, where it moves the definition."""
+    task = Task("t", database=("test",))
+    s = seeds.statements(spark).withColumns({"default_schema": F.lit("test"), "error_code": F.lit(0)}).filter(applied_queries(task))
+    s = s.withColumn("p", ddl.parse(F.col("query"), F.col("default_schema"))).filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, "open", F.col("p.schema")))
+    s = s.select("id", F.explode("p.changes").alias("change"), seeds.columns(seeds.START_COLUMNS).alias("before")).filter(ddl.shifts(F.col("before"), F.col("change")))
+    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
+    return s.select("id", names(ddl.applied(F.col("before"), F.col("change"))).alias("columns"), names(F.col("before")).alias("old"))
+
+
+EVOLVED_SQL = f"""WITH {LINES_SQL} SELECT seq, row_index::BIGINT AS row_index, partkey, CASE WHEN seq <= 700 THEN suppkey END AS suppkey, CASE WHEN seq <= 1000 THEN price::VARCHAR END AS price,
+  CASE WHEN seq > 1000 THEN price::VARCHAR END AS amount, CASE WHEN seq > 300 THEN 'n' || linenumber END AS note,
+  CASE WHEN seq <= 300 THEN 'linenumber,partkey,price,quantity,suppkey' WHEN seq <= 700 THEN 'linenumber,note,partkey,price,quantity,suppkey' WHEN seq <= 1000 THEN 'linenumber,note,partkey,price,quantity' ELSE 'amount,linenumber,note,partkey,quantity' END AS names FROM li"""
+
+
+def _evolved(c: DataFrame) -> DataFrame:
+    cols = ["partkey", "suppkey", "price", "amount", "note"]
+    return c.select("seq", F.col("row_index").cast("long").alias("row_index"), *[F.try_element_at("after", F.lit(n)).alias(n) for n in cols], F.array_join(F.array_sort(F.map_keys("after")), ",").alias("names"))
+
+
+@query(EVOLVED_SQL)
+def decode_schema_evolution(spark, sf_dir):
+    events = seeds.evolving_lines_log(spark, sf_dir)
+    versions = schemas.schema_versions(schemas.ddl_changes(events, TASK), seeds.lines_catalog(spark))
+    return _evolved(decode.decoded(schemas.with_schema(decode.row_events(events, TASK), versions), TASK.task_id))
+
+
+@query("""WITH s AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'db' || (n_nationkey % 4) END AS d, n_nationkey % 3 = 2 AS failed, n_nationkey % 7 = 6 AS begins FROM nation),
+g AS (SELECT *, NOT begins AND NOT failed AND (d = '' OR d IN ('db0', 'db1')) AS listed, NOT begins AND NOT failed AND d = '' AS strict_empty, NOT begins AND NOT failed AS open_empty FROM s)
+SELECT k, listed, strict_empty, open_empty FROM g""")
+def ddl_gate(spark, sf_dir):
+    """Statements of 25 default schemas, error codes and BEGINs, under a database list and under an empty one in both gates."""
+    k = F.col("n_nationkey")
+    s = spark.read.parquet(f"{sf_dir}/nation.parquet").select(k.alias("k"), F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("db"), k % 4)).alias("default_schema"), F.when(k % 3 == 2, 1064).otherwise(0).alias("error_code"), F.when(k % 7 == 6, "BEGIN").otherwise("alter table t add a int").alias("query"))
+    return s.select("k", applied_queries(Task("t", database=("db0", "db1"))).alias("listed"), applied_queries(Task("t"), "strict").alias("strict_empty"), applied_queries(Task("t"), "open").alias("open_empty"))
+
+
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task state for each nation: at the latest position, with up to two marks, or with a saved position."""
+    k = F.col("n_nationkey").cast("long")
+    mark = lambda p, ok: F.struct(F.lit("bin.000001").alias("pos_name"), p.alias("pos"), ok.alias("success"))
+    none = F.array().cast("array<struct<pos_name:string,pos:long,success:boolean>>")
+    marks = F.when(k % 3 == 0, none).otherwise(F.array(mark(k * 100 + 500, k % 2 == 0), mark(k * 100 + 900, k % 4 < 2)))
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("task_"), k).alias("task_id"), F.lit("bin.000001").alias("position_name"), F.when(k % 5 == 0, 0).otherwise(k * 10).cast("long").alias("position_pos"), marks.alias("marks"))
+
+
+STATES_SQL = """st AS (SELECT n_nationkey::BIGINT AS k, 'task_' || n_nationkey AS task_id, CASE WHEN n_nationkey % 5 = 0 THEN 'latest' WHEN n_nationkey % 3 <> 0 THEN 'marks' ELSE 'saved' END AS source,
+  n_nationkey * 100 + 500 AS p1, n_nationkey % 2 = 0 AS ok1, n_nationkey * 100 + 900 AS p2, n_nationkey % 4 < 2 AS ok2 FROM nation)"""
+
+
+@query(f"""WITH {STATES_SQL} SELECT task_id, source, CASE WHEN source <> 'latest' THEN 'bin.000001' END AS start_name,
+  CASE source WHEN 'marks' THEN p1::BIGINT WHEN 'saved' THEN k * 10 END AS start_pos, CASE WHEN source = 'marks' THEN p2::BIGINT END AS high_water FROM st""")
+def start_position(spark, sf_dir):
+    return recovery.start_position(task_states(spark, sf_dir))
+
+
+@query(f"""WITH {STATES_SQL}, e AS (SELECT event_id AS seq, 'task_' || (user_id % 25) AS task_id, 4 + event_id * 37 % 6000 AS log_pos FROM events),
+m AS (SELECT e.*, source = 'marks' AS rec, source = 'marks' AND ((log_pos = p1 AND NOT ok1) OR (log_pos = p2 AND NOT ok2)) AS failed, p2 FROM e JOIN st USING (task_id)),
+w AS (SELECT *, coalesce(max(CASE WHEN rec AND log_pos > p2 AND NOT failed THEN 1 ELSE 0 END) OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING), 0) = 1 AS left_ FROM m)
+SELECT seq, task_id, log_pos, NOT rec OR failed OR left_ AS processed FROM w""")
+def recovery_skip(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("seq"), F.concat(F.lit("task_"), F.col("user_id") % 25).alias("task_id"), F.lit("bin.000001").alias("log_file"), (F.col("event_id") * 37 % 6000 + 4).alias("log_pos"))
+    return recovery.replay(e, task_states(spark, sf_dir)).select("seq", "task_id", "log_pos", "processed")
+
+
+@query("""WITH e AS (SELECT event_id AS seq, event_id % 997 + 4 AS log_pos, event_type, CASE WHEN event_type = 'error' THEN 'bin.' || lpad((event_id // 50)::VARCHAR, 6, '0') END AS nm, event_id % 3 * 4 AS np FROM events WHERE event_type IN ('error', 'signup')),
+b AS (SELECT *, coalesce(last_value(nm IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'bin.000000') AS before FROM e)
+SELECT seq, coalesce(nm, before) AS name, CASE WHEN nm IS NOT NULL AND np <> 0 THEN np ELSE log_pos END AS pos FROM b WHERE nm IS NULL OR nm <> before""")
+def rotate_positions(spark, sf_dir):
+    """Errors stand for rotations (some to the same file, some to position 0), signups for applied statements."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k, rot = F.col("event_id"), F.col("event_type") == "error"
+    log = e.select(k.alias("seq"), (k % 997 + 4).alias("log_pos"), F.when(rot, "rotate").when(F.col("event_type") == "signup", "query").otherwise("rows").alias("kind"), F.lit("alter table t add a int").alias("query"), F.lit("").alias("default_schema"), F.lit(0).alias("error_code"), F.when(rot, F.concat(F.lit("bin."), F.lpad(F.floor(k / 50).cast("string"), 6, "0"))).alias("next_log_name"), (k % 3 * 4).alias("next_pos"))
+    return recovery.positions(log, TASK, "bin.000000")
+
+
+@query("SELECT task_id, seq, log_pos FROM (SELECT 'task_' || (user_id % 25) AS task_id, event_id AS seq, event_id * 10 AS log_pos, row_number() OVER (PARTITION BY user_id % 25 ORDER BY event_id DESC) AS n FROM events WHERE event_type <> 'error') WHERE n <= 2")
+def marks_last_two(spark, sf_dir):
+    k = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("task_"), F.col("user_id") % 25).alias("task_id"), k.alias("seq"), (k * 10).alias("log_pos"), F.when(F.col("event_type") == "error", "query").otherwise("rows").alias("kind"))
+    return recovery.last_marks(e).select("task_id", "seq", "log_pos")
+
+
+def run_stream(spark: SparkSession, events: DataFrame, catalog: DataFrame, task: Task = TASK, batches: int = 3) -> tuple[FileConf, ChangeFeed]:
+    """Events as files in the order of the log, streamed file by file through the feed into a file sink."""
+    home = work_path(spark, "stream")
+    events.repartitionByRange(batches, "seq").sortWithinPartitions("seq").write.option("maxRecordsPerFile", 1_000_000).parquet(f"{home}/log")
+    conf = FileConf(f"{home}/out")
+    feed = ChangeFeed(spark, lambda: task, FileSink(conf), catalog, f"{home}/state")
+    stream_events(spark, f"{home}/log").writeStream.option("checkpointLocation", f"{home}/checkpoint").foreachBatch(feed).trigger(availableNow=True).start().awaitTermination()
+    return conf, feed
+
+
+@query(EVOLVED_SQL)
+def stream_schema_evolution(spark, sf_dir):
+    """decode_schema_evolution as a stream."""
+    conf, _ = run_stream(spark, seeds.evolving_lines_log(spark, sf_dir), seeds.lines_catalog(spark))
+    return _evolved(encode.parsed(read_files(spark, conf)))
+
+
+@query(f"WITH {LINES_SQL} {LINE_FLAT_SQL.format(action='insert')}")
+def stream_decode_insert(spark, sf_dir):
+    conf, _ = run_stream(spark, seeds.lines_log(spark, sf_dir, "WRITE_ROWS_EVENTv2"), seeds.lines_catalog(spark))
+    return flat_lines(encode.parsed(read_files(spark, conf)), "after")
+
+
+@query(f"""WITH {ORDERS_SQL}, c AS (SELECT *, o_custkey % 50 AS k, CASE WHEN action = 'update' THEN price + 1 ELSE price END AS p FROM o WHERE action <> ''),
+l AS (SELECT *, row_number() OVER (PARTITION BY db, tbl, k ORDER BY seq DESC) AS n FROM c)
+SELECT db AS database, tbl AS "table", k::VARCHAR AS k, p::VARCHAR AS price FROM l WHERE n = 1 AND action <> 'delete'""")
+def ext_latest_image(spark, sf_dir):
+    """The rows that the log leaves, with the customer modulo 50 as the key of a table."""
+    e = seeds.orders_log(spark, sf_dir)
+    e = e.withColumn("rows", F.transform("rows", lambda r: F.array(r[0], (r[1].cast("long") % 50).cast("string"), r[2], r[3])))
+    v = views.latest_images(order_changes(spark, sf_dir, events=e), "custkey")
+    return v.select("database", "table", "k", v.image["price"].alias("price"))
+
+
+@query(f"WITH {ORDERS_SQL} SELECT 'task_001.' || db || '.' || tbl AS topic, action, count(*) AS events, min(seq) AS first_seq, max(seq) AS last_seq FROM o WHERE action <> '' GROUP BY ALL")
+def ext_change_counts(spark, sf_dir):
+    return views.change_counts(order_changes(spark, sf_dir))
