@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidelog.functions.filters import action_of, is_kind, kept_rows
 from tidelog.model import DELETE, INSERT, UPDATE, Task
@@ -73,5 +74,5 @@ def decoded(rows: DataFrame, task_id: str, image_order: str = "after_first") ->
 
 def typed(changes: DataFrame, schema: str, side: str = "after") -> DataFrame:
     """Extension: one table's images as typed columns; cells that don't convert are null. schema: "name type, ..."."""
-    fields = [f.strip().split(" ", 1) for f in schema.split(",")]
-    return changes.select(*[F.col(side)[name].try_cast(kind).alias(name) for name, kind in fields], "action", "seq", "row_index")
+    fields = StructType.fromDDL(schema).fields
+    return changes.select(*[F.col(side)[f.name].try_cast(f.dataType).alias(f.name) for f in fields], "action", "seq", "row_index")

@@ -14,7 +14,7 @@ from tidelog.operators.encode import messages
 class Sink(Protocol):
     def open(self) -> None: ...
 
-    def send(self, changes: DataFrame, batch_id: int) -> None: ...
+    def send(self, changes: DataFrame, batch: str) -> None: ...
 
     def close(self) -> None: ...
 
@@ -29,8 +29,8 @@ class FileSink:
 
     def open(self) -> None: ...
 
-    def send(self, changes: DataFrame, batch_id: int) -> None:
-        messages(changes).write.mode("overwrite").partitionBy("topic").format(self.format).save(f"{self.path}/batch={batch_id}")
+    def send(self, changes: DataFrame, batch: str) -> None:
+        messages(changes).write.mode("overwrite").partitionBy("topic").format(self.format).save(f"{self.path}/batch={batch}")
 
     def close(self) -> None: ...
 
@@ -56,7 +56,7 @@ class KafkaSink:
 
     def open(self) -> None: ...
 
-    def send(self, changes: DataFrame, batch_id: int) -> None:
+    def send(self, changes: DataFrame, batch: str) -> None:
         rows = messages(changes).repartition("key").sortWithinPartitions("key", "seq", "row_index")
         rows.select("topic", "key", "value").write.format("kafka").options(**self.options()).save()
 

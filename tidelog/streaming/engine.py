@@ -93,7 +93,7 @@ class TaskEngine:
         sink = self.sinks.register(task)
         try:
             home = f"{self.root}/tasks/{task.task_id}"
-            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state-{entry['run']}", **self.feed)
+            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state-{entry['run']}", run=entry["run"], **self.feed)
             writer = self.source(task, entry["starting"]).writeStream.queryName(task.task_id).option("checkpointLocation", f"{home}/checkpoint-{entry['run']}").foreachBatch(handler)
             self.queries[task.task_id] = (writer.trigger(availableNow=True) if once else writer).start()
             self.errors.pop(task.task_id, None)

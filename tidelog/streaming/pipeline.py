@@ -21,11 +21,14 @@ SCHEMA_STATE = f"db string, tbl string, columns {COLUMNS}"
 
 
 class ChangeFeed:
-    """foreachBatch handler of one task. task() is asked for each batch, so its lists can change while it runs."""
+    """foreachBatch handler of one task. task() is asked for each batch, so its lists can change while it runs.
 
-    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first"):
+    run numbers the checkpoints of a task: a sink knows a batch by run and number.
+    """
+
+    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first", run: int = 0):
         self.spark, self.task, self.sink, self.catalog, self.path = spark, task, sink, catalog, path.rstrip("/")
-        self.mode, self.gate, self.image_order = mode, gate, image_order
+        self.mode, self.gate, self.image_order, self.run = mode, gate, image_order, run
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,7 +52,7 @@ class ChangeFeed:
         after.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/schemas/{batch_id}")
         rows = with_schema(row_events(batch, task), versions)
         quarantined(rows).drop("columns").write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
-        self.sink.send(decoded(rows, task.task_id, self.image_order), batch_id)
+        self.sink.send(decoded(rows, task.task_id, self.image_order), f"{self.run}-{batch_id}")
 
     def schemas(self) -> DataFrame:
         """The column lists as of the newest batch."""
