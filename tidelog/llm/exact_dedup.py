@@ -11,16 +11,20 @@ digests, if any, are joined by digest and text. Of the largest group, AQE splits
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import ascii_lower
 from tidelog.session import materialize
 
 
+def digest(norm: str) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_salts: int = 16) -> DataFrame:
     """One row per distinct normalised text: digest, norm, keep_id (largest id), group_size."""
-    norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm")).select("id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(n_salts)).alias("salt"))
+    norm = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm")).select("id", "norm", digest("norm").alias("digest"), F.pmod(F.xxhash64("id"), F.lit(n_salts)).alias("salt"))
     salted = norm.groupBy("digest", "salt", "norm").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
     return salted.groupBy("digest", "norm").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
 
@@ -35,11 +39,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = materialize(content_groups(docs, id_col, text_col, n_salts).select("digest", "keep_id", "group_size", F.xxhash64("norm").alias("content")), "exact-groups")
     clashing = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(ascii_lower(F.col(text_col)), 256)).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm")).select("id", digest("norm").alias("digest"))
     if clashing.isEmpty():
         joined = rows.join(groups, "digest")
     else:  # one digest, several texts: those are told apart by their content
-        full = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+        full = docs.select(F.col(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm")).withColumn("digest", digest("norm"))
         among = full.join(clashing, "digest", "left_semi").join(content_groups(docs, id_col, text_col, n_salts), ["digest", "norm"]).select("digest", "id", "keep_id", "group_size")
         joined = rows.join(clashing, "digest", "left_anti").join(groups, "digest").select("digest", "id", "keep_id", "group_size").unionByName(among)
     return joined.select(
