@@ -23,8 +23,9 @@ def from_catalog(catalog: DataFrame) -> DataFrame:
 def ddl_changes(events: DataFrame, task: Task, mode: str = "compat", gate: str = "open") -> DataFrame:
     """seq, db, tbl, step, change: the column changes that a task applies, clause by clause."""
     queries = events.filter(is_kind("query") & applied_queries(task, gate))
-    parsed = queries.select("seq", ddl.parse(F.col("query"), F.coalesce("default_schema", F.lit("")), mode).alias("p")).filter(F.col("p").isNotNull() & F.col("p.error").isNull())
-    kept = parsed.filter(schema_gate(task, gate, F.col("p.schema")))
+    # parsed once, as the output of a generator: filters on it don't spell the parser out again
+    parsed = queries.select("seq", F.explode(F.array(ddl.parse(F.col("query"), F.coalesce("default_schema", F.lit("")), mode))).alias("p"))
+    kept = parsed.filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, gate, F.col("p.schema")))
     return kept.select("seq", F.col("p.schema").alias("db"), F.col("p.table").alias("tbl"), F.posexplode("p.changes").alias("step", "change"))
 
 

@@ -179,7 +179,8 @@ def _statement_rows() -> str:
 def ddl_parse(spark, sf_dir):
     """Every statement under every nation's key as the default schema (23 by 25 rows)."""
     each = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(q).alias("query")) for i, q in seeds.STATEMENTS])))
-    p = each.select("n_nationkey", "s.id", ddl.parse(F.col("s.query"), F.concat(F.lit("db"), F.col("n_nationkey").cast("string"))).alias("p")).filter("p is not null")
+    p = each.select("n_nationkey", "s.id", ddl.parse(F.col("s.query"), F.concat(F.lit("db"), F.col("n_nationkey").cast("string"))).alias("p"))
+    p = p.select("n_nationkey", "id", F.explode(F.array("p")).alias("p")).filter("p is not null")
     return p.select("id", "n_nationkey", "p.schema", "p.table", "p.action", "p.error")
 
 
@@ -195,7 +196,7 @@ def ddl_fold_versions(spark, sf_dir):
     """Each statement alone over the start columns: the lists after and before it, where it moves the definition."""
     task = Task("t", database=("test",))
     s = seeds.statements(spark).withColumns({"default_schema": F.lit("test"), "error_code": F.lit(0)}).filter(applied_queries(task))
-    s = s.withColumn("p", ddl.parse(F.col("query"), F.col("default_schema"))).filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, "open", F.col("p.schema")))
+    s = s.select("id", F.explode(F.array(ddl.parse(F.col("query"), F.col("default_schema")))).alias("p")).filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, "open", F.col("p.schema")))
     s = s.select("id", F.explode("p.changes").alias("change"), seeds.columns(seeds.START_COLUMNS).alias("before")).filter(ddl.shifts(F.col("before"), F.col("change")))
     names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
     return s.select("id", names(ddl.applied(F.col("before"), F.col("change"))).alias("columns"), names(F.col("before")).alias("old"))

@@ -48,6 +48,11 @@ def shaped(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in fields])
 
 
+def as_read(df: DataFrame) -> DataFrame:
+    """df with its columns as a scan would give them: later filters don't spell out how they were made."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("e")).select("e.*")
+
+
 def columns(names: tuple[str, ...]) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("name"), F.lit("").alias("type"), F.lit(False).alias("not_null")) for n in names]).cast(COLUMNS)
 
@@ -89,7 +94,7 @@ def line_cells(x: Column, more: Column | None = None) -> Column:
 def lines_log(spark: SparkSession, sf_dir: str, event_type: str, rows: Column | None = None) -> DataFrame:
     """A multi-row event of table shop.lineitem for each order."""
     rows = F.transform("ls", lambda x: line_cells(x)) if rows is None else rows
-    return shaped(lines(spark, sf_dir).select(*position("key"), F.col("key").alias("ts"), F.lit("rows").alias("kind"), F.lit(event_type).alias("event_type"), F.lit("shop").alias("db"), F.lit("lineitem").alias("tbl"), rows.alias("rows")))
+    return as_read(shaped(lines(spark, sf_dir).select(*position("key"), F.col("key").alias("ts"), F.lit("rows").alias("kind"), F.lit(event_type).alias("event_type"), F.lit("shop").alias("db"), F.lit("lineitem").alias("tbl"), rows.alias("rows"))))
 
 
 def update_pairs(first_is_after: bool = True) -> Column:

@@ -46,6 +46,13 @@ class ChangeFeed:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         task = self.task()
+        batch = batch.persist()  # read once for statements, checks and rows
+        try:
+            self._run(task, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _run(self, task: Task, batch: DataFrame, batch_id: int) -> None:
         changes = ddl_changes(batch, task, self.mode, self.gate)
         versions = schema_versions(changes, self._state_before(batch_id))
         after = versions.filter("to_seq is null").select("db", "tbl", "columns")
