@@ -75,4 +75,22 @@ d AS (SELECT source, lang, 'words-1' AS tokenizer, words AS tokens FROM c WHERE
 SELECT source, lang, tokenizer, count(*)::BIGINT AS documents, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL
 """
 
-ORACLE_SQL = {"op1_preference_format": OP1, "op2_exact_dedup": OP2, "op4_quality_rules": OP4, "op6_token_counts": OP6, "op8_mixing": OP8}
+OP3 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM m
+"""
+
+OP9 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({NORM}, '{W}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, h FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS h FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (h) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY ALL
+"""
+
+ORACLE_SQL = {"op1_preference_format": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op4_quality_rules": OP4, "op6_token_counts": OP6, "op8_mixing": OP8, "op9_jaccard_join": OP9}

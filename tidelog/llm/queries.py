@@ -39,7 +39,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages, then read every record back from the archives."""
     rows = read_records(write_bundles(table(spark, sf_dir, "pages")), with_payload=False)
-    return rows.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "bundle", "frame", "offset")
+    return rows.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
