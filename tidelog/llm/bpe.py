@@ -29,6 +29,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.shared import release
+
 ROW = "chunk binary, part int, payload binary"
 ARROW_ROW = pa.schema([("chunk", pa.binary()), ("part", pa.int32()), ("payload", pa.binary())])
 
@@ -154,12 +156,14 @@ def _apply(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sch
     def document_rows(batches):
         for c in _chunks(batches, chunk_bytes):
             yield _batch([c.document_row(parts, id_type)])
+        release()
 
     def word_rows(batches):
         for c in _chunks(batches, chunk_bytes):
             rows = list(c.word_rows(parts))
             if rows:
                 yield _batch(rows)
+        release()
 
     def encoded(batches):
         tokenizer, known = _tokenizer(content), {}
@@ -171,6 +175,8 @@ def _apply(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sch
                     known[w] = np.array(e.ids, np.uint32).tobytes()
                 answers = [known[w] for w in words]
                 yield _batch([(chunk, part, pack(np.array([len(a) // 4 for a in answers], np.uint32), np.frombuffer(b"".join(answers), np.uint32)))])
+        del known
+        release()
 
     def placed(table: pa.Table) -> pa.Table:
         answers, documents = {}, []
@@ -198,8 +204,12 @@ def _apply(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sch
             one = finish(values, names)
             starts = np.cumsum(lengths) - lengths
             rows += [(d, *one(flat[a : a + n])) for d, a, n in zip(doc_ids, starts.tolist(), lengths.tolist(), strict=True)]
+            del values, one, flat
         columns = zip(*rows, strict=True) if rows else [[] for _ in arrow_schema]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
+        out = pa.table([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
+        del rows, columns
+        release()
+        return out
 
     words = source.mapInArrow(word_rows, ROW).repartition(parts, "part").mapInArrow(encoded, ROW)
     return source.mapInArrow(document_rows, ROW).unionByName(words).groupBy("chunk").applyInArrow(placed, schema)
@@ -212,7 +222,7 @@ def _id_type(docs: DataFrame, id_col: str) -> tuple[str, pa.DataType]:
     return t.simpleString(), to_arrow_type(t)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, n_parts: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, n_parts: int | None = None) -> DataFrame:
     """One row per document: id_col, n_tokens and ids, as the tokenizer encodes the whole text without special tokens.
 
     Null and empty texts have no ids. Ids may be null or repeat; each row is encoded. Other columns are
@@ -254,7 +264,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(texts, f"`{id_col}` {sql}, `{text_col}` string")
 
 
-def encode_decode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20, n_parts: int | None = None) -> DataFrame:
+def encode_decode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, n_parts: int | None = None) -> DataFrame:
     """id_col, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode(), digested where the ids are made.
 
     For edge cases see encode(): a null or empty text has the digests of the empty string.

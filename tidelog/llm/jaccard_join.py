@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.components import components
+from tidelog.llm.shared import release
 from tidelog.session import materialize
 
 #: A token in more documents than this is frequent.
@@ -180,6 +181,7 @@ def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_t
                     yield from flush(*held)
                     held, size = ([], [], [], []), 0
         yield from flush(*held)
+        release()
 
     return source.mapInArrow(emit, "part int, payload binary")
 
@@ -304,6 +306,8 @@ def _compared(pairs: DataFrame, pool: DataFrame, percent: int, shingle: int) ->
                 rows.append((common, common > 0 and 100 * common >= percent * (len(x) + len(y) - common)))
             if rows:
                 yield _rows(schema, [batch.column(0), batch.column(1), *zip(*rows, strict=True)])
+        sets.clear()
+        release()
 
     left, right = pool.select(F.col("digest").alias("a"), F.col("z").alias("za")), pool.select(F.col("digest").alias("b"), F.col("z").alias("zb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(compare, "a binary, b binary, common long, linked boolean")
@@ -389,6 +393,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = sizes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("key", F.coalesce("label", "digest")).select("id", "n", "key")
     alone = F.col("id").isNull() | (F.col("n") == 0)
-    smallest = placed.filter(~alone).groupBy("key").agg(F.min("id").alias("component_id"))
+    # a table of its own, so that AQE can split the join of a component with many documents
+    smallest = materialize(placed.filter(~alone).groupBy("key").agg(F.min("id").alias("component_id")), "join-smallest")
     rest = placed.filter(alone).select("id", "n", F.col("id").alias("component_id"))
     return placed.filter(~alone).join(smallest, "key").select("id", "n", "component_id").unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.bwt import Shard, repeated_intervals
 from tidelog.llm.jaccard_join import BLOBS, _rows, runs_of
+from tidelog.llm.shared import release
 from tidelog.session import materialize
 
 #: Windows of a segment at most; bytes of a collection and of a shard, about; places that make a hash crowded.
@@ -147,6 +148,7 @@ def _repeated_runs(keyed: DataFrame, width: int, parts: int, chunk_runs: int = 1
                     yield from flush(*held)
                     held, size = ([], [], [], []), 0
         yield from flush(*held)
+        release()
 
     def meet(table: pa.Table) -> pa.Table:
         blobs = [unpack(p) for p in table["payload"].to_pylist()]
@@ -229,6 +231,7 @@ def _segments(texts: DataFrame, width: int, parts: int, chunk_bytes: int = 8 <<
                     yield from flush(f)
                     f = Folded()
         yield from flush(f)
+        release()
 
     return texts.mapInArrow(emit, "part int, payload binary")
 
@@ -294,6 +297,8 @@ def _merged(segments: DataFrame, width: int) -> DataFrame:
                 begin = end
             out.append(np.array(f.ranges, np.int64).reshape(-1, 3))
         found = np.concatenate(out)
+        del f, out
+        release()
         return pa.table([pa.array(found[:, i].copy()) for i in range(3)], schema=RANGES)
 
     return segments.groupBy("part", F.when(F.col("part") < 0, F.xxhash64("payload")).alias("own")).applyInArrow(part_ranges, "k long, a long, b long")
