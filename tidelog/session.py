@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _work_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/tidelog/{spark.sparkContext.applicationId}"
+
+
+_registered: set[str] = set()
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that this application has written between stages; frames read from them can't run again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session has ended, and its driver with it
+        cleanup(spark)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/tidelog/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path under the shared folder, which goes when the driver's Python exits."""
+    folder = _work_folder(spark)
+    if folder not in _registered:
+        _registered.add(folder)
+        atexit.register(_at_exit, spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
