@@ -336,10 +336,13 @@ def _across(signed: DataFrame, compared: DataFrame, labels: DataFrame, percent:
     other = F.col("n") - F.col("common") - F.col("rare")
     members = placed(members.withColumns({"common": F.coalesce("common", "n"), "other": F.coalesce(other, F.col("n"))}))
     members = materialize(members, "join-members")
-    most = members.groupBy("leader").agg(F.max("other").alias("most"), F.max(F.when(F.col("leader") == F.col("digest"), F.col("label"))).alias("home"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    files = -(-members.count() // 200_000) or 1
+    # tables of their own, so that AQE can split the joins of a leader with many documents
+    most = materialize(members.groupBy("leader").agg(F.max("other").alias("most"), F.max(F.when(F.col("leader") == F.col("digest"), F.col("label"))).alias("home"), F.min("label").alias("lo"), F.max("label").alias("hi")).coalesce(files), "join-leaders")
     enough = lambda common, n1, n2: common * (100 + percent) >= (n1 + n2) * percent
     apart = members.join(most.filter("lo <> hi"), "leader").filter(~F.col("label").eqNullSafe(F.col("home")))
     apart = apart.filter(enough(F.col("common") + F.least("other", "most") + F.col("extra"), F.col("n"), F.col("n") * (percent / 100)))
+    apart = materialize(apart, "join-apart")
     one = apart.select("leader", "extra", "home", *[F.col(c).alias(f"{c}1") for c in ("digest", "n", "rare", "label", "common", "other")])
     two = members.select("leader", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "rare", "label", "common", "other")])
     bound_ = F.least("common1", "common2") + F.least("other1", "other2") + F.col("extra")
