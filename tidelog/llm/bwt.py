@@ -24,20 +24,39 @@ class Shard:
         lengths = np.array([len(s) + 1 for s in strings], np.int64)
         ends = np.cumsum(lengths)
         self.first = np.repeat(ends - lengths, lengths)  # where the string of each byte begins
-        self.next = np.arange(1, n + 1, dtype=np.int32)
-        self.next[ends - 1] = ends - lengths
+        self.size = np.repeat(lengths, lengths)
+        near = np.arange(8)
+        tail, head = ends[:, None] - 1 - near, (ends - lengths)[:, None] + near
+        self.edges = np.where(near < lengths[:, None], tail, -1), np.where(near < lengths[:, None], head, -1)
         self.order = self._sorted()
 
+    def _bytes_at(self, offset: int) -> np.ndarray:
+        """Of each row's start, the byte `offset` further on, round the string; offset from -8 to 8."""
+        n, k = len(self.text), abs(offset)
+        out = np.empty(n, np.uint8)
+        if offset >= 0:
+            out[: max(0, n - k)] = self.text[k:]
+            wrong = self.edges[0][:, :k]
+        else:
+            out[min(n, k) :] = self.text[: max(0, n - k)]
+            wrong = self.edges[1][:, :k]
+        at = np.unique(wrong[wrong >= 0])  # starts so near a string's edge that the byte is round the corner
+        first, size = self.first[at], self.size[at]
+        out[at] = self.text[first + (at - first + offset) % size]
+        return out
+
     def _sorted(self) -> np.ndarray:
         """Rotations in order, by prefix doubling over the rows that still tie."""
         n = len(self.text)
-        key, at = np.zeros(n, np.uint64), np.arange(n, dtype=np.int32)
-        for _ in range(8):
-            key = (key << np.uint64(8)) | self.text[at]
-            at = self.next[at]
-        order = np.argsort(key, kind="stable")
-        slots, jump = np.arange(n), at
-        rank, sorted_key, placed = np.empty(n, np.int64), key[order], order
+        key = np.zeros(n, np.uint64)
+        for i in range(8):
+            key = (key << np.uint64(8)) | self._bytes_at(i)
+        order = np.argsort(key)
+        at = np.arange(n, dtype=np.int64)
+        jump = at + 8
+        round_ = np.flatnonzero(jump >= self.first + self.size)
+        jump[round_] = self.first[round_] + (jump[round_] - self.first[round_]) % self.size[round_]
+        slots, rank, sorted_key, placed = at, np.empty(n, np.int64), key[order], order
         while True:
             new = np.ones(len(placed), bool)
             new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -49,31 +68,26 @@ class Shard:
                 return order
             p = order[slots]
             key = rank[p] * n + rank[jump[p]]
-            o = np.argsort(key, kind="stable")
+            o = np.argsort(key)
             placed, sorted_key = p[o], key[o]
             order[slots] = placed
             jump = jump[jump]
 
     def before(self, step: int) -> np.ndarray:
         """The `step` bytes before each row, as one number, in row order."""
-        previous = np.empty(len(self.text), np.int32)
-        previous[self.next] = np.arange(len(self.text), dtype=np.int32)
-        gram, at = np.zeros(len(self.text), np.uint32), np.arange(len(self.text))
+        gram = np.zeros(len(self.text), np.uint32)
         for k in range(step):
-            at = previous[at]
-            gram |= self.text[at].astype(np.uint32) << np.uint32(8 * k)
+            gram |= self._bytes_at(-1 - k).astype(np.uint32) << np.uint32(8 * k)
         return gram[self.order]
 
     def moves(self, step: int) -> np.ndarray:
         """Of each row, the row that begins `step` bytes before it (the transform's own map, `step` times)."""
         row = np.empty(len(self.text), np.int32)
         row[self.order] = np.arange(len(self.text), dtype=np.int32)
-        previous = np.empty(len(self.text), np.int32)
-        previous[self.next] = np.arange(len(self.text), dtype=np.int32)
-        at = self.order
-        for _ in range(step):
-            at = previous[at]
-        return row[at]
+        to = np.arange(-step, len(self.text) - step)
+        round_ = np.flatnonzero(to < self.first)
+        to[round_] = self.first[round_] + (to[round_] - self.first[round_]) % self.size[round_]
+        return row[to[self.order]]
 
 
 def merge(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,15 +144,16 @@ def repeated_intervals(shards: list[Shard], depth: int, step: int = 4) -> tuple[
     """
     if not sum(len(s.text) for s in shards):
         return np.empty(0, np.int32), np.empty(0, np.uint8), np.empty(0, np.int64)
-    alphabet, codes = np.unique(np.concatenate([s.before(step) for s in shards]), return_inverse=True)
-    small = len(alphabet) <= 1 << 16
-    codes = codes.astype(np.uint16 if small else np.int64)
+    codes = np.concatenate([s.before(step) for s in shards])
+    low, high = (codes & 0xFFFF).astype(np.uint16), (codes >> 16).astype(np.uint16)
     cuts = np.cumsum([0] + [len(s.text) for s in shards])
     moves = np.concatenate([s.moves(step) + np.int32(a) for s, a in zip(shards, cuts, strict=False)])
     rows, block = np.arange(cuts[-1], dtype=np.int32), np.zeros(cuts[-1], np.int32)
     for _ in range(0, depth, step):
         c = codes[rows]
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(low[rows], kind="stable")
+        if step > 2:
+            order = order[np.argsort(high[rows[order]], kind="stable")]
         c, block, rows = c[order], block[order], moves[rows[order]]
         new = np.ones(len(rows) + 1, bool)
         new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])

@@ -34,7 +34,7 @@ from tidelog.llm.shared import release
 from tidelog.session import materialize
 
 #: Windows of a segment at most; bytes of a collection and of a shard, about; places that make a hash crowded.
-RUN, COLLECTION, SHARD, CROWDED = 256, 1 << 20, 1 << 18, 1_000
+RUN, COLLECTION, SHARD, CROWDED = 256, 1 << 20, 1 << 17, 1_000
 GRAM, LONG_GRAM = 32, 64
 MIX = [int.from_bytes(hashlib.blake2b(b"gram %d" % i, digest_size=8).digest(), "little") | 1 for i in range(4)]
 BYTE_VALUES = np.array([int.from_bytes(hashlib.blake2b(b"byte %d" % i, digest_size=8).digest(), "little") | 1 for i in range(256)], np.uint64)
