@@ -24,7 +24,7 @@ class Shard:
         lengths = np.array([len(s) + 1 for s in strings], np.int64)
         ends = np.cumsum(lengths)
         self.first = np.repeat(ends - lengths, lengths)  # where the string of each byte begins
-        self.size = np.repeat(lengths, lengths)
+        self.size, self.begins = np.repeat(lengths, lengths), ends - lengths
         near = np.arange(8)
         tail, head = ends[:, None] - 1 - near, (ends - lengths)[:, None] + near
         self.edges = np.where(near < lengths[:, None], tail, -1), np.where(near < lengths[:, None], head, -1)
@@ -40,7 +40,7 @@ class Shard:
         else:
             out[min(n, k) :] = self.text[: max(0, n - k)]
             wrong = self.edges[1][:, :k]
-        at = np.unique(wrong[wrong >= 0])  # starts so near a string's edge that the byte is round the corner
+        at = wrong[wrong >= 0]  # starts so near a string's edge that the byte is round the corner
         first, size = self.first[at], self.size[at]
         out[at] = self.text[first + (at - first + offset) % size]
         return out
@@ -145,15 +145,14 @@ def repeated_intervals(shards: list[Shard], depth: int, step: int = 4) -> tuple[
     if not sum(len(s.text) for s in shards):
         return np.empty(0, np.int32), np.empty(0, np.uint8), np.empty(0, np.int64)
     codes = np.concatenate([s.before(step) for s in shards])
-    low, high = (codes & 0xFFFF).astype(np.uint16), (codes >> 16).astype(np.uint16)
     cuts = np.cumsum([0] + [len(s.text) for s in shards])
     moves = np.concatenate([s.moves(step) + np.int32(a) for s, a in zip(shards, cuts, strict=False)])
     rows, block = np.arange(cuts[-1], dtype=np.int32), np.zeros(cuts[-1], np.int32)
     for _ in range(0, depth, step):
         c = codes[rows]
-        order = np.argsort(low[rows], kind="stable")
+        order = np.argsort(c.astype(np.uint16), kind="stable")
         if step > 2:
-            order = order[np.argsort(high[rows[order]], kind="stable")]
+            order = order[np.argsort((c >> np.uint32(16)).astype(np.uint16)[order], kind="stable")]
         c, block, rows = c[order], block[order], moves[rows[order]]
         new = np.ones(len(rows) + 1, bool)
         new[1:-1] = (c[1:] != c[:-1]) | (block[1:] != block[:-1])

@@ -246,7 +246,7 @@ def repeated_windows(strings: list[bytes], k: np.ndarray, s: np.ndarray, width:
     for i, (shard, own) in enumerate(zip(shards, numbers, strict=True)):
         mine = of == i
         first = shard.first[start[mine]]
-        string[mine] = own[np.searchsorted(np.unique(shard.first), first)]
+        string[mine] = own[np.searchsorted(shard.begins, first)]
         offset[mine] = start[mine] - first
     lengths = np.array([len(x) for x in strings], np.int64)
     whole = offset + width <= lengths[string]  # windows, and not rows that pass a string's end
