@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +19,13 @@ def shingle_set(text, size=5):
 
 def brute(texts):
     """texts: id -> text. Returns id -> (set size, component)."""
-    sets = {k: shingle_set(t) for k, t in texts.items()}
-    root = {k: k for k in texts}
+    return dict(zip(texts, brute_rows(list(texts.items())), strict=True))
+
+
+def brute_rows(rows, percent=75):
+    """rows: (id, text), where ids may repeat. Returns (set size, component) of each row, by all pairs with a common shingle."""
+    sets = [shingle_set(t) if k is not None else set() for k, t in rows]
+    root = list(range(len(rows)))
 
     def find(k):
         while root[k] != k:
@@ -27,24 +33,29 @@ def brute(texts):
         return k
 
     by_token = {}
-    for k, s in sets.items():
+    for k, s in enumerate(sets):
         for t in s:
             by_token.setdefault(t, []).append(k)
-    pairs = {p for ks in by_token.values() for p in combinations(sorted(ks), 2)}
-    for a, b in pairs:
+    for a, b in {p for ks in by_token.values() for p in combinations(ks, 2)}:
         both = len(sets[a] & sets[b])
-        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
-    return {k: (len(sets[k]), find(k)) for k in texts}
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            root[find(b)] = find(a)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = i if i is None else min(i, least.get(find(k), i))
+    return [(len(shingle_set(t)), least[find(k)]) for k, (_, t) in enumerate(rows)]
 
 
 def check(spark, texts, partitions=4):
-    docs = spark.createDataFrame([(k, t, "x") for k, t in texts.items()], "doc_id long, text string, digest string").repartition(partitions)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
-    want = brute(texts)
-    assert got == want
-    return got
+    return dict(zip(texts, check_rows(spark, list(texts.items()), 75, partitions), strict=True))
+
+
+def check_rows(spark, rows, percent, partitions=4):
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in rows], "doc_id long, text string, digest string, node int").repartition(partitions)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, threshold=percent / 100).collect())
+    want = brute_rows(rows, percent)
+    assert got == Counter((k, *w) for (k, _), w in zip(rows, want, strict=True))
+    return want
 
 
 def edited(words, rng, edits):
@@ -65,6 +76,31 @@ def test_edge_cases(spark):
     assert got == sorted([(None, None), (1, 1), (2, 1), (2, 2), (3, 2)], key=repr)
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    a = [f"w{i}" for i in range(40)]
+    b, c = ["x", "y", "z", *a[3:]], [*a[:37], "p", "q", "r"]  # both link with a, but not with each other
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (3, " ".join(c))]
+    assert check_rows(spark, rows, 75) == [(36, 3)] * 3
+    check_rows(spark, [(7, t) for _, t in rows] * 20 + [(None, " ".join(a)), (7, None)], 75)
+    with pytest.raises(ValueError):
+        jaccard_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), threshold=0)
+
+
+@pytest.mark.parametrize("percent", [30, 50, 75, 90])
+@pytest.mark.parametrize("rare", [2, 8])
+def test_thresholds_and_repeated_ids(spark, monkeypatch, percent, rare):
+    monkeypatch.setattr(jaccard_join, "RARE", rare)
+    rng = random.Random(percent + rare)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = []
+    for n in (8, 64, 200):
+        for _ in range(4):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            rows += [edited(base[: rng.randrange(n // 4, n + 1)], rng, rng.randrange(0, 1 + n // 25)) for _ in range(12)]
+            rows += [" ".join(base[rng.randrange(n // 2) :] + [rng.choice(vocabulary) for _ in range(rng.randrange(n))]) for _ in range(4)]
+    check_rows(spark, [(rng.randrange(60), t) for t in rows + rows[:30]], percent)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_passages_and_chains(spark, seed):
     """Near copies in small and large groups, chains of edits, shared passages, documents made of passages only."""
@@ -115,6 +151,18 @@ def test_prefixes_of_linked_sets_share_a_signature():
         assert np.intersect1d(signatures(a, frequent(a), 0.75), signatures(b, frequent(b), 0.75)).size
 
 
+def test_linked_sets_of_any_sizes_share_a_signature_at_low_thresholds():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        small, large = int(rng.integers(3, 120)), int(rng.integers(100, 400))
+        b = np.unique(rng.integers(0, 1 << 48, large, dtype=np.uint64))
+        a = np.sort(rng.permutation(b)[:small])
+        for t in (0.1, 0.3, 0.5):
+            if len(a) >= t * len(b):
+                all_ = lambda x: np.ones(len(x), bool)
+                assert np.intersect1d(signatures(a, all_(a), t), signatures(b, all_(b), t)).size
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(30)] + [(None, 7)]

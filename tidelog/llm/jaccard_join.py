@@ -11,10 +11,14 @@ Tokens travel in packed blobs by hash part; what is frequent within a task leave
 *Frequent tokens, in combinations.* Documents that fall short (mostly of passages that many share, or in large
 groups of near copies) extend their prefix over all their tokens: rare ones first, singly, then frequent
 ones by pairs. A pair stays within one of m hash groups, so a prefix with f tokens in a group survives f - 1
-losses there; prefixes grow until the losses that all groups bear exceed e. m follows from the size class of
-the smaller document, so a document near a class border indexes its pairs for both classes.
+losses there; prefixes grow until the losses that all groups bear exceed e. (Sets so small that a link may have
+one common token only go by single ones throughout.) m follows from the size class of
+the smaller document, so a document indexes its pairs for each class that a smaller partner may be of.
 
-*Verify.* Documents with equal sets are one node from the start. Candidates are compared by their full sets.
+*Nodes.* Documents with equal sets are one node from the start, known by a digest of the set, so neither copies
+nor rows that share an id matter here: a node indexes its tokens once a task, and ids come back at the end.
+
+*Verify.* Candidates are compared by their full sets.
 Of a combination's documents all are first compared with one leader; only documents that this leaves in
 different components are compared with each other. Thus a group of near copies costs a link each, not a
 pair each, and no link between components is lost.
@@ -35,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.components import components
-from tidelog.llm.shared import release
+from tidelog.llm.shared import parts_of, release
 from tidelog.session import materialize
 
 #: A token in more documents than this is frequent.
@@ -104,8 +108,12 @@ def signatures(tokens: np.ndarray, is_frequent: np.ndarray, threshold: float) ->
     if len(rare) > lacks:
         return rare.astype(np.int64)
     need, frequent, out = lacks + 1 - len(rare), tokens[is_frequent], [rare.astype(np.int64)]
-    for level in {int(np.log2(max(1, threshold * n))), int(np.log2(n))}:
-        m = max(1, (1 << level) // 8)
+    for level in range(int(np.log2(max(1, threshold * n))), int(np.log2(n)) + 1):  # of every smaller partner
+        common = int(np.ceil(np.round(threshold * (1 << level), 6)))  # tokens that a link has at least
+        if common < 2:  # too few for pairs
+            out.append(_hashed(frequent[:need], np.uint64(0), level))
+            continue
+        m = max(1, min((1 << level) // 8, common - 1))
         group = frequent % np.uint64(m)
         order = np.argsort(group, kind="stable")
         first = np.zeros(len(frequent), bool)
@@ -117,26 +125,33 @@ def signatures(tokens: np.ndarray, is_frequent: np.ndarray, threshold: float) ->
         for start, length in zip(*runs_of(group[order]), strict=True):
             at = chosen[order[start : start + length]]
             i, j = np.triu_indices(length, 1)
-            h = (at[i] * MULTIPLIERS[1] + at[j] * MULTIPLIERS[2] + np.uint64(level)) * MULTIPLIERS[3]
-            h ^= h >> np.uint64(31)
-            out.append(((h >> np.uint64(2)) | np.uint64(PAIRS)).astype(np.int64))
+            out.append(_hashed(at[i], at[j], level))
     return np.concatenate(out)
 
 
+def _hashed(a: np.ndarray, b: np.ndarray | np.uint64, level: int) -> np.ndarray:
+    h = (a * MULTIPLIERS[1] + b * MULTIPLIERS[2] + np.uint64(level)) * MULTIPLIERS[3]
+    h ^= h >> np.uint64(31)
+    return ((h >> np.uint64(2)) | np.uint64(PAIRS)).astype(np.int64)
+
+
 def _rows(schema: pa.Schema, columns) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-SIZES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("q", pa.int64()), ("digest", pa.binary())])
+SIZES = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("q", pa.int64()), ("digest", pa.binary()), ("node", pa.int64())])
 BLOBS = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
 def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_tokens: int = 1 << 20) -> DataFrame:
-    """One pass over the texts. Rows of part -1 hold ids (null ones too), set sizes, tokens below the bound and
-    digests of sets; the others hold the tokens of a part with their documents."""
+    """One pass over the texts. Rows of part -1 hold ids (null ones too), hashes of texts, set sizes, tokens below the
+    bound, digests of sets and numbers of nodes; the others hold the tokens of a part with their nodes.
+
+    A node's number is 63 bits of its digest: should two nodes share one, both become candidates of what either meets.
+    """
 
-    def flush(sizes: list, ids: list, tokens: list, flags: list) -> Iterator[pa.RecordBatch]:
+    def flush(sizes: list, nodes: list, tokens: list, flags: list) -> Iterator[pa.RecordBatch]:
         if sizes:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, SIZES) as w:
@@ -144,7 +159,7 @@ def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_t
             yield _rows(BLOBS, [[-1], [pack(sink.getvalue().to_pybytes())]])
         if not tokens:
             return
-        owner = np.repeat(np.array(ids, np.int64), [len(t) for t in tokens])
+        owner = np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
         t, f = np.concatenate(tokens), np.concatenate(flags)
         order = np.argsort(t, kind="stable")
         t, f, owner = t[order], f[order], owner[order]
@@ -166,15 +181,18 @@ def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_t
             yield _rows(BLOBS, [[int(hot_ids[0] % parts)], [pack(np.empty(0, np.uint64), hot_ids, hot_counts.astype(np.int64))]])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], [], []), 0
+        held, size, seen = ([], [], [], []), 0, set()
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc_id, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 u = shingles((text.as_py() or "").encode(), shingle)
                 t = u >> np.uint64(16)
-                held[0].append((doc_id, len(u), int(np.searchsorted(t, bound(len(u), threshold))), hashlib.blake2b(u.tobytes(), digest_size=16).digest()))
-                if len(u) and doc_id is not None:
+                digest = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+                node = int.from_bytes(digest[:8], "little") >> 1
+                held[0].append((doc_id, h, len(u), int(np.searchsorted(t, bound(len(u), threshold))), digest, node))
+                if len(u) and doc_id is not None and node not in seen:
+                    seen.add(node)
                     t = t[: np.searchsorted(t, bound(threshold * len(u), threshold))]
-                    for to, x in zip(held[1:], (doc_id, t, t < bound(len(u), threshold)), strict=True):
+                    for to, x in zip(held[1:], (node, t, t < bound(len(u), threshold)), strict=True):
                         to.append(x)
                     size += len(t)
                 if size >= chunk_tokens or len(held[0]) >= 1 << 16:
@@ -193,11 +211,15 @@ def _sizes(scanned: DataFrame) -> DataFrame:
                 with pa.ipc.open_stream(unpack(payload.as_py())[0]) as reader:
                     yield from reader
 
-    return scanned.filter("part = -1").select("payload").mapInArrow(unpacked, "id long, n long, q long, digest binary")
+    return scanned.filter("part = -1").select("payload").mapInArrow(unpacked, "id long, h long, n long, q long, digest binary, node long")
 
 
 def _single_index(scanned: DataFrame) -> DataFrame:
-    """kind 0: ids that share a rare token; kind 1: an id and how many of its tokens below its bound are frequent."""
+    """kind 0: nodes that share a rare token; kind 1: a node and how many of its tokens below its bound are frequent.
+
+    Tokens that are frequent within several tasks may count a node's copies more than once; too high a count costs a
+    place in the combination index and nothing else.
+    """
 
     def meet(table: pa.Table) -> pa.Table:
         tokens, owners, flags, out = [], [], [], [np.empty((0, 3), np.int64)]
@@ -211,8 +233,11 @@ def _single_index(scanned: DataFrame) -> DataFrame:
                 out.append(np.stack([np.ones(len(owner), np.int64), owner, flag], 1))
         if tokens:
             t, owner, flag = np.concatenate(tokens), np.concatenate(owners), np.concatenate(flags)
-            order = np.argsort(t, kind="stable")
+            order = np.lexsort((owner, t))
             t, owner, flag = t[order], owner[order], flag[order]
+            new = np.ones(len(t), bool)
+            new[1:] = (t[1:] != t[:-1]) | (owner[1:] != owner[:-1])  # copies of a node in several tasks are one
+            t, owner, flag = t[new], owner[new], flag[new]
             starts, lengths = runs_of(t)
             marked = np.add.reduceat((flag >= 2).astype(np.int64), starts) > 0
             hot = marked | (lengths > RARE)
@@ -224,7 +249,6 @@ def _single_index(scanned: DataFrame) -> DataFrame:
                 rows = owner[starts[(lengths == length) & ~hot][:, None] + np.arange(length)]
                 pairs += [np.stack([np.minimum(rows[:, i], rows[:, j]), np.maximum(rows[:, i], rows[:, j])], 1) for i, j in combinations(range(length), 2)]
             pairs = np.concatenate(pairs)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
             new = np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]) if len(pairs) else np.empty(0, bool)
             pairs = pairs[new]
@@ -236,26 +260,29 @@ def _single_index(scanned: DataFrame) -> DataFrame:
 
 
 def _pool(source: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
-    """digest, n, hard and packed text of the chosen representatives (id, digest, n, hard)."""
-    zipped = pa.schema([("id", pa.int64()), ("z", pa.binary())])
+    """digest, n, hard and packed text of the chosen nodes (id, h, digest, n, hard).
+
+    A row is found by its id and its text's hash, so only rows that repeat both come more than once; they fold.
+    """
+    zipped = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("z", pa.binary())])
     pooled = pa.schema([("digest", pa.binary()), ("n", pa.int64()), ("hard", pa.bool_()), ("z", pa.binary())])
 
     def squeeze(batches):
         c = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield _rows(zipped, [b.column(0), [c.compress((t.as_py() or "").encode()) for t in b.column(1)]])
+            yield _rows(zipped, [b.column(0), b.column(1), [c.compress((t.as_py() or "").encode()) for t in b.column(2)]])
 
     def right_ones(batches):
         for b in batches:
             rows = []
             for digest, n, hard, z in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 u = shingles(zstandard.ZstdDecompressor().decompress(z), shingle)
-                if hashlib.blake2b(u.tobytes(), digest_size=16).digest() == digest:  # an id may repeat with another text
+                if hashlib.blake2b(u.tobytes(), digest_size=16).digest() == digest:  # else a text of one id that shares a hash
                     rows.append((digest, n, hard, z))
             if rows:
                 yield _rows(pooled, zip(*rows, strict=True))
 
-    joined = source.mapInArrow(squeeze, "id long, z binary").join(reps, "id").select("digest", "n", "hard", "z")
+    joined = source.mapInArrow(squeeze, "id long, h long, z binary").join(reps, ["id", "h"]).select("digest", "n", "hard", "z")
     return joined.mapInArrow(right_ones, "digest binary, n long, hard boolean, z binary").dropDuplicates(["digest"])
 
 
@@ -354,28 +381,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per document: id_col, n_shingles, component_id (the smallest id that its links reach).
 
     Two documents link if the Jaccard similarity of their sets of `shingle`-word shingles is at least the
-    threshold (a whole percentage); A-Z count as a-z; fewer words are one shingle. Documents without words
+    threshold (a whole percentage above 0); A-Z count as a-z; fewer words are one shingle. Documents without words
     (null and empty texts too) have an empty set and link with nothing, each being its own component. Equal
     sets are linked whatever their number. Ids are whole numbers; rows with a null id link with nothing and have
-    a null component_id; rows that repeat an id are documents of their own that share it. Other columns are
-    ignored. Empty in, empty out.
+    a null component_id; rows that repeat an id are documents of their own that share it, each with its own links.
+    Other columns are ignored. Empty in, empty out. A very long text is one row of one task, held with its set
+    (8 bytes a shingle) by one Python worker, and with its partner's in each comparison.
     """
     spark, percent = docs.sparkSession, round(threshold * 100)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = materialize(_scan(source, threshold, shingle, parts), "join-scan")
+    if not 1 <= percent <= 100:
+        raise ValueError("threshold is from 0.01 to 1")
+    text = F.col(text_col).cast("string")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    scanned = materialize(_scan(source, threshold, shingle, parts_of(source)), "join-scan")
     sizes = _sizes(scanned)
     found = materialize(_single_index(scanned), "join-singles")
 
-    frequent = found.filter("kind = 1").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("f"))
+    frequent = found.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("f"))
     lacks = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(threshold), 6))
-    marked = sizes.filter("id is not null and n > 0").join(frequent, "id", "left").withColumn("hard", F.col("q") - F.coalesce("f", F.lit(0)) <= lacks)
-    reps = marked.groupBy("digest").agg(F.min("id").alias("id"), F.min("n").alias("n"), F.max("hard").alias("hard"))
-    side = lambda c: sizes.select(F.col("id").alias(c), F.col("digest").alias(f"d{c}"), F.col("n").alias(f"n{c}"))
+    nodes = sizes.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.min(c).alias(c) for c in ("n", "q", "node")])
+    nodes = nodes.join(frequent, "node", "left").withColumn("hard", F.col("q") - F.coalesce("f", F.lit(0)) <= lacks)
+    nodes = materialize(nodes.select("node", "digest", "n", "hard", "rep.id", "rep.h"), "join-nodes")
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("digest").alias(f"d{c}"), F.col("n").alias(f"n{c}"))
     near = found.filter("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(close(F.col("na"), F.col("nb"), percent) & (F.col("da") != F.col("db")))
     pairs = materialize(near.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct(), "join-pairs")
-    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(reps.filter("hard").select("digest")).distinct()
-    pool = materialize(_pool(source, reps.join(wanted, "digest"), shingle), "join-pool")
+    wanted = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(nodes.filter("hard").select("digest")).distinct()
+    pool = materialize(_pool(source, nodes.drop("node").join(wanted, "digest"), shingle), "join-pool")
 
     signed = materialize(_combination_index(pool.filter("hard"), threshold, shingle), "join-combinations")
     # the leader has the fewest rare tokens: of near copies, the one that least was changed in

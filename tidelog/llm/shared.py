@@ -42,6 +42,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def parts_of(texts: DataFrame, text_col: str = "text", part_bytes: int = 10 << 20) -> int:
+    """Into how many parts to deal what comes from these texts, so that a part's share of them stays bounded: by their
+    size (one native pass over the column), and at least as many as shuffle partitions."""
+    size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    return max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+
+
 def release() -> None:
     """Give freed memory back to the system: an executor's Python workers wait between tasks with what they hold."""
     gc.collect()
