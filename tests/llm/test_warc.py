@@ -1,7 +1,10 @@
 import hashlib
 import io
+from collections import Counter
 
+import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tidelog.llm.queries import op3_warc
 from tidelog.llm.shared import table
@@ -28,7 +31,7 @@ def test_round_trip_revisits_and_index(spark, tmp_path):
     assert len(got) == len(ROWS)
     for rid, _, html, _ in ROWS:
         raw = (html or "").encode()
-        for r in [r for r in got if r.record_id == ("" if rid is None else str(rid))]:
+        for r in [r for r in got if r.record_id == (None if rid is None else str(rid))]:
             assert (r.payload_bytes, r.payload_digest) == (len(raw), hashlib.sha256(raw).hexdigest())
             if rid in (5, None):
                 assert (r.record_type, r.refers_to, r.payload) == ("revisit", "3", None)
@@ -51,6 +54,31 @@ def test_empty(spark):
     assert read_records(write_bundles(spark.createDataFrame([], "page_id long, url string, html string"))).collect() == []
 
 
+@pytest.mark.parametrize("rows", [[], ROWS, [(None, None, None, 1)], [(None, "u", "q" * 200, 1)] * 3, [(1, None, "é" * 50, 2)] * 3 + [(0, "u", "é" * 50, 1)]])
+def test_query_on_odd_tables(spark, tmp_path, rows):
+    """Nulls in any column, repeated ids and rows, extra columns and empty tables, through the query itself."""
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest long").write.parquet(str(tmp_path / "pages.parquet"))
+    ids = {}
+    for i, _, html, _ in rows:
+        raw = (html or "").encode()
+        ids[raw] = min((x for x in (ids.get(raw), i) if x is not None), default=None)
+    want = Counter()
+    for i, _, html, _ in rows:
+        raw = (html or "").encode()
+        again = len(raw) >= 100 and ids[raw] is not None and ids[raw] != i
+        want[i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", ids[raw] if again else None] += 1
+    got = op3_warc(spark, str(tmp_path))
+    assert got.dtypes == [("page_id", "bigint"), ("payload_bytes", "bigint"), ("payload_digest", "string"), ("record_type", "string"), ("refers_to", "bigint")]
+    assert Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_an_index_that_lies_is_an_error(spark):
+    bundles = write_bundles(spark.createDataFrame(ROWS[:4], "page_id long, url string, html string, digest long"))
+    wrong = bundles.withColumn("record_ids", F.reverse("record_ids"))
+    with pytest.raises(Exception, match="the index has"):
+        read_records(wrong).collect()
+
+
 def test_query_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     pages = {r.page_id: (r.html or "").encode() for r in table(spark, d, "pages").collect()}

@@ -14,6 +14,7 @@ import os
 import struct
 import urllib.parse
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -120,8 +121,9 @@ def write_bundles(pages: DataFrame, path: str | None = None, id_col: str = "page
 
     Of records with equal payloads of at least min_revisit bytes the one with the smallest id is a response and
     the others revisit it. Payloads are UTF-8, null is empty; a null id is an empty one in the archive and never
-    the smallest; a null url has no target header; rows that repeat the smallest id are all responses. Other
-    columns are ignored. An empty table gives an archive without bundles.
+    the smallest (where all ids of a payload are null, all are responses); a null url has no target header; rows
+    that repeat the smallest id are all responses. Other columns are ignored. An empty table gives an archive
+    without bundles. A payload is one row of one task and has to fit its Python worker.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
@@ -154,9 +156,14 @@ def read_bundles(spark, path: str) -> DataFrame:
     return spark.read.schema(BUNDLES).parquet(path)
 
 
+def _ids() -> F.Column:
+    """The archive's ids with null for the empty one, which stands for it there."""
+    return F.transform("record_ids", lambda x: F.when(x != "", x)).alias("record_ids")
+
+
 def record_index(bundles: DataFrame) -> DataFrame:
     """record_id, bundle, frame, offset (in the unpacked frame), length: where each record lies. Reads no data."""
-    each = F.explode(F.arrays_zip("record_ids", "frames", "offsets", "lengths")).alias("r")
+    each = F.explode(F.arrays_zip(_ids(), F.col("frames"), F.col("offsets"), F.col("lengths"))).alias("r")
     return bundles.select("bundle", each).select(F.col("r.record_ids").alias("record_id"), "bundle", F.col("r.frames").alias("frame"), F.col("r.offsets").alias("offset"), F.col("r.lengths").alias("length"))
 
 
@@ -164,26 +171,36 @@ READ = "record_id string, record_type string, url string, payload_bytes long, pa
 
 
 def read_records(bundles: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record of the bundles, frame by frame; a response's digest is taken from its payload and must agree."""
+    """Every record of the bundles, cut out at its index entry; a record that isn't what the index says is an error.
+
+    Frames are unpacked one after another, each by its place in the seek table, and held one at a time. A response's
+    digest is taken from its payload and must agree. The empty id of the archive comes back as null. A very long
+    payload makes a frame of its own, which one Python worker holds with its record.
+    """
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("bundle", pa.string()), ("frame", pa.int32()), ("offset", pa.int32()), ("payload", pa.binary())])
+    bare = lambda headers, h: headers[h][1:-1].removeprefix(RECORD_ID) if h in headers else None
+
+    def row(raw: bytes, name: str, entry: tuple) -> tuple:
+        rid, frame, offset, length = entry
+        headers, n, payload, end = parse(raw, offset)
+        digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
+        if bare(headers, "WARC-Record-ID") != rid or end != offset + length:
+            raise ValueError(f"{headers['WARC-Record-ID']}: the index has {rid} here")
+        if payload is not None and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"{headers['WARC-Record-ID']}: the payload isn't what was archived")
+        return rid or None, headers["WARC-Type"], headers.get("WARC-Target-URI"), n, digest, bare(headers, "WARC-Refers-To"), name, frame, offset, payload if with_payload else None
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, blob in zip(batch.column(0), batch.column(1), strict=True):
+            for name, blob, *index in zip(*(batch.column(i) for i in range(6)), strict=True):
                 name, data = name.as_py(), blob.as_py()
-                for k, frame in enumerate(read_seek_table(data)):
-                    raw, at, rows = read_frame(data, frame), 0, []
-                    while at < len(raw):
-                        offset = at
-                        headers, n, payload, at = parse(raw, at)
-                        digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if payload is not None and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                            raise ValueError(f"{headers['WARC-Record-ID']}: the payload isn't what was archived")
-                        bare = lambda h: headers[h][1:-1].removeprefix(RECORD_ID) if h in headers else None  # noqa: B023, E731
-                        rows.append((bare("WARC-Record-ID"), headers["WARC-Type"], headers.get("WARC-Target-URI"), n, digest, bare("WARC-Refers-To"), name, k, offset, payload if with_payload else None))
+                table = read_seek_table(data)
+                for k, entries in groupby(zip(*(x.as_py() for x in index), strict=True), key=lambda e: e[1]):
+                    raw = read_frame(data, table[k])
+                    rows = [row(raw, name, e) for e in entries]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return bundles.select("bundle", "data").mapInArrow(read, READ)
+    return bundles.select("bundle", "data", "record_ids", "frames", "offsets", "lengths").mapInArrow(read, READ)
 
 
 def fetch(bundles: DataFrame, wanted: DataFrame, id_col: str = "record_id") -> DataFrame:
