@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,12 @@ def local_session(cpus: int | str = 8, app: str = "tidelog", memory: str = "8g",
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local folder serves sessions on one
+    machine; on a cluster executors wouldn't see each other's files there, so that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         found = f"file:///tmp/tidelog-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -43,10 +47,22 @@ def _work_folder(spark: SparkSession) -> str:
 _registered: set[str] = set()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete the tables that this application has written between stages; frames read from them can't run again."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_work_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _work_folder(spark))
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that materialize() has written, after their last read; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "_work_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def _at_exit(spark: SparkSession) -> None:
@@ -68,4 +84,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._work_path = path
+    return found
