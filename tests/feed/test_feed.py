@@ -182,12 +182,50 @@ def test_recovery_fixtures(spark, marks, files, order, events, processed):
     assert [int(r.processed) for r in got] == processed
 
 
+def test_positions_over_stretches(spark):
+    """However the log is cut into stretches, names carry on; against a plain loop."""
+    rng, events, want, name = random.Random(3), [], [], "f0"
+    for seq in range(0, 400, 3):
+        if rng.random() < 0.3:
+            new, pos = f"f{rng.randrange(4)}", rng.choice([0, 4])
+            events.append({"seq": seq, "log_pos": 77, "kind": "rotate", "next_log_name": new, "next_pos": pos})
+            if new != name:
+                name = new
+                want.append((seq, name, pos or 77))
+        elif rng.random() < 0.5:
+            events.append({"seq": seq, "log_pos": seq + 1, "kind": "query", "query": "x", "default_schema": "", "error_code": 0})
+            want.append((seq, name, seq + 1))
+    for stretch in (1, 7, 100, 1 << 20):
+        got = recovery.positions(raw(spark, events), Task("t"), "f0", stretch=stretch)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_marks_feed_the_replay(spark):
+    log = spark.createDataFrame([(i, t, "bin.000001", i * 100, "rows") for i in range(1, 6) for t in ("a", "b", "c")] + [(9, "c", "bin.000002", 4, "query")], "seq long, task_id string, log_file string, log_pos long, kind string")
+    done = spark.createDataFrame([("a", "bin.000001", 400), ("a", "bin.000001", 500), ("b", "bin.000001", 500), ("b", "bin.000001", 500)], "task_id string, log_file string, log_pos long")
+    states = recovery.mark_states(log, done)
+    assert {r.task_id: [(m.pos, m.success) for m in r.marks] for r in states.collect()} == {"a": [(400, True), (500, True)], "b": [(400, False), (500, True)], "c": [(400, False), (500, False)]}
+    saved = states.select("task_id", F.lit("bin.000001").alias("position_name"), F.lit(500).cast("long").alias("position_pos"), "marks")
+    got = recovery.replay(log.filter("seq >= 4"), saved)
+    assert {(r.task_id, r.seq) for r in got.collect() if r.processed} == {("b", 4), ("c", 4), ("c", 5)}
+
+
 @pytest.mark.parametrize(("name", "pos", "want"), [("bin.000001", 4, None), ("bin.000002", 4, ("bin.000002", 4)), ("bin.000002", 0, ("bin.000002", 77))])
 def test_rotations(spark, name, pos, want):
     log = raw(spark, [{"seq": 1, "log_pos": 77, "kind": "rotate", "next_log_name": name, "next_pos": pos}])
     assert [(r.name, r.pos) for r in recovery.positions(log, Task("t"), "bin.000001").collect()] == ([want] if want else [])
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidelog.session import shared_dir
+
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,1000]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master)))
+
+
 def test_task_validation():
     with pytest.raises(TaskError):
         Task("").validated()

@@ -1,15 +1,18 @@
 """Streams against their batch twins, restarts, the log source, the store, sinks and the task engine."""
 
 import json
+import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tests.feed.test_feed import raw, row_event, statement
 from tidelog.model import FileConf, KafkaConf, MySQLConfig, RAW_EVENTS, Task, TaskError, TaskUpdate
-from tidelog.operators import encode
+from tidelog.operators import decode, encode
 from tidelog.plans import seeds
-from tidelog.sources.change_log import ChangeLogSource, log_end, stream_events
+from tidelog.sources.change_log import ChangeLogReader, ChangeLogSource, events_batch, file_order, log_end, stream_events, whole_lines
 from tidelog.sources.kv import KeyValueStore
 from tidelog.sources.sinks import KafkaSink, SinkRegistry, read_files
 from tidelog.streaming.engine import Metrics, TaskEngine
@@ -114,7 +117,7 @@ def test_tasks_live_through_stop_update_and_restart(spark, tmp_path):
     e.wait("task_001", 120)
     want.append((5, 0, "insert", "5", 3))
     assert events_of(spark, conf) == want
-    bad = spark.read.parquet(f"{tmp_path}/engine/tasks/task_001/state-0/quarantine/batch=*")
+    bad = e.feed_of("task_001").quarantine()
     assert [(r.seq, r.reason) for r in bad.collect()] == [(6, "wrong number of cells")]
 
     e.update(TaskUpdate("task_001", ("shop",), (), ("shop.t",)))
@@ -126,13 +129,143 @@ def test_tasks_live_through_stop_update_and_restart(spark, tmp_path):
     assert events_of(spark, conf) == want  # the update excluded the table
 
     e = engine(spark, tmp_path, log)
+    assert [p.name for p in (tmp_path / "engine/tasks").iterdir()] == [e._entry("task_001")["home"]]
     e.delete("task_001")
-    assert e.tasks() == []
+    assert e.tasks() == [] and not list((tmp_path / "engine/tasks").iterdir()) and e.secrets.prefix("") == {}
     with pytest.raises(TaskError):
         e.resume("task_001")
     assert 'tidelog_input_rows{task="task_001"}' in metrics.text()
 
 
+def test_a_deleted_task_can_be_created_again(spark, tmp_path):
+    """The new task has nothing of the old one: it starts at the beginning, from the catalog."""
+    log, conf = tmp_path / "log", FileConf(f"file://{tmp_path}/out")
+    log.mkdir()
+    write_log(log, "1.json", [row_event(1, [["1", "x"]]), statement(2, "alter table shop.t add b int"), row_event(3, [["3", "z", "9"]])])
+    e, want = engine(spark, tmp_path, log), [(1, 0, "insert", "1", 2), (3, 0, "insert", "3", 3)]
+    for times in (1, 2):
+        e.create(Task("t", file_conf=conf), once=True)
+        e.wait("t", 120)
+        assert events_of(spark, conf) == sorted(want * times)  # a sink keeps what it was sent before
+        e.delete("t")
+
+
+def test_crashes_between_the_steps_of_a_task(spark, tmp_path, monkeypatch):
+    log, conf = tmp_path / "log", FileConf(f"file://{tmp_path}/out")
+    log.mkdir()
+    write_log(log, "1.json", [row_event(1, [["1", "x"]])])
+    e = engine(spark, tmp_path, log)
+
+    class Crash(BaseException):
+        """Ends the driver, so that nothing after it runs."""
+
+    def crash(*_):
+        raise Crash
+
+    with monkeypatch.context() as m, pytest.raises(Crash):  # registered, but not started yet
+        m.setattr(TaskEngine, "_start", crash)
+        e.create(Task("t", MySQLConfig(password="pw"), file_conf=conf))
+    e = engine(spark, tmp_path, log)
+    assert e.recover_all(once=True) == {"t": None} and e._task(e._entry("t")).mysql.password == "pw"
+    e.wait("t", 120)
+    assert [r[0] for r in events_of(spark, conf)] == [1]
+    with monkeypatch.context() as m, pytest.raises(Crash):  # halted, but not yet marked as stopped
+        m.setattr(TaskEngine, "_save", crash)
+        e.stop("t")
+    e = engine(spark, tmp_path, log)
+    assert e.recover_all(once=True) == {"t": None}
+    e.wait("t", 120)
+    with monkeypatch.context() as m, pytest.raises(Crash):  # a registry that was being written
+        m.setattr(KeyValueStore, "_file", crash)
+        e.store.set("task/t", {})
+    assert engine(spark, tmp_path, log).tasks()[0]["task"]["task_id"] == "t"
+    with pytest.raises(NotImplementedError):
+        e.create(Task("n", nsq_conf={}))
+    assert len(e.tasks()) == 1  # what can't start isn't kept
+
+
+def test_passwords_stay_out_of_the_registry(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    e = engine(spark, tmp_path, log)
+    e.create(Task("t", MySQLConfig("u", "secret1"), file_conf=FileConf(f"file://{tmp_path}/o")), once=True)
+    e.update(TaskUpdate("t", ("shop",)))
+    assert "secret1" not in "".join(p.read_text() for p in (tmp_path / "engine/registry").glob("*.json"))
+    assert (tmp_path / "engine/secrets").stat().st_mode & 0o77 == 0
+    assert e._task(e._entry("t")).mysql.password == "secret1"
+    e.wait("t", 120)
+
+
+def test_the_store_keeps_the_newest_whole_version(spark, tmp_path):
+    kv = KeyValueStore(spark, f"file://{tmp_path}/kv")
+    for i in range(12):
+        kv.set("a/b", i)
+    (tmp_path / "kv" / ".a%2Fb.x.part").write_text("{")  # a writer that died
+    names = sorted(p.name for p in (tmp_path / "kv").iterdir() if p.name.endswith(".json"))
+    assert names == ["a%2Fb~000000000011.json"] and kv.get("a/b") == 11
+    (tmp_path / "kv" / "a%2Fb~000000000010.json").write_text('{"key": "a/b", "value": "10"}')  # or before it deleted the old one
+    assert kv.prefix("a") == {"a/b": 11} and [r.value for r in kv.frame().collect()] == ["11"]
+    kv.delete("a/b")
+    assert kv.prefix("") == {} and kv.frame().collect() == []
+
+
+def test_log_files_by_number_and_whole_lines(spark, tmp_path):
+    names = ["bin.999999.jsonl", "bin.1000000.jsonl", "bin.000002.jsonl"]
+    assert sorted(names, key=file_order) == ["bin.000002.jsonl", "bin.999999.jsonl", "bin.1000000.jsonl"]
+    for n, seq in zip(names, (2, 3, 1)):
+        write_log(tmp_path, n, [row_event(seq, [["1", None]])])
+    end = log_end(str(tmp_path))
+    with open(tmp_path / names[1], "a") as f:
+        f.write('{"seq": 4, "kin' + "x" * 100_000)  # being written
+    assert log_end(str(tmp_path)) == end and end["file"] == names[1]
+    reader = ChangeLogReader({"path": str(tmp_path)})
+    got = [r for p in reader.partitions({"file": names[0], "pos": 0}, end) for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["seq"] for r in got) == [2, 3]
+    odd = events_batch([{"seq": 1, "rows": [[1, None, "x", 2.5], None]}]).to_pylist()[0]["rows"]
+    assert odd == [["1", None, "x", "2.5"], None] and whole_lines(os.devnull) == 0
+
+
+class _Taken(DataSourceWriter):
+    def __init__(self, options):
+        self.folder = options["folder"]
+
+    def write(self, rows):
+        with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(json.dumps([r.asDict() for r in rows]))
+        return WriterCommitMessage()
+
+
+class KafkaStandIn(DataSource):
+    """Takes what the sink sends, a file a task."""
+
+    @classmethod
+    def name(cls):
+        return "kafka_stand_in"
+
+    def writer(self, schema, overwrite):
+        assert not overwrite and self.options["kafka.bootstrap.servers"] == "h:1,i:2" and [f.name for f in schema] == ["topic", "key", "value"]
+        return _Taken(self.options)
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_kafka_messages(spark, tmp_path, monkeypatch, ordered):
+    spark.dataSource.register(KafkaStandIn)
+    sink = KafkaSink(KafkaConf(("h:1", "i:2"), ordered=ordered))
+    options = sink.options()
+    monkeypatch.setattr(sink, "format", "kafka_stand_in")
+    monkeypatch.setattr(sink, "options", lambda: options | {"folder": str(tmp_path)})
+    log = raw(spark, [row_event(i, [[str(i), "x"], [str(i), "y"]], tbl="tu"[i % 2]) for i in range(60)]).repartition(5)
+    rows = decode.row_events(log, Task("k")).withColumn("columns", seeds.columns(("id", "a")))
+    sink.send(decode.decoded(rows, "k"), "0-0")
+    tasks = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    sent = [(m["topic"], m["key"], json.loads(m["value"])) for t in tasks for m in t]
+    assert len(sent) == 120 and {m[0] for m in sent} == {"k.shop.t", "k.shop.u"} and {m[1] for m in sent} == ({"shop.t", "shop.u"} if ordered else {None})
+    if ordered:
+        for key in ("shop.t", "shop.u"):
+            per_task = [[int(json.loads(m["value"])["after"]["id"]) for m in t if m["key"] == key] for t in tasks]
+            assert [p for p in per_task if p] == [sorted(x for p in per_task for x in p)]
+
+
 def test_resume_from_the_latest(spark, tmp_path):
     log, conf = tmp_path / "log", FileConf(f"file://{tmp_path}/out")
     log.mkdir()
@@ -147,12 +280,28 @@ def test_resume_from_the_latest(spark, tmp_path):
     assert [r[0] for r in events_of(spark, conf)] == [1, 101, 101]  # the new run reads from the latest on, beside the old one
 
 
+def test_resume_from_the_latest_keeps_the_column_lists(spark, tmp_path):
+    log, conf = tmp_path / "log", FileConf(f"file://{tmp_path}/out")
+    log.mkdir()
+    write_log(log, "1.json", [row_event(1, [["1", "x"]]), statement(2, "alter table shop.t add b int")])
+    e = engine(spark, tmp_path, log)
+    e.create(Task("t", file_conf=conf), once=True)
+    e.wait("t", 120)
+    for seq in range(100, 106):  # so many batches that old states go
+        write_log(log, f"{seq}.json", [row_event(seq, [[str(seq), "x", "y"]])])
+        (e.resume_latest if seq == 100 else e.resume)("t", once=True)
+        e.wait("t", 120)
+    assert [(r[0], r[4]) for r in events_of(spark, conf)] == [(1, 2)] + [(seq, 3) for seq in range(100, 106)]
+    assert len(list((tmp_path / "engine/tasks").glob("*/state/schemas/*"))) <= 3
+    assert [c.name for c in e.feed_of("t").schemas().first().columns] == ["id", "a", "b"]
+
+
 def test_a_failing_task_does_not_stop_others(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()
     e = engine(spark, tmp_path, log)
-    e.store.set("task/bad", {"task": Task("bad", nsq_conf={}).to_dict(), "server_id": 1, "stopped": False, "run": 0, "starting": None})
-    e.store.set("task/good", {"task": Task("good", file_conf=FileConf(f"file://{tmp_path}/o")).to_dict(), "server_id": 1, "stopped": False, "run": 0, "starting": None})
+    e.store.set("task/bad", {"task": Task("bad", nsq_conf={}).to_dict(), "server_id": 1, "stopped": False, "run": 0, "starting": None, "home": "bad"})
+    e.store.set("task/good", {"task": Task("good", file_conf=FileConf(f"file://{tmp_path}/o")).to_dict(), "server_id": 1, "stopped": False, "run": 0, "starting": None, "home": "good"})
     found = e.recover_all(once=True)
     assert found["good"] is None and "not supported" in found["bad"]
     e.wait("good", 120)
@@ -178,5 +327,5 @@ def test_split_logs_and_reruns_give_one_result(spark, tmp_path):
         found.append(events_of(spark, conf))
     assert found[0] == found[1] and len(found[0]) == 42
     sink = e.sinks.get("t")
-    sink.send(spark.createDataFrame([], "x int").select(*[F.lit(None).cast(t).alias(n) for n, t in [("database", "string"), ("table", "string"), ("action", "string"), ("before", "map<string,string>"), ("after", "map<string,string>"), ("org_row", "array<array<string>>"), ("event_header", "struct<timestamp:bigint,log_pos:bigint>"), ("topic", "string"), ("key", "string"), ("seq", "long"), ("row_index", "long")]]).limit(0), "0-1")
+    sink.send(spark.createDataFrame([], "x int").select(*[F.lit(None).cast(t).alias(n) for n, t in [("database", "string"), ("table", "string"), ("action", "string"), ("before", "map<string,string>"), ("after", "map<string,string>"), ("org_row", "array<array<string>>"), ("event_header", "struct<timestamp:bigint,log_pos:bigint>"), ("topic", "string"), ("key", "string"), ("seq", "long"), ("row_index", "long")]]).limit(0), f"{e._entry('t')['home']}-0-1")
     assert len(events_of(spark, conf)) < 42  # a batch that is sent again takes its own place

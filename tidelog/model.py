@@ -36,10 +36,13 @@ class MySQLConfig:
 
 @dataclass(frozen=True)
 class KafkaConf:
+    """ordered: a table's events arrive in the order of the log, which takes one task a table; else they are spread."""
+
     brokers: tuple[str, ...] = ()
     enable_sasl: bool = False
     user: str = ""
     password: str = ""
+    ordered: bool = True
 
 
 @dataclass(frozen=True)
@@ -77,13 +80,15 @@ class Task:
         change.validated()
         return replace(self, database=change.database, tables=change.tables, exclude_table=change.exclude_table)
 
+    def passwords(self) -> dict[str, str]:
+        """By the part of the task that has them."""
+        return {part: conf.password for part in ("mysql", "kafka_conf") if (conf := getattr(self, part)) and conf.password}
+
+    def with_passwords(self, found: dict[str, str]) -> Task:
+        return replace(self, **{part: replace(getattr(self, part), password=p) for part, p in found.items() if getattr(self, part)})
+
     def to_dict(self, secrets: bool = True) -> dict:
-        found = asdict(self)
-        if not secrets:
-            for part in ("mysql", "kafka_conf"):
-                if found[part] and found[part]["password"]:
-                    found[part] = found[part] | {"password": "***"}
-        return found
+        return asdict(self if secrets else self.with_passwords(dict.fromkeys(self.passwords(), "***")))
 
     @staticmethod
     def from_dict(d: dict) -> Task:

@@ -28,16 +28,26 @@ def reason() -> Column:
     )
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """rows with `reason`, worked out once where a frame is kept and read several times."""
+    return rows if "reason" in rows.columns else rows.withColumn("reason", reason())
+
+
 def quarantined(rows: DataFrame) -> DataFrame:
     """Events that can't be decoded, with the reason. rows: row events with action and columns."""
-    return rows.withColumn("reason", reason()).filter(F.col("reason").isNotNull())
+    return checked(rows).filter(F.col("reason").isNotNull())
+
+
+def with_names(versions: DataFrame) -> DataFrame:
+    """versions with `names` of their columns and plain_names, whether none repeats: once a version, not once an image."""
+    names = F.transform("columns", lambda c: c["name"])
+    return versions.withColumns({"names": names, "plain_names": F.size(F.array_distinct(names)) == F.size(names)})
 
 
-def zipped(names: Column, cells: Column) -> Column:
-    """Names to cells by position; of a name that repeats the last cell counts."""
-    n = F.size(names)
-    last = F.filter(F.arrays_zip(names.alias("k"), cells.alias("v")), lambda e, i: ~F.array_contains(F.slice(names, i + 2, n), e["k"]))
-    return F.when(F.size(F.array_distinct(names)) == n, F.map_from_arrays(names, cells)).otherwise(F.map_from_entries(last))
+def zipped(names: Column, plain: Column, cells: Column) -> Column:
+    """Names to cells by position; of a name that repeats (so not plain) the last cell counts."""
+    last = F.filter(F.arrays_zip(names.alias("k"), cells.alias("v")), lambda e, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), e["k"]))
+    return F.when(plain, F.map_from_arrays(names, cells)).otherwise(F.map_from_entries(last))
 
 
 def decoded(rows: DataFrame, task_id: str, image_order: str = "after_first") -> DataFrame:
@@ -48,11 +58,12 @@ def decoded(rows: DataFrame, task_id: str, image_order: str = "after_first") ->
     """
     if image_order not in IMAGE_ORDERS:
         raise ValueError(f"image_order is one of {IMAGE_ORDERS}")
-    good = rows.filter(reason().isNull()).withColumn("names", F.transform("columns", lambda c: c["name"]))
+    good = rows.filter(F.col("reason").isNull() if "reason" in rows.columns else reason().isNull())
+    good = good if "plain_names" in good.columns else with_names(good)
     pairs = F.transform(F.sequence(F.lit(0), (F.size("rows") / 2).cast("int") - 1), lambda i: F.slice("rows", i * 2 + 1, 2))
     groups = F.when(F.col("action") == UPDATE, pairs).otherwise(F.transform("rows", lambda r: F.array(r)))
-    each = good.select("seq", "log_file", "log_pos", "ts", "db", "tbl", "action", "names", F.posexplode(groups).alias("row_index", "org_row"))
-    image = lambda i: zipped(F.col("names"), F.get("org_row", F.lit(i)))
+    each = good.select("seq", "log_file", "log_pos", "ts", "db", "tbl", "action", "names", "plain_names", F.posexplode(groups).alias("row_index", "org_row"))
+    image = lambda i: zipped(F.col("names"), F.col("plain_names"), F.get("org_row", F.lit(i)))
     after_at, before_at = (0, 1) if image_order == "after_first" else (1, 0)
     before = F.when(F.col("action") == DELETE, image(0)).when(F.col("action") == UPDATE, image(before_at))
     after = F.when(F.col("action") == INSERT, image(0)).when(F.col("action") == UPDATE, image(after_at))

@@ -42,25 +42,29 @@ def replay(events: DataFrame, states: DataFrame, order: str = "position") -> Dat
     newest = F.element_at("marks", -1)
     failed = F.transform(F.filter("marks", lambda m: ~m["success"]), lambda m: key(m["pos_name"], m["pos"]))
     s = s.select("task_id", failed.alias("failed"), key(newest["pos_name"], newest["pos"]).alias("high"))
-    marked = events.join(F.broadcast(s), "task_id", "left")  # a row a task
+    marked = events.join(s, "task_id", "left")  # a row a task, which Spark broadcasts where they are few
     marked = marked.withColumn("at", key(F.col("log_file"), F.col("log_pos"))).withColumn("is_failed", F.coalesce(F.array_contains("failed", F.col("at")), F.lit(False)))
     leave = marked.filter(F.col("high").isNotNull() & ~F.col("is_failed") & (F.col("at") > F.col("high"))).groupBy("task_id").agg(F.min("seq").alias("leave"))
-    out = marked.join(F.broadcast(leave), "task_id", "left")
+    out = marked.join(leave, "task_id", "left")
     processed = F.col("high").isNull() | F.col("is_failed") | F.coalesce(F.col("seq") >= F.col("leave"), F.lit(False))
     return out.select(*[F.col(c) for c in events.columns], processed.alias("processed"))
 
 
-def positions(events: DataFrame, task: Task, first_name: str, gate: str = "open") -> DataFrame:
+def positions(events: DataFrame, task: Task, first_name: str, gate: str = "open", stretch: int = 1 << 20) -> DataFrame:
     """seq, name, pos after each event that moves a task's position: rotations to another file, and applied statements.
 
-    Such events are rare beside rows, which are filtered out before anything is ordered.
+    Such events are rare beside rows, which are filtered out before anything is ordered; and they are ordered within
+    stretches of `stretch` seqs, so that only a row a stretch comes together.
     """
     rotate = F.col("kind") == "rotate"
     query = (F.col("kind") == "query") & applied_queries(task, gate)
-    moving = events.filter(rotate | query).select("seq", "log_pos", rotate.alias("rotate"), "next_log_name", "next_pos")
-    over = Window.orderBy("seq")
-    before = F.coalesce(F.last(F.when(F.col("rotate"), F.col("next_log_name")), True).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(first_name))
-    named = moving.withColumn("before", before)
+    moving = events.filter(rotate | query).select("seq", "log_pos", rotate.alias("rotate"), "next_log_name", "next_pos", F.floor(F.col("seq") / stretch).alias("stretch"))
+    # the last rotation of each stretch of the log, carried on to the stretches after it, and the rotations within one
+    name = F.when(F.col("rotate"), F.col("next_log_name"))
+    ends = moving.groupBy("stretch").agg(F.max_by(name, F.when(name.isNotNull(), F.col("seq"))).alias("end"))
+    ends = ends.select("stretch", F.last("end", True).over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    within = F.last(name, True).over(Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    named = moving.withColumn("within", within).join(ends, "stretch").withColumn("before", F.coalesce("within", "carried", F.lit(first_name)))
     moves = named.filter(~F.col("rotate") | (F.col("next_log_name") != F.col("before")))
     pos = F.when(F.col("rotate") & (F.col("next_pos") != 0), F.col("next_pos")).otherwise(F.col("log_pos"))
     return moves.select("seq", F.when(F.col("rotate"), F.col("next_log_name")).otherwise(F.col("before")).alias("name"), pos.alias("pos"))
@@ -70,3 +74,14 @@ def last_marks(events: DataFrame, keep: int = 2) -> DataFrame:
     """The newest row events of each task, the marks that it holds. Spark limits each task's rows before the shuffle."""
     newest = Window.partitionBy("task_id").orderBy(F.col("seq").desc())
     return events.filter("kind = 'rows'").withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= keep).drop("n")
+
+
+def mark_states(events: DataFrame, completed: DataFrame, keep: int = 2) -> DataFrame:
+    """task_id and marks of each task, as start_position() and replay() take them: its newest row events, oldest first,
+    each with whether it was completed. completed: task_id, log_file, log_pos of events that a sink has taken.
+    """
+    done = completed.select("task_id", "log_file", "log_pos").distinct().withColumn("success", F.lit(True))
+    found = last_marks(events, keep).join(done, ["task_id", "log_file", "log_pos"], "left")
+    mark = F.struct("seq", F.col("log_file").alias("pos_name"), F.col("log_pos").alias("pos"), F.coalesce("success", F.lit(False)).alias("success"))
+    ordered = F.array_sort(F.collect_list(mark))  # `keep` of them
+    return found.groupBy("task_id").agg(ordered.alias("m")).select("task_id", F.transform("m", lambda m: F.struct(m["pos_name"].alias("pos_name"), m["pos"].alias("pos"), m["success"].alias("success"))).alias("marks"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.functions import ddl
 from tidelog.functions.filters import applied_queries, is_kind, schema_gate
 from tidelog.model import COLUMNS, Task
+from tidelog.operators.decode import with_names
 
 #: seq of the versions that a catalog seeds: before every event.
 START = -1
@@ -47,17 +48,17 @@ def schema_versions(changes: DataFrame, initial: DataFrame) -> DataFrame:
         return F.when(ddl.shifts(now["columns"], s["change"]), F.concat(versions, F.array(moved))).otherwise(versions)
 
     folded = joined.withColumn("versions", F.when(F.col("steps").isNull(), F.col("seed")).otherwise(F.aggregate("steps", F.col("seed"), step)))
-    each = folded.select("db", "tbl", "versions", F.posexplode("versions").alias("version", "v"))
-    until = F.get("versions", F.col("version") + 1)["from_seq"]
-    return each.select("db", "tbl", F.col("version").cast("long").alias("version"), F.col("v.from_seq").alias("from_seq"), until.alias("to_seq"), F.col("v.old").alias("old"), F.col("v.columns").alias("columns"))
+    closed = F.transform("versions", lambda v, i: F.struct(v["from_seq"].alias("from_seq"), F.get("versions", i + 1)["from_seq"].alias("to_seq"), v["old"].alias("old"), v["columns"].alias("columns")))
+    each = folded.select("db", "tbl", F.posexplode(closed).alias("version", "v"))
+    return each.select("db", "tbl", F.col("version").cast("long").alias("version"), "v.from_seq", "v.to_seq", "v.old", "v.columns")
 
 
 def with_schema(rows: DataFrame, versions: DataFrame) -> DataFrame:
-    """Row events with `columns` of the version that held for them; null where the table is unknown.
+    """Row events with `columns`, `names` and `plain_names` of the version that held for them; null where the table is unknown.
 
     An equi-join on (db, tbl) with the interval as a condition: the versions side is small and is broadcast where its
     size allows, else AQE splits a hot table's rows. Several clauses of one statement leave empty intervals, which match nothing.
     """
-    v = versions.select(F.col("db").alias("v_db"), F.col("tbl").alias("v_tbl"), "from_seq", "to_seq", "columns")
+    v = with_names(versions.select(F.col("db").alias("v_db"), F.col("tbl").alias("v_tbl"), "from_seq", "to_seq", "columns"))
     holds = (F.col("seq") > F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") <= F.col("to_seq")))
     return rows.join(v, (F.col("db") == F.col("v_db")) & (F.col("tbl") == F.col("v_tbl")) & holds, "left").drop("v_db", "v_tbl", "from_seq", "to_seq")

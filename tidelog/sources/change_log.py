@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
@@ -22,6 +24,39 @@ def stream_events(spark: SparkSession, path: str, format: str = "parquet", files
     return spark.readStream.schema(RAW_EVENTS).format(format).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
+def file_order(name: str) -> list[tuple[str, int]]:
+    """Names in the order of the log: numbers count as such, so that a number may gain a digit."""
+    return [(text, int(digits or 0)) for text, digits in re.findall(r"(\D*)(\d*)", name)]
+
+
+def whole_lines(path: str, block: int = 1 << 16) -> int:
+    """Where the last whole line of a file ends."""
+    with open(path, "rb") as f:
+        at = f.seek(0, os.SEEK_END)
+        while at > 0:
+            start = max(0, at - block)
+            f.seek(start)
+            found = f.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+    return 0
+
+
+ARROW_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<array<string>>": pa.list_(pa.list_(pa.string()))}
+
+
+def events_batch(events: list[dict]) -> pa.RecordBatch:
+    """Raw events as Arrow; cells that aren't text (numbers, say) become their JSON."""
+    schema = pa.schema([(n, ARROW_TYPES[t]) for n, t in (f.split(" ", 1) for f in RAW_EVENTS.split(", "))])
+    try:
+        return pa.RecordBatch.from_pylist(events, schema)
+    except (pa.ArrowTypeError, pa.ArrowInvalid):
+        text = lambda c: c if c is None or isinstance(c, str) else json.dumps(c)
+        plain = [e | {"rows": None if e.get("rows") is None else [None if r is None else [text(c) for c in r] for r in e["rows"]]} for e in events]
+        return pa.RecordBatch.from_pylist(plain, schema)
+
+
 class _Piece(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -39,11 +74,12 @@ class ChangeLogReader(DataSourceStreamReader):
         self.starting = options.get("startingoffset", "earliest")
 
     def _files(self) -> list[str]:
-        return sorted(n for n in os.listdir(self.path) if n.endswith(".jsonl"))
+        return sorted((n for n in os.listdir(self.path) if n.endswith(".jsonl")), key=file_order)
 
     def _end(self) -> dict:
+        """After the last whole line of the last file, which may still be written to."""
         files = self._files()
-        return {"file": files[-1], "pos": os.path.getsize(f"{self.path}/{files[-1]}")} if files else {"file": "", "pos": 0}
+        return {"file": files[-1], "pos": whole_lines(f"{self.path}/{files[-1]}")} if files else {"file": "", "pos": 0}
 
     def initialOffset(self) -> dict:
         if self.starting == "latest":
@@ -56,24 +92,28 @@ class ChangeLogReader(DataSourceStreamReader):
         return self._end()
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out = []
+        out, first, last = [], file_order(start["file"]), file_order(end["file"])
         for name in self._files():
-            if start["file"] <= name <= end["file"]:
+            if first <= file_order(name) <= last:
                 a = start["pos"] if name == start["file"] else 0
                 b = end["pos"] if name == end["file"] else os.path.getsize(f"{self.path}/{name}")
                 out += [_Piece(f"{self.path}/{name}", x, min(b, x + self.piece_bytes)) for x in range(a, b, self.piece_bytes)]
         return out
 
-    def read(self, piece: _Piece) -> Iterator[tuple]:
-        """Lines that begin in the piece."""
-        names = [f.split()[0] for f in RAW_EVENTS.split(", ")]
+    def read(self, piece: _Piece) -> Iterator[pa.RecordBatch]:
+        """Lines that begin in the piece, some thousands at a time."""
+        events = []
         with open(piece.path, "rb") as f:
             f.seek(max(0, piece.start - 1))
             if piece.start:
                 f.readline()
             while f.tell() < piece.end and (line := f.readline()):
-                event = json.loads(line)
-                yield tuple(event.get(n) for n in names)
+                events.append(json.loads(line))
+                if len(events) == 4_096:
+                    yield events_batch(events)
+                    events = []
+        if events:
+            yield events_batch(events)
 
 
 class ChangeLogSource(DataSource):

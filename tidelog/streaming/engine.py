@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +55,16 @@ class TaskEngine:
 
     source(task, starting) gives the stream of raw events; starting is None, or "latest" for a task that starts over
     there. catalog() gives db, tbl, columns of the tables as first seen. State, checkpoint and registry are per task,
-    so tasks over tables of one name don't meet. Delivery: a batch is sent again after a crash; file sinks then hold it once.
+    so tasks over tables of one name don't meet; a task that is created again under the id of a deleted one has a home
+    of its own. A task is registered before it starts and registered as stopped after it has stopped, so that a crash
+    between leaves one that a restart finds. Delivery: a batch is sent again after a crash; file sinks then hold it once.
+    Passwords are kept apart from the registry, in a folder that only its owner may read.
     """
 
     def __init__(self, spark: SparkSession, root: str, source: Callable[[Task, str | None], DataFrame], catalog: Callable[[Task], DataFrame], metrics: Metrics | None = None, **feed):
         self.spark, self.root, self.source, self.catalog, self.feed = spark, root.rstrip("/"), source, catalog, feed
         self.store, self.sinks = KeyValueStore(spark, f"{self.root}/registry"), SinkRegistry()
+        self.secrets = KeyValueStore(spark, f"{self.root}/secrets", private=True)
         self.queries: dict[str, StreamingQuery] = {}
         self.errors: dict[str, str] = {}
         self.metrics = metrics
@@ -75,26 +80,37 @@ class TaskEngine:
     def _save(self, entry: dict) -> None:
         self.store.set(PREFIX + entry["task"]["task_id"], entry)
 
-    def create(self, task: Task, once: bool = False) -> dict:
-        task = task.validated()
+    def _task(self, entry: dict) -> Task:
+        """The task of an entry, with its passwords."""
         try:
-            self.store.get(PREFIX + task.task_id)
+            return Task.from_dict(entry["task"]).with_passwords(self.secrets.get(PREFIX + entry["task"]["task_id"]))
         except KeyError:
-            pass
-        else:
+            return Task.from_dict(entry["task"])
+
+    def create(self, task: Task, once: bool = False) -> dict:
+        task = task.validated()
+        if self.store.prefix(PREFIX + task.task_id).get(PREFIX + task.task_id):
             raise TaskError(f"task {task.task_id} exists")
-        entry = {"task": task.to_dict(), "server_id": random.randrange(1, 1 << 32), "stopped": False, "run": 0, "starting": None}
-        self._start(entry, once)
+        entry = {"task": task.to_dict(secrets=False), "server_id": random.randrange(1, 1 << 32), "stopped": False, "run": 0, "starting": None, "home": f"{task.task_id}-{uuid.uuid4().hex[:8]}"}
+        self.secrets.set(PREFIX + task.task_id, task.passwords())
         self._save(entry)
+        try:
+            self._start(entry, once)
+        except Exception:
+            self._forget(entry)
+            raise
         return {"task_id": task.task_id, "server_id": entry["server_id"]}
 
+    def _home(self, entry: dict) -> str:
+        return f"{self.root}/tasks/{entry['home']}"
+
     def _start(self, entry: dict, once: bool) -> None:
-        task = Task.from_dict(entry["task"])
+        task = self._task(entry)
         sink = self.sinks.register(task)
         try:
-            home = f"{self.root}/tasks/{task.task_id}"
-            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state-{entry['run']}", run=entry["run"], **self.feed)
-            writer = self.source(task, entry["starting"]).writeStream.queryName(task.task_id).option("checkpointLocation", f"{home}/checkpoint-{entry['run']}").foreachBatch(handler)
+            home, run = self._home(entry), entry["run"]
+            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state", run=run, label=f"{entry['home']}-", **self.feed)
+            writer = self.source(task, entry["starting"]).writeStream.queryName(task.task_id).option("checkpointLocation", f"{home}/checkpoint-{run}").foreachBatch(handler)
             self.queries[task.task_id] = (writer.trigger(availableNow=True) if once else writer).start()
             self.errors.pop(task.task_id, None)
         except Exception as e:
@@ -131,18 +147,17 @@ class TaskEngine:
 
     def resume(self, task_id: str, once: bool = False) -> None:
         """Go on where the task stopped."""
-        entry = self._entry(task_id) | {"stopped": False}
-        self._halt(task_id)
-        self._start(entry, once)
-        self._save(entry)
+        self._again(self._entry(task_id) | {"stopped": False}, once)
 
     def resume_latest(self, task_id: str, once: bool = False) -> None:
-        """Go on at the log's latest position, with a new checkpoint; the lists of the tables' columns start from the catalog."""
+        """Go on at the log's latest position, with a new checkpoint and the column lists that the task has come to know."""
         entry = self._entry(task_id)
-        entry |= {"stopped": False, "run": entry["run"] + 1, "starting": "latest"}
-        self._halt(task_id)
-        self._start(entry, once)
+        self._again(entry | {"stopped": False, "run": entry["run"] + 1, "starting": "latest"}, once)
+
+    def _again(self, entry: dict, once: bool) -> None:
+        self._halt(entry["task"]["task_id"])
         self._save(entry)
+        self._start(entry, once)
 
     def update(self, change: TaskUpdate) -> None:
         """New lists, which the next batch follows."""
@@ -150,9 +165,17 @@ class TaskEngine:
         self._save(entry | {"task": Task.from_dict(entry["task"]).updated(change).to_dict()})
 
     def delete(self, task_id: str) -> None:
-        self._entry(task_id)
+        """Stop, and forget the task with its checkpoints, column lists and quarantine. What its sink holds stays."""
+        entry = self._entry(task_id)
         self._halt(task_id)
+        self._forget(entry)
+
+    def _forget(self, entry: dict) -> None:
+        task_id = entry["task"]["task_id"]
         self.store.delete(PREFIX + task_id)
+        self.secrets.delete(PREFIX + task_id)
+        home = self.store._path(self._home(entry))
+        self.store._fs.delete(home, True)
 
     def recover_all(self, once: bool = False) -> dict[str, str | None]:
         """Start all tasks that aren't stopped, as after a restart; a task that fails doesn't keep others from starting."""
@@ -167,6 +190,18 @@ class TaskEngine:
                     found[task_id] = str(e)
         return found
 
+    def feed_of(self, task_id: str) -> ChangeFeed:
+        """The state of a task's feed, for its column lists and quarantine."""
+        entry = self._entry(task_id)
+        return ChangeFeed(self.spark, lambda: Task.from_dict(entry["task"]), None, self.catalog(self._task(entry)), f"{self._home(entry)}/state", run=entry["run"], **self.feed)
+
+    def runtime(self) -> dict:
+        """What the driver and the queries use just now."""
+        jvm = self.spark.sparkContext._jvm
+        memory, threads = jvm.Runtime.getRuntime(), jvm.Thread.activeCount()
+        queries = {k: q.lastProgress for k, q in self.queries.items()}
+        return {"heap_used": memory.totalMemory() - memory.freeMemory(), "heap_max": memory.maxMemory(), "threads": threads, "cores": self.spark.sparkContext.defaultParallelism, "queries": queries}
+
     def wait(self, task_id: str, seconds: float | None = None) -> None:
         """Until a task that runs once is through; raises what ended it."""
         self.queries[task_id].awaitTermination(seconds)

@@ -57,6 +57,8 @@ class ControlPlane:
         parts = [p for p in path.split("?")[0].split("/") if p]
         if method == "GET" and parts == ["metrics"]:
             return 200, "text/plain; version=0.0.4", self.engine.metrics.text() if self.engine.metrics else ""
+        if method == "GET" and parts[:1] == ["debug"]:
+            return 200, "application/json", json.dumps(self.engine.runtime(), default=str)
         try:
             with self.lock:
                 if method == "GET" and parts == ["v1", "task"]:

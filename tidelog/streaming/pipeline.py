@@ -10,60 +10,72 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.model import COLUMNS, Task
-from tidelog.operators.decode import decoded, quarantined, row_events
+from tidelog.operators.decode import checked, decoded, quarantined, row_events
 from tidelog.operators.schemas import ddl_changes, schema_versions, with_schema
 from tidelog.sources.sinks import Sink
 
 SCHEMA_STATE = f"db string, tbl string, columns {COLUMNS}"
 
 
+#: Batches whose state stays: Spark runs at most the newest one again.
+KEPT_STATES = 3
+
+
 class ChangeFeed:
     """foreachBatch handler of one task. task() is asked for each batch, so its lists can change while it runs.
 
-    run numbers the checkpoints of a task: a sink knows a batch by run and number.
+    run names the checkpoints of a task in order: a sink knows a batch by run and number, and a new run goes on with the
+    column lists that the one before it has left.
     """
 
-    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first", run: int = 0):
+    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first", run: int = 0, label: str = ""):
+        """label goes before run in the names of a sink's batches."""
         self.spark, self.task, self.sink, self.catalog, self.path = spark, task, sink, catalog, path.rstrip("/")
-        self.mode, self.gate, self.image_order, self.run = mode, gate, image_order, run
+        self.mode, self.gate, self.image_order, self.run, self.label = mode, gate, image_order, run, label
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _state_before(self, batch_id: int) -> DataFrame:
-        """Column lists after the newest earlier batch; tables that came to the catalog since are added."""
+    def _name(self, batch_id: int) -> str:
+        return f"{self.run:06d}-{batch_id:012d}"
+
+    def _states(self, before: str) -> list[str]:
+        """Names of the complete states before a batch, oldest first. Few are ever there."""
         if not self._fs.exists(self._path(f"{self.path}/schemas")):
-            return self.catalog
-        done = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/schemas"))]
-        earlier = [int(n) for n in done if n.isdigit() and int(n) < batch_id and self._fs.exists(self._path(f"{self.path}/schemas/{n}/_SUCCESS"))]
+            return []
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/schemas")))
+        return [n for n in names if n < before and self._fs.exists(self._path(f"{self.path}/schemas/{n}/_SUCCESS"))]
+
+    def _state_before(self, before: str) -> DataFrame:
+        """Column lists after the newest earlier batch; tables that came to the catalog since are added."""
+        earlier = self._states(before)
         if not earlier:
             return self.catalog
-        state = self.spark.read.schema(SCHEMA_STATE).parquet(f"{self.path}/schemas/{max(earlier)}")
+        state = self.spark.read.schema(SCHEMA_STATE).parquet(f"{self.path}/schemas/{earlier[-1]}")
         return state.unionByName(self.catalog.select("db", "tbl", "columns").join(state, ["db", "tbl"], "left_anti"))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        task = self.task()
-        batch = batch.persist()  # read once for statements, checks and rows
+        task, name = self.task(), self._name(batch_id)
+        versions = schema_versions(ddl_changes(batch, task, self.mode, self.gate), self._state_before(name)).persist()
+        after = versions.filter("to_seq is null").select("db", "tbl", "columns")
+        after.write.mode("overwrite").parquet(f"{self.path}/schemas/{name}")
+        # checked once: both what is set aside and what is sent are read from here
+        rows = checked(with_schema(row_events(batch, task), versions)).drop("columns").persist()
         try:
-            self._run(task, batch, batch_id)
+            quarantined(rows).drop("names", "plain_names").write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={name}")
+            self.sink.send(decoded(rows, task.task_id, self.image_order), f"{self.label}{self.run}-{batch_id}")
         finally:
-            batch.unpersist()
-
-    def _run(self, task: Task, batch: DataFrame, batch_id: int) -> None:
-        changes = ddl_changes(batch, task, self.mode, self.gate)
-        versions = schema_versions(changes, self._state_before(batch_id))
-        after = versions.filter("to_seq is null").select("db", "tbl", "columns")
-        after.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/schemas/{batch_id}")
-        rows = with_schema(row_events(batch, task), versions)
-        quarantined(rows).drop("columns").write.mode("overwrite").parquet(f"{self.path}/quarantine/batch={batch_id}")
-        self.sink.send(decoded(rows, task.task_id, self.image_order), f"{self.run}-{batch_id}")
+            rows.unpersist()
+            versions.unpersist()
+        for old in self._states(name)[: -KEPT_STATES + 1]:
+            self._fs.delete(self._path(f"{self.path}/schemas/{old}"), True)
 
     def schemas(self) -> DataFrame:
         """The column lists as of the newest batch."""
-        return self._state_before(1 << 62)
+        return self._state_before("~")
 
     def quarantine(self) -> DataFrame:
-        return self.spark.read.option("basePath", f"{self.path}/quarantine").parquet(f"{self.path}/quarantine/batch=*").withColumn("batch", F.col("batch").cast("long"))
+        """Events that were set aside, with the reason and the batch."""
+        return self.spark.read.option("basePath", f"{self.path}/quarantine").parquet(f"{self.path}/quarantine/batch=*")
