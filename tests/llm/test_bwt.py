@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidelog.llm.bwt import Shard, merge, repeated_intervals
+from tidelog.llm.bwt import Shard, Transform, merge, repeated_intervals
 
 
 def rotation(shard, start, length):
@@ -22,16 +22,25 @@ def test_merged_rows_are_in_order_with_their_common_prefixes():
         for s in shards:
             rows = [rotation(s, p, 90) for p in s.order]
             assert rows == sorted(rows) and sorted(s.order) == list(range(len(s.text)))
-        of, start, prefix = merge(shards, depth, step)
+        turned = []
+        for s in shards:
+            last, names = s.transform()
+            t = Transform(last)
+            assert (s.first[s.order] == s.begins[names][t.string]).all() and (s.order - s.first[s.order] == t.offset).all()
+            assert (t.lengths == (s.size - 1)[s.begins[names]]).all()
+            turned.append(t)
+        of, row, prefix = merge(turned, depth, step)
+        start = [int(shards[i].order[r]) for i, r in zip(of, row)]
         rows = [rotation(shards[s], p, depth) for s, p in zip(of, start)]
         assert rows == sorted(rows) and len(rows) == sum(len(s.text) for s in shards)
-        assert len(set(zip(of.tolist(), start.tolist()))) == len(rows)
+        assert len(set(zip(of.tolist(), start))) == len(rows)
         for i in range(1, len(rows)):
             common = next((j for j in range(depth) if rows[i][j] != rows[i - 1][j]), depth)
             assert prefix[i] == (depth if common == depth else common // step * step)
         tied = (prefix == depth) | np.append(prefix[1:] == depth, False)
-        interval, of2, start2 = repeated_intervals(shards, depth, step)
-        assert sorted(zip(of2.tolist(), start2.tolist())) == sorted(zip(of[tied].tolist(), start[tied].tolist()))
+        interval, of2, row2 = repeated_intervals(turned, depth, step)
+        start2 = [int(shards[i].order[r]) for i, r in zip(of2, row2)]
+        assert sorted(zip(of2.tolist(), row2.tolist())) == sorted(zip(of[tied].tolist(), row[tied].tolist()))
         for i in range(1, len(of2)):
             a, b = (rotation(shards[of2[j]], start2[j], depth) for j in (i - 1, i))
             assert (interval[i] == interval[i - 1]) == (a == b) and a <= b
@@ -39,5 +48,5 @@ def test_merged_rows_are_in_order_with_their_common_prefixes():
 
 def test_nothing_to_merge():
     assert [len(x) for x in merge([], 8)] == [0, 0, 0]
-    assert [len(x) for x in merge([Shard([])], 8)] == [0, 0, 0]
-    assert [len(x) for x in repeated_intervals([Shard([])], 8)] == [0, 0, 0]
+    assert [len(x) for x in merge([Transform(Shard([]).transform()[0])], 8)] == [0, 0, 0]
+    assert [len(x) for x in repeated_intervals([Transform(Shard([]).transform()[0])], 8)] == [0, 0, 0]

@@ -6,7 +6,7 @@ import pytest
 
 from tidelog.llm import repeats
 from tidelog.llm.queries import op5_suffix_array_dedup
-from tidelog.llm.repeats import remove_repeats, repeated_windows
+from tidelog.llm.repeats import bands, merged_ranges, remove_repeats, shard_row
 from tidelog.llm.shared import table
 
 
@@ -54,8 +54,11 @@ def test_against_brute_force(spark, seed):
     check(spark, corpus(random.Random(seed)))
 
 
-def test_crowded_hashes_and_small_collections(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "CROWDED", 3)
+@pytest.mark.parametrize(("crowded", "very", "band"), [(3, 1000, 16), (3, 10, 8), (2, 2, 16), (1, 1000, 5)])
+def test_crowded_hashes_and_small_collections(spark, monkeypatch, crowded, very, band):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    monkeypatch.setattr(repeats, "VERY_CROWDED", very)
+    monkeypatch.setattr(repeats, "BAND", band)
     monkeypatch.setattr(repeats, "COLLECTION", 2_000)
     monkeypatch.setattr(repeats, "SHARD", 700)
     check(spark, corpus(random.Random(3)))
@@ -71,7 +74,12 @@ def test_merged_intervals_keep_the_earliest():
     strings = list({"".join(rng.choice("ab") for _ in range(rng.randrange(12, 40))).encode() for _ in range(40)})
     k, s = np.array([rng.randrange(5) for _ in strings]), np.arange(len(strings)) * 1000
     gone = {i: set() for i in range(len(strings))}
-    for key, a, b in repeated_windows(strings, k, s, 12):
+    number = np.arange(len(strings))
+    shards = [shard_row([strings[i] for i in part], k[part], s[part], [[(9, 90_000 + i * 100)] if i % 9 == 0 else [] for i in part]) for part in np.array_split(number, 4)]
+    for key, a, b in merged_ranges(shards, 12).tolist():
+        if key == 9:  # later places of strings with several
+            assert a % 900 == 0 and b - a == len(strings[(a - 90_000) // 100])
+            continue
         i = a // 1000
         assert k[i] == key
         gone[i].update(range(a - s[i], b - s[i]))
@@ -86,6 +94,70 @@ def test_merged_intervals_keep_the_earliest():
         assert gone[i] == want
 
 
+def test_equal_windows_are_in_bands_of_one_key():
+    rng = random.Random(8)
+    for band in (1, 5, 16):
+        for _ in range(60):
+            alphabet = rng.choice(["ab", "abcdefgh", "a"])
+            text = "".join(rng.choice(alphabet) for _ in range(400)).encode()
+            keys = {}
+            for s in range(0, 250, rng.randrange(1, 40)):
+                run = text[s : s + 130 + rng.randrange(20)]
+                if not (repeats.sliding(np.minimum, repeats.gram_hashes(np.frombuffer(run, np.uint8)), 69) == repeats.gram_hashes(np.frombuffer(run, np.uint8)).min()).all():
+                    continue  # not a run
+                covered = []
+                for a, b, key in bands(run, 100, band):
+                    assert b - a <= 99 + band
+                    for w in range(a, b - 99):
+                        covered.append(w)
+                        keys.setdefault(run[w : w + 100], set()).add(key)
+                assert covered == list(range(len(run) - 99))
+            assert all(len(v) == 1 for v in keys.values())
+
+
+def test_a_line_in_very_many_contexts_stays_in_bounds(spark, monkeypatch):
+    """96 bytes between different words: no collection grows with the number of texts, and no byte is lost or kept wrongly."""
+    rng = random.Random(9)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(96))
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    texts = [word(rng.randrange(1, 30)) + line + word(rng.randrange(1, 30)) for _ in range(2_000)]
+    monkeypatch.setattr(repeats, "CROWDED", 100)
+    monkeypatch.setattr(repeats, "VERY_CROWDED", 400)
+    keyed = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    scanned = repeats._scanned(keyed, 100, 8, 1 << 16).cache()
+    shards = repeats._shards(repeats._strings(scanned, 100, 8), 100).filter("collection >= 0").collect()
+    sizes = {}
+    for r in shards:
+        sizes[r.collection] = sizes.get(r.collection, 0) + len(repeats.unpack(bytes(r.payload))[0])
+    assert max(sizes.values(), default=0) <= repeats.COLLECTION + 400 * (100 + repeats.BAND)
+    check(spark, texts)
+
+
+def test_what_the_intervals_remove_beside_chunks(spark):
+    """With small chunks nearly all that goes does so by repeated intervals of merged transforms, and not within chunks."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    keyed = docs.select(docs.doc_id.alias("k"), "text").repartition(6)
+    scanned = repeats._scanned(keyed, 100, 8, 1 << 14).cache()
+    strings = repeats._strings(scanned, 100, 8).cache()
+
+    def covered(rows):
+        gone = {}
+        for k, a, b in rows:
+            gone.setdefault(k, set()).update(range(a, b))
+        return sum(len(v) for v in gone.values())
+
+    local = covered(x for r in strings.filter("part = -1").collect() for x in np.stack(repeats.unpack(bytes(r.payload)), 1).tolist())
+    every = covered((r.k, r.a, r.b) for r in repeats._merged(repeats._shards(strings, 100), 100).collect())
+    assert every == sum(x[1] for x in brute([r.text for r in docs.orderBy("doc_id").collect()])) and local < 0.2 * every
+
+
+def test_a_very_long_text_among_others(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4_000)]
+    long = " ".join(rng.choice(words) for _ in range(60_000))
+    check(spark, ["x" * 5_000, long[1_000:1_400], long, long[200_000:260_000] + "!", long[:150]])
+
+
 def test_null_and_repeated_ids(spark):
     t = " ".join(str(i) for i in range(80))
     docs = spark.createDataFrame([(2, t), (1, "z" + t), (1, "a" + t), (None, t), (2, t)], "doc_id long, text string")
@@ -93,6 +165,18 @@ def test_null_and_repeated_ids(spark):
     n = len(t)
     assert got == [(False, 1, -n), (False, 1, 0), (False, 2, -n), (False, 2, -n), (True, 0, -n)]
     assert remove_repeats(docs.limit(0)).collect() == []
+    many = docs.unionByName(spark.range(2_500).selectExpr("cast(null as long) doc_id", "'short' text"))
+    rows = remove_repeats(many).collect()
+    assert len(rows) == 2_505 and all((r.n_removed, r.n_spans, bytes(r.kept)) == (0, 0, b"short") for r in rows if r.n_bytes == 5)
+    again = spark.createDataFrame([(None, t)] * 1_200, "doc_id long, text string")
+    assert sorted((r.n_removed, r.n_spans, r.spans, bytes(r.kept)) for r in remove_repeats(again).collect())[1:] == [(n, 1, [[0, n]], b"")] * 1_199
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, "x")], [(1, "", "x"), (1, None, "y"), (2, "é" * 200, "x"), (2, "é" * 200, "x")]])
+def test_query_on_odd_tables(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, k string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op5_suffix_array_dedup(spark, str(tmp_path)).collect()
+    assert sorted(r.n_removed for r in got) == sorted([0] * len(rows) if len(rows) < 4 else [0, 0, 398, 400])
 
 
 def test_whole_table_against_brute_force(spark):

@@ -1,7 +1,8 @@
 """Burrows-Wheeler transforms of shards of strings, and their merge by iterative interleave refinement.
 
 A shard is a set of distinct strings, each closed by a byte that no text has, and its rows are the rotations of
-those strings in order. Shards are merged without sorting their rows again: the interleave (the shard of each
+those strings in order. Its transform, the byte before each row, is all that a merge needs of it. Shards are
+merged without sorting their rows again: the interleave (the shard of each
 merged row) starts in any order and is refined. A stable sort of the rows by the bytes that stand before
 them turns an interleave that is right for the first k bytes into one that is right for `step` bytes more,
 because within a shard that move keeps the order of the rows. Rows that no step has told apart share a block;
@@ -73,30 +74,61 @@ class Shard:
             order[slots] = placed
             jump = jump[jump]
 
+    def transform(self) -> tuple[np.ndarray, np.ndarray]:
+        """The byte before each row in row order (the Burrows-Wheeler transform), and the strings' numbers in the order
+        of the rows at which they begin."""
+        last = self._bytes_at(-1)[self.order]
+        begin = self.order[last == CLOSE]
+        return last, np.searchsorted(self.begins, begin)
+
+
+class Transform:
+    """What a shard's transform alone tells of its rows: the row that begins a byte before each, its string and offset.
+
+    Strings are numbered in the order of the rows at which they begin. The rows of a string are a cycle of the map from
+    a row to the one before it, so all strings are walked side by side, from their beginnings backwards.
+    """
+
+    def __init__(self, last: np.ndarray):
+        n = len(last)
+        self.last = last
+        self.row_before = np.empty(n, np.int32)
+        self.row_before[np.argsort(last, kind="stable")] = np.arange(n, dtype=np.int32)
+        begin = np.flatnonzero(last == CLOSE)
+        self.string, back = np.empty(n, np.int32), np.zeros(n, np.int32)
+        at, who, steps = begin, np.arange(len(begin), dtype=np.int32), 0
+        while len(at):
+            self.string[at], back[at] = who, steps
+            at, steps = self.row_before[at], steps + 1
+            go_on = at != begin[who]
+            at, who = at[go_on], who[go_on]
+        size = np.bincount(self.string, minlength=len(begin)).astype(np.int32)
+        self.lengths = size - 1
+        self.offset = np.where(back == 0, 0, size[self.string] - back) if n else back
+
     def before(self, step: int) -> np.ndarray:
-        """The `step` bytes before each row, as one number, in row order."""
-        gram = np.zeros(len(self.text), np.uint32)
-        for k in range(step):
-            gram |= self._bytes_at(-1 - k).astype(np.uint32) << np.uint32(8 * k)
-        return gram[self.order]
+        """The `step` bytes before each row, as one number."""
+        gram, row = self.last.astype(np.uint32), self.row_before
+        for k in range(1, step):
+            gram |= self.last[row].astype(np.uint32) << np.uint32(8 * k)
+            row = self.row_before[row]
+        return gram
 
     def moves(self, step: int) -> np.ndarray:
-        """Of each row, the row that begins `step` bytes before it (the transform's own map, `step` times)."""
-        row = np.empty(len(self.text), np.int32)
-        row[self.order] = np.arange(len(self.text), dtype=np.int32)
-        to = np.arange(-step, len(self.text) - step)
-        round_ = np.flatnonzero(to < self.first)
-        to[round_] = self.first[round_] + (to[round_] - self.first[round_]) % self.size[round_]
-        return row[to[self.order]]
+        """Of each row, the row that begins `step` bytes before it."""
+        row = self.row_before
+        for _ in range(step - 1):
+            row = self.row_before[row]
+        return row
 
 
-def merge(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merged rows of at most 256 shards: shard and start of each, and its common prefix with the row before.
+def merge(shards: list[Transform], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged rows of at most 256 shards: shard and row in it, and its common prefix with the row before.
 
     Rows are in order by their first `depth` bytes. The prefix is given in whole steps (exact for step 1), capped
     at depth; it is 0 for the first row.
     """
-    if not sum(len(s.text) for s in shards):
+    if not sum(len(s.last) for s in shards):
         return np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int32)
     before = [s.before(step) for s in shards]
     alphabet, codes = np.unique(np.concatenate(before), return_inverse=True)
@@ -129,23 +161,23 @@ def merge(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, n
         prefix[new & ~known] = done
         known = new
         block = np.cumsum(new, dtype=np.int32)
-    start = np.empty(n, np.int64)
+    row = np.empty(n, np.int64)
     for s, shard in enumerate(shards):
-        start[interleave == s] = shard.order
-    return interleave, start, prefix
+        row[interleave == s] = np.arange(len(shard.last))
+    return interleave, row, prefix
 
 
-def repeated_intervals(shards: list[Shard], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merged rows with a common prefix of at least `depth` with a neighbour: interval, shard and start of each.
+def repeated_intervals(shards: list[Transform], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merged rows with a common prefix of at least `depth` with a neighbour: interval, shard and row in it.
 
     The refinement of merge(), kept to rows that still share a block: a row that the first k bytes tell from all
     others is told apart by `step` more bytes wherever it moves, so it and its moves are never looked at again.
     depth is a multiple of step.
     """
-    if not sum(len(s.text) for s in shards):
+    if not sum(len(s.last) for s in shards):
         return np.empty(0, np.int32), np.empty(0, np.uint8), np.empty(0, np.int64)
     codes = np.concatenate([s.before(step) for s in shards])
-    cuts = np.cumsum([0] + [len(s.text) for s in shards])
+    cuts = np.cumsum([0] + [len(s.last) for s in shards])
     moves = np.concatenate([s.moves(step) + np.int32(a) for s, a in zip(shards, cuts, strict=False)])
     rows, block = np.arange(cuts[-1], dtype=np.int32), np.zeros(cuts[-1], np.int32)
     for _ in range(0, depth, step):
@@ -161,5 +193,4 @@ def repeated_intervals(shards: list[Shard], depth: int, step: int = 4) -> tuple[
         if not len(rows):
             break
     of = (np.searchsorted(cuts, rows, side="right") - 1).astype(np.uint8)
-    start = np.concatenate([s.order for s in shards])[rows]
-    return block, of, start
+    return block, of, rows - cuts[of]

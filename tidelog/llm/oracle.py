@@ -93,4 +93,22 @@ r AS (SELECT doc_id, doc_id AS reach FROM documents UNION SELECT r.doc_id, l.b F
 SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(reach) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY ALL
 """
 
-ORACLE_SQL = {"op1_preference_format": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op4_quality_rules": OP4, "op6_token_counts": OP6, "op8_mixing": OP8, "op9_jaccard_join": OP9}
+#: Every window of 100 bytes as 200 hex digits, cut from blocks so that long texts aren't scanned for each of them.
+OP5 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, (length(h) // 2)::BIGINT AS n FROM d),
+blocks AS (SELECT doc_id, n, b, substring(h, 200 * b + 1, 398) AS p FROM (SELECT *, unnest(range(0, (n + 99) // 100)) AS b FROM n)),
+w AS (SELECT doc_id, 100 * b + i AS s, substring(p, 2 * i + 1, 200) AS w FROM (SELECT *, unnest(range(0, 100)) AS i FROM blocks) WHERE 100 * b + i + 100 <= n),
+later AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, s) > 1),
+runs AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS r
+  FROM (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM later)),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, r),
+pieces AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM spans
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM n LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substring(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM pieces JOIN n USING (doc_id) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, n - (length(k) // 2)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM n JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+ORACLE_SQL = {"op1_preference_format": OP1, "op2_exact_dedup": OP2, "op3_warc": OP3, "op4_quality_rules": OP4, "op5_suffix_array_dedup": OP5, "op6_token_counts": OP6, "op8_mixing": OP8, "op9_jaccard_join": OP9}
