@@ -1,46 +1,41 @@
 """BPE encoding and decoding over a table of distinct words.
 
-The tokenizers of this kind never join text across ASCII white space, so a text's ids are its words' ids in
-order, and a word needs to be encoded once however often it occurs.
-
-1. Each task numbers the distinct words of its documents, a chunk of bounded size at a time. A chunk leaves
-   as one row with its documents as sequences of word numbers, and one row for each hash part with the words
-   of that part. Frequent words cost a chunk one entry, so no word is hot.
-2. Each part of the distinct-word table meets the chunks' words of that part, encodes those it hasn't seen,
-   and answers every chunk with ids in the order of its words.
-3. A chunk's answers come back to its documents by chunk, and ids go to their places by word number.
-
-Decoding joins ids to pieces: the vocabulary is a table of fixed size, held by every task.
-Chunks are named by a digest of what they hold; a chunk whose answers are missing fails instead of passing.
+Tokenizers of the kind that is taken here never join text across ASCII white space, so a text's ids are its words' ids
+in order, and a word needs to be encoded once however often it occurs.
+
+1. Spark splits texts into words. Each task numbers the distinct words of its documents, a chunk of bounded size at a
+   time. A chunk leaves as one row with its documents as sequences of word numbers, and one row for each hash part
+   with the words of that part. Frequent words cost a chunk one entry, so no word is hot. Documents and words are
+   written once, in one pass, in buckets by chunk.
+2. Each part of the distinct-word table meets the chunks' words of that part, encodes each once, and answers every
+   chunk with ids in the order of its words.
+3. A chunk's answers come to its documents, which stay in their bucket, and ids go to their places by word number.
+
+Decoding joins ids with the id-to-piece table: the vocabulary, one row of fixed size, which every task gets.
+A chunk whose answers are missing fails instead of passing.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import release
+from tidelog.llm.shared import SPACES, parts_of, release
+from tidelog.session import work_path
 
-ROW = "chunk binary, part int, payload binary"
-ARROW_ROW = pa.schema([("chunk", pa.binary()), ("part", pa.int32()), ("payload", pa.binary())])
-
-
-class Numbers(dict):
-    """Gives each new key the next number."""
-
-    def __missing__(self, key):
-        n = self[key] = len(self)
-        return n
+ROW = "chunk string, part int, payload binary"
+ARROW_ROW = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("payload", pa.binary())])
 
 
 def pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -70,103 +65,134 @@ def unpack(blob: bytes) -> list:
 
 
 class Chunk:
-    """Documents of bounded size, their distinct words by falling frequency, and each word's part."""
-
-    def __init__(self):
-        self.words, self.docs, self.ids, self.bytes, self.digest = Numbers(), [], [], 0, hashlib.blake2b(digest_size=16)
-
-    def add(self, doc_id, text: str | None) -> None:
-        raw = (text or "").encode()
-        self.digest.update(b"%s %d " % (str(doc_id).encode(), len(raw)))
-        self.digest.update(raw)
-        found = raw.split()  # ASCII white space only
-        self.docs.append(np.fromiter(map(self.words.__getitem__, found), np.uint32, len(found)))
-        self.ids.append(doc_id)
-        self.bytes += len(raw)
-
-    def ordered(self, n_parts: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words by frequency, their parts, and all word numbers in that order."""
-        flat = np.concatenate([*self.docs, np.empty(0, np.uint32)])
-        order = np.argsort(-np.bincount(flat, minlength=len(self.words)), kind="stable")
+    """Documents of bounded size as words, numbered by falling frequency."""
+
+    def __init__(self, id_type: pa.DataType):
+        self.id_type, self.ids, self.flat, self.lengths, self.bytes = id_type, [], [], [], 0
+
+    def add(self, ids: pa.Array, words: pa.ListArray) -> None:
+        flat = words.flatten()
+        self.ids.append(ids)
+        self.flat.append(flat)
+        self.lengths.append(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint32))
+        self.bytes += flat.nbytes
+
+    def rows(self, n_parts: int) -> Iterator[tuple[str, int, bytes]]:
+        """The row of its documents (part -1), then one for each part of its distinct words."""
+        coded = pa.chunked_array(self.flat, pa.string()).combine_chunks().dictionary_encode()
+        number, names = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+        order = np.argsort(-np.bincount(number, minlength=len(names)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        names = list(self.words)
-        words = [names[i] for i in order]
-        parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.uint16, len(words))
-        return words, parts, rank[flat]
-
-    def document_row(self, n_parts: int, id_type: pa.DataType) -> tuple[bytes, int, bytes]:
-        _, parts, flat = self.ordered(n_parts)
+        words = [names[i] for i in order.tolist()]
+        parts = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int32, len(words))
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("id", id_type)])) as w:
-            w.write_batch(pa.record_batch([pa.array(self.ids, id_type)], names=["id"]))
-        return self.digest.digest(), -1, pack(sink.getvalue().to_pybytes(), np.array([len(d) for d in self.docs], np.uint32), parts, flat)
-
-    def word_rows(self, n_parts: int) -> Iterator[tuple[bytes, int, bytes]]:
-        words, parts, _ = self.ordered(n_parts)
-        order = np.argsort(parts, kind="stable")
-        ends = np.searchsorted(parts[order], np.arange(n_parts + 1))
+        ids = pa.chunked_array(self.ids, self.id_type).combine_chunks()
+        with pa.ipc.new_stream(sink, pa.schema([("id", self.id_type)])) as w:
+            w.write_batch(pa.record_batch([ids], names=["id"]))
+        name = uuid.uuid4().hex  # written once, so a name has to be new and nothing else
+        yield name, -1, pack(sink.getvalue().to_pybytes(), np.concatenate(self.lengths), parts, rank[number])
+        by_part = np.argsort(parts, kind="stable")
+        ends = np.searchsorted(parts[by_part], np.arange(n_parts + 1))
         for p in range(n_parts):
             if ends[p] < ends[p + 1]:
-                yield self.digest.digest(), p, zstandard.ZstdCompressor(level=3).compress(b"\n".join([words[i] for i in order[ends[p] : ends[p + 1]]]))
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[Chunk]:
-    chunk = Chunk()
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            chunk.add(doc_id, text.as_py())
-            if chunk.bytes >= chunk_bytes:
-                yield chunk
-                chunk = Chunk()
-    if chunk.docs:
-        yield chunk
+                yield name, p, zstandard.ZstdCompressor(level=3).compress(b"\n".join([words[i] for i in by_part[ends[p] : ends[p + 1]].tolist()]))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW_ROW.types, strict=True)], schema=ARROW_ROW)
 
 
-def _tokenizer(content: Broadcast):
+def _tokenizer(content: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_str(content.value)
+    t = Tokenizer.from_str(content)
     t.no_truncation()
     t.no_padding()
     return t
 
 
-def pieces_by_id(content: str) -> list[str]:
-    """The id-to-piece table of a tokenizer file."""
+def read_tokenizer(path: str) -> str:
+    """The content of a tokenizer file; ValueError if it isn't of the kind that goes word by word.
+
+    That kind has a BPE model without a decoder, normalises character by character, never takes white space into a
+    token and lets no added token reach across it; probes of two words over white space check what the parts say.
+    """
+    with open(path, encoding="utf-8") as f:
+        content = f.read()
+    spec = json.loads(content)
+    several = lambda part, key: [] if part is None else [y for x in part[key] for y in several(x, key)] if part["type"] == "Sequence" else [part]
+    wrong = [x["type"] for x in several(spec.get("normalizer"), "normalizers") if x["type"] not in ("NFC", "NFD", "Lowercase") and not (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ")]
+    wrong += [t["content"] for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])]
+    wrong += [spec["decoder"]["type"]] if spec.get("decoder") else []
+    wrong += [spec["model"].get("type")] if spec["model"].get("type") != "BPE" or spec["model"].get("dropout") else []
+    if not wrong:
+        t, probes = _tokenizer(content), ["don't", "Ab1", "x,", "é", "'", "9", "</w>", "\u0301a", "a\u00a0b"]
+        of = {w: t.encode(w, add_special_tokens=False).ids for w in probes}
+        texts = {f"{a}{gap}{b}": of[a] + of[b] for a in probes for b in probes for gap in (" ", "\n", "\t\r", "\x0b \x0c")}
+        wrong = [x for x, ids in texts.items() if t.encode(f" {x}\n", add_special_tokens=False).ids != ids][:3]
+    if wrong:
+        raise ValueError(f"{path} doesn't go word by word: {wrong}")
+    return content
+
+
+def pieces_by_id(content: str) -> list[str | None]:
+    """The id-to-piece table of a tokenizer file; null for ids without a piece."""
     spec = json.loads(content)
     names = {i: p for p, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
-    return [names.get(i, "") for i in range(max(names, default=-1) + 1)]
+    return [names.get(i) or None for i in range(max(names, default=-1) + 1)]
 
 
-def _apply(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, schema: str, arrow_schema: pa.Schema, finish, chunk_bytes: int, n_parts: int | None) -> DataFrame:
-    """finish(words' ids, pieces, word numbers of a document) -> the values of a document's row after its id."""
-    spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        content = spark.sparkContext.broadcast(f.read())
-    parts = n_parts or min(65_535, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    id_type = arrow_schema.field(0).type
+def _written(source: DataFrame, parts: int, chunk_bytes: int, id_type: pa.DataType) -> DataFrame:
+    """The chunks of (id, words) as a table in buckets by chunk."""
 
-    def document_rows(batches):
-        for c in _chunks(batches, chunk_bytes):
-            yield _batch([c.document_row(parts, id_type)])
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = Chunk(id_type)
+        for batch in batches:
+            words, begin = batch.column(1), 0
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
+            # a batch may be many times a chunk: cut where its words fill one, at about 8 bytes a word
+            while begin < batch.num_rows:
+                done = int(sizes[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(sizes, done + chunk_bytes // 8, side="right")))
+                chunk.add(batch.column(0).slice(begin, end - begin), words.slice(begin, end - begin))
+                begin = end
+                if chunk.bytes >= chunk_bytes:
+                    yield from (_batch([r]) for r in chunk.rows(parts))
+                    chunk = Chunk(id_type)
+        if chunk.ids:
+            yield from (_batch([r]) for r in chunk.rows(parts))
+        del chunk
         release()
 
-    def word_rows(batches):
-        for c in _chunks(batches, chunk_bytes):
-            rows = list(c.word_rows(parts))
-            if rows:
-                yield _batch(rows)
-        release()
+    spark, path, name = source.sparkSession, work_path(source.sparkSession, "bpe-chunks"), f"tidelog_{uuid.uuid4().hex}"
+    source.mapInArrow(emit, ROW).write.format("parquet").option("path", path).option("parquet.block.size", 4 * chunk_bytes).bucketBy(parts, "chunk").saveAsTable(name)
+    found = spark.table(name).select("chunk", "part", "payload")
+    found.schema  # resolved, so the name can go; the files are in the work folder
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
 
-    def encoded(batches):
-        tokenizer, known = _tokenizer(content), {}
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, n_parts: int | None = None) -> DataFrame:
+    """One row per document: id_col, n_tokens and ids, as the tokenizer encodes the whole text without special tokens.
+
+    Null and empty texts have no ids. Ids may be null or repeat; each row is encoded. Other columns are
+    ignored. An empty table gives an empty result. The table is read once. A very long text is a chunk of its own,
+    which one task holds with its words' numbers and ids. A tokenizer file of another kind is a ValueError.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[id_col].dataType
+    content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))  # as large as the vocabulary
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    parts = n_parts or parts_of(docs.select(text.alias("text")))
+    source = docs.select(F.col(id_col).alias("id"), F.split(text, SPACES).alias("words"))  # an empty first or last word has no ids
+    chunks = _written(source, parts, chunk_bytes, to_arrow_type(kind))
+    schema = pa.schema([(id_col, to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, known = _tokenizer(content.value), {b"": b""}  # the words of one part
         for batch in batches:
             for chunk, part, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = zstandard.ZstdDecompressor().decompress(payload).split(b"\n")
@@ -178,111 +204,79 @@ def _apply(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, sch
         del known
         release()
 
-    def placed(table: pa.Table) -> pa.Table:
-        answers, documents = {}, []
-        for part, payload in zip(table["part"].to_pylist(), table["payload"].to_pylist(), strict=True):
-            if part < 0:
-                documents.append(payload)
-            else:
-                answers[part] = payload
-        names, rows = pieces_by_id(content.value), []
-        for blob in documents:
+    def placed(documents: pa.Table, answers: pa.Table) -> pa.Table:
+        found = dict(zip(answers["part"].to_pylist(), answers["payload"].to_pylist(), strict=True))
+        out = []
+        for blob in documents["payload"].to_pylist():
             ids, lengths, of, flat = unpack(blob)
-            values: list = [None] * len(of)
+            count, start, pieces, base = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), [], 0
             order = np.argsort(of, kind="stable")
-            ends = np.searchsorted(of[order], np.arange(parts + 1))
-            for p in np.unique(of).tolist():
-                counts, got = unpack(answers[p])
-                mine = order[ends[p] : ends[p + 1]]
+            parts_here, cuts = np.unique(of[order], return_index=True)
+            for p, mine in zip(parts_here.tolist(), np.split(order, cuts[1:]), strict=True):
+                counts, got = unpack(found[p])
                 if len(counts) != len(mine):
-                    raise RuntimeError("a chunk's words and answers differ; its input changed between two reads")
-                stops = np.cumsum(counts)
-                for i, a, b in zip(mine.tolist(), (stops - counts).tolist(), stops.tolist(), strict=True):
-                    values[i] = got[a:b].tolist()
+                    raise RuntimeError("a chunk's words and answers differ")
+                count[mine] = counts
+                start[mine] = base + np.cumsum(counts, dtype=np.int64) - counts
+                pieces.append(got)
+                base += len(got)
+            values = np.concatenate([*pieces, np.empty(0, np.uint32)]).astype(np.int32)
+            n = count[flat]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            tokens = values[np.repeat(start[flat] - ends + n, n) + np.arange(total)]
+            stops = np.concatenate([[0], ends])[np.cumsum(lengths, dtype=np.int64)]
+            offsets = np.concatenate([[0], stops]).astype(np.int32)
             with pa.ipc.open_stream(ids) as reader:
-                doc_ids = reader.read_all()["id"].to_pylist()
-            one = finish(values, names)
-            starts = np.cumsum(lengths) - lengths
-            rows += [(d, *one(flat[a : a + n])) for d, a, n in zip(doc_ids, starts.tolist(), lengths.tolist(), strict=True)]
-            del values, one, flat
-        columns = zip(*rows, strict=True) if rows else [[] for _ in arrow_schema]
-        out = pa.table([pa.array(c, t) for c, t in zip(columns, arrow_schema.types, strict=True)], schema=arrow_schema)
-        del rows, columns
+                doc_ids = reader.read_all()["id"].combine_chunks()
+            out.append(pa.table([doc_ids, pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(offsets, tokens)], schema=schema))
+            del n, ends, tokens, flat
         release()
-        return out
+        return pa.concat_tables(out) if out else schema.empty_table()
 
-    words = source.mapInArrow(word_rows, ROW).repartition(parts, "part").mapInArrow(encoded, ROW)
-    return source.mapInArrow(document_rows, ROW).unionByName(words).groupBy("chunk").applyInArrow(placed, schema)
+    # one part at a time, so that what a task knows of words is bounded by a part's share
+    answers = chunks.filter("part >= 0").groupBy("part").applyInArrow(_all_columns(encoded), ROW)
+    both = chunks.filter("part < 0").groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(placed, f"`{id_col}` {kind.simpleString()}, n_tokens long, ids array<int>")
 
 
-def _id_type(docs: DataFrame, id_col: str) -> tuple[str, pa.DataType]:
-    from pyspark.sql.pandas.types import to_arrow_type
+def _all_columns(f):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(b.select(ARROW_ROW.names) for b in batches)
 
-    t = docs.schema[id_col].dataType
-    return t.simpleString(), to_arrow_type(t)
+    return run
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, n_parts: int | None = None) -> DataFrame:
-    """One row per document: id_col, n_tokens and ids, as the tokenizer encodes the whole text without special tokens.
-
-    Null and empty texts have no ids. Ids may be null or repeat; each row is encoded. Other columns are
-    ignored. An empty table gives an empty result.
-    """
-    sql, arrow = _id_type(docs, id_col)
-
-    def finish(values, names):
-        counts = np.array([len(v) for v in values], np.int64)
-        flat, starts = np.fromiter((i for v in values for i in v), np.int32, int(counts.sum())), np.cumsum(counts) - counts
-
-        def one(at):
-            n = counts[at]
-            total = int(n.sum())
-            return total, flat[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(total)]
-
-        return one
-
-    schema = pa.schema([(id_col, arrow), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    return _apply(docs, tokenizer_path, id_col, text_col, f"`{id_col}` {sql}, n_tokens long, ids array<int>", schema, finish, chunk_bytes, n_parts)
+def decoded_text(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids", as_col: str = "text") -> DataFrame:
+    """encoded with the text of each row's ids: the row of the id-to-piece table joins every row, and ids find their
+    pieces there by position; pieces are joined by a space, as for tokenizers without a decoder."""
+    pieces = pieces_by_id(read_tokenizer(tokenizer_path))
+    name = F.lit(os.path.basename(tokenizer_path))
+    table = encoded.sparkSession.createDataFrame([(os.path.basename(tokenizer_path), pieces)], "tokenizer string, pieces array<string>")
+    joined = encoded.withColumn("_tokenizer", name).join(F.broadcast(table), F.col("_tokenizer") == F.col("tokenizer"), "left")  # of the vocabulary's size
+    text = F.array_join(F.transform(ids_col, lambda i: F.get("pieces", i)), " ")
+    return joined.withColumn(as_col, text).drop("_tokenizer", "tokenizer", "pieces")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """id_col and the text of each row's ids: pieces joined by a space, as for tokenizers without a decoder.
+    """id_col and the text of each row's ids.
 
-    Null ids give a null text, no ids an empty one. Ids outside the vocabulary have no piece and are left out.
+    Null ids give a null text, no ids an empty one. Ids outside the vocabulary (null ones too) have no piece and are
+    left out. Rows are independent; other columns are ignored. Empty in, empty out.
     """
-    with open(tokenizer_path, encoding="utf-8") as f:
-        content = encoded.sparkSession.sparkContext.broadcast(f.read())  # as large as the vocabulary
-    sql, arrow = _id_type(encoded, id_col)
-    schema = pa.schema([(id_col, arrow), (text_col, pa.string())])
+    rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    return decoded_text(rows, tokenizer_path).select(F.col("id").alias(id_col), F.col("text").alias(text_col))
 
-    def texts(batches):
-        names = dict(enumerate(pieces_by_id(content.value)))
-        for batch in batches:
-            found = [None if ids is None else " ".join([p for p in map(names.get, ids) if p]) for ids in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.string())], schema=schema)
 
-    return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(texts, f"`{id_col}` {sql}, `{text_col}` string")
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
 
 
 def encode_decode_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20, n_parts: int | None = None) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 and decoded_sha256 of encode() and decode(), digested where the ids are made.
+    """id_col, n_tokens, ids_sha256 and decoded_sha256 of what encode() and then decode() give.
 
     For edge cases see encode(): a null or empty text has the digests of the empty string.
     """
-    sql, arrow = _id_type(docs, id_col)
-
-    def finish(values, names):
-        counts = np.array([len(v) for v in values], np.int64)
-        decimals = [" ".join(map(str, v)).encode() for v in values]
-        pieces = [" ".join([names[i] for i in v]).encode() for v in values]
-        some = counts > 0
-
-        def one(at):
-            n = int(counts[at].sum())
-            at = at[some[at]].tolist()
-            return n, hashlib.sha256(b" ".join([decimals[i] for i in at])).hexdigest(), hashlib.sha256(b" ".join([pieces[i] for i in at])).hexdigest()
-
-        return one
-
-    schema = pa.schema([(id_col, arrow), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    return _apply(docs, tokenizer_path, id_col, text_col, f"`{id_col}` {sql}, n_tokens long, ids_sha256 string, decoded_sha256 string", schema, finish, chunk_bytes, n_parts)
+    rows = encode(docs, tokenizer_path, id_col, text_col, chunk_bytes, n_parts)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded_text(rows, tokenizer_path).select(id_col, "n_tokens", sha256(ids).alias("ids_sha256"), sha256(F.col("text")).alias("decoded_sha256"))
