@@ -1,7 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a queue of its documents in a fixed pseudo-random order (md5 of the id), run through up to
-`max_epochs` times. A document's virtual finish time is the tokens of its source up to and including it,
+Every source is a queue of its documents in a fixed pseudo-random order (md5 of the id and of the text's md5, so that
+rows without an id are spread too), run through up to `max_epochs` times. A document's virtual finish time is the tokens of its source up to and including it,
 divided by the source's target. Serving all queues by finish time up to the total budget gives each source
 its target but for a document. Both running sums (inside a source, over all finish times) are taken in two
 levels: sums of buckets, then rows inside one bucket, so that no task holds a source or the whole order.
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import word_count
+from tidelog.llm.shared import running, word_count
 from tidelog.session import materialize
 
 #: Weights of the sources in code point order, repeating.
@@ -30,24 +30,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     """
     lcm = math.lcm(*weights)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = Window.partitionBy()
-    ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    by_ratio = Window.orderBy((F.col("source_size") * F.lit(lcm) / F.col("weight")).cast("decimal(38,0)"), "rank")
-    upto = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    ranked = running(per, [F.col("source").asc_nulls_last()], {"rank": F.lit(1).cast("long")})
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]), (F.col("rank") % len(weights) + 1).cast("int")))
     cap = F.col("source_size") * 2
-    filled = (
-        ranked.withColumn("total", F.sum("source_size").over(every))
-        .withColumn("before", F.coalesce(F.sum(cap).over(upto), F.lit(0)))
-        .withColumn("rest", F.sum("weight").over(by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("stopped", (F.col("total") * 3 - F.col("before") * 2).cast("decimal(38,0)") * F.col("weight") >= F.col("rest").cast("decimal(38,0)") * cap * 2)
-    )
-    level = (
-        filled.withColumn("taken", F.sum(F.when(F.col("stopped"), cap).otherwise(0)).over(every))
-        .withColumn("open", F.sum(F.when(F.col("stopped"), 0).otherwise(F.col("weight"))).over(every))
-        .withColumn("target", F.when(F.col("stopped"), cap.cast("double")).otherwise((F.col("total") * 3 - F.col("taken") * 2) * F.col("weight") / (F.col("open") * 2).cast("double")))
-    )
-    return level.select("source", "source_size", "weight", "target", "total")
+    ratio = (F.col("source_size") * F.lit(lcm) / F.col("weight")).cast("decimal(38,0)")
+    filled = materialize(running(ranked, [ratio, F.col("rank")], {"before": cap, "lighter": F.col("weight")}), "mix-sources")
+    total, weight = (x or 0 for x in filled.agg(F.sum("source_size"), F.sum("weight")).first())
+    stopped = (F.lit(total) * 3 - F.col("before") * 2).cast("decimal(38,0)") * F.col("weight") >= (F.lit(weight) - F.col("lighter")).cast("decimal(38,0)") * cap * 2
+    filled = filled.withColumn("stopped", stopped)
+    taken, open_ = (x or 0 for x in filled.agg(F.sum(F.when(F.col("stopped"), cap)), F.sum(F.when(~F.col("stopped"), F.col("weight")))).first())
+    share = (F.lit(total * 3 - taken * 2) * F.col("weight")) / F.lit(float(2 * open_ or 1))
+    target = F.when(F.col("stopped"), cap.cast("double")).otherwise(share)
+    return filled.select("source", "source_size", "weight", target.alias("target"), F.lit(total).cast("long").alias("total"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
@@ -55,10 +49,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     The document at the end of the budget is taken in part. Null text is of size 0, null source is a source
     of its own and sorts last; size 0 takes 0. Rows that repeat an id follow each other by size; the result
-    doesn't depend on how the input is partitioned. Other columns are ignored. Empty in, empty out.
+    doesn't depend on how the input is partitioned. Other columns are ignored. Empty in, empty out. Of a very long
+    text only its number of words and a digest are kept.
     """
     sized = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("at", F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")).select("*", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))).alias("at")).drop("digest"),
         "mix-sized",
     )
     buckets = math.isqrt(sized.count()) + 1  # as many buckets as rows in one: neither level outgrows a task

@@ -30,7 +30,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 """
 
 OP8 = rf"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS r FROM sized GROUP BY source),
 ranked AS (SELECT *, CASE r WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM per),
 filled AS (SELECT *, sum(source_size) OVER () AS total, source_size * 6 // weight AS ratio,

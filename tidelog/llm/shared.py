@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidelog.session import materialize
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -49,6 +53,37 @@ def parts_of(texts: DataFrame, text_col: str = "text", part_bytes: int = 10 << 2
     return max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with, for each of sums, its total over the rows that come before in a total order.
+
+    Rows are sorted by ranges and written; each range has its own running sums, and the ranges before it count as one
+    number each, so no task holds more than a range or a row a range.
+    """
+    placed = materialize(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()), "ordered")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    per = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    ahead = per.select("_range", *[zero(F.sum(f"_{n}").over(before(Window.orderBy("_range")))).alias(f"_{n}") for n in sums])
+    inside = before(Window.partitionBy("_range").orderBy(*order))
+    found = placed.withColumns({n: zero(F.sum(c).over(inside)) for n, c in sums.items()}).join(ahead, "_range")
+    return found.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, batch_bytes: int = 8 << 20) -> Iterator[None]:
+    """What is run within hands rows to Python in batches of about so many bytes."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, str(batch_bytes))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def release() -> None:
     """Give freed memory back to the system: an executor's Python workers wait between tasks with what they hold."""
     gc.collect()
