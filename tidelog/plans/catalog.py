@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import ddl
 from tidelog.functions.filters import action_of, applied_queries, kept_rows, schema_gate
-from tidelog.model import FileConf, Task
+from tidelog.model import FileConf, Task, TaskUpdate
 from tidelog.operators import decode, encode, recovery, schemas, views
 from tidelog.plans import seeds
-from tidelog.sources.change_log import stream_events
+from tidelog.session import work_path
+from tidelog.sources.change_log import ChangeLogSource, stream_events
+from tidelog.sources.kv import KeyValueStore
 from tidelog.sources.sinks import FileSink, read_files
+from tidelog.streaming.engine import TaskEngine
 from tidelog.streaming.pipeline import ChangeFeed
-from tidelog.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,6 +94,15 @@ _filter_query("filter_table_exclude", Task("t", exclude_table=("db2.*", "db3.t4"
 _filter_query("filter_combined", FILTERED, KEPT_SQL)
 
 
+@query(f"""WITH {ORDERS_SQL}, x AS (SELECT seq, CASE WHEN seq % 9 <> 0 THEN db END AS db, CASE WHEN seq % 10 <> 0 THEN tbl END AS tbl FROM o)
+SELECT seq, db, tbl FROM x WHERE db IS NOT NULL AND tbl IS NOT NULL AND NOT (db = 'db1' AND tbl = 't1')""")
+def filter_null_table(spark, sf_dir):
+    """Rows whose table map lacks the database or the table go, whatever the lists say."""
+    e = seeds.orders_log(spark, sf_dir)
+    e = e.withColumn("db", F.when(F.col("seq") % 9 != 0, F.col("db"))).withColumn("tbl", F.when(F.col("seq") % 10 != 0, F.col("tbl")))
+    return e.filter(kept_rows(Task("t", exclude_table=("db1.t1",)))).select("seq", "db", "tbl")
+
+
 def line_changes(spark, events, image_order="after_first") -> DataFrame:
     rows = decode.row_events(events, TASK).withColumn("columns", seeds.columns(seeds.LINE_COLUMNS))
     return decode.decoded(rows, TASK.task_id, image_order)
@@ -163,43 +174,80 @@ def envelope_json_roundtrip(spark, sf_dir):
     return e.select("seq", "topic", "database", "table", "action", e.before.isNull().alias("no_before"), e.after.isNull().alias("no_after"), e.before["price"].alias("before_price"), e.after["price"].alias("after_price"), F.size("org_row").alias("images"), e.event_header["timestamp"].alias("timestamp"), e.event_header["log_pos"].alias("log_pos"), F.lit(2).alias("nulls"))
 
 
-def _statement_rows() -> str:
-    """What the plain-token rules read in each statement: id, schema (null: the default), table, action, error."""
-    named = {5: "test.casbin_rule", 6: "casbin_rule", 15: "other.t", 21: "`test`.`casbin_rule`"}
-    actions = {1: "change", 2: "modify", 3: "drop", 4: "add", 5: "add", 6: "add", 7: "change", 8: "modify", 9: "drop", 10: "add", 11: "add", 12: "change", 13: "add", 14: "add", 15: "add", 17: "add", 18: None, 20: "drop", 21: "add", 22: "rename"}
-    rows = []
-    for i, action in actions.items():
-        schema, _, table = named.get(i, "test.casbin_rule").rpartition(".")
-        text = lambda v: "NULL" if v is None else "'" + v + "'"
-        rows.append(f"({i}, {text(schema or None)}, {text(table)}, {text(action)}, {text('missing token' if i == 18 else None)})")
-    return "(VALUES " + ", ".join(rows) + ") s(id, schema, tbl, action, error)"
+#: Statements of parts, read by plain tokens: what is literally `alter table`, cut at single spaces.
+PARSED_SQL = """
+q AS (SELECT p_partkey AS seq, {db} AS def, __TEXT__ AS q FROM part),
+tok AS (SELECT seq, def, string_split(regexp_replace(substr(q, strpos(lower(q), 'alter table')), '^\\s+|\\s+$', '', 'g'), ' ') AS t FROM q WHERE strpos(lower(q), 'alter table') > 0),
+named AS (SELECT *, len(t) AS n, strpos(t[3], '.') > 0 AS dotted, lower(t[4]) AS action, coalesce(lower(t[5]) = 'column', FALSE) AS w, lower(t[-1]) AS last, lower(t[-2]) AS pen FROM tok),
+parsed AS (SELECT seq, CASE WHEN dotted THEN string_split(t[3], '.')[1] ELSE def END AS db, CASE WHEN dotted THEN string_split(t[3], '.')[2] ELSE t[3] END AS tbl, action,
+  n < 4 OR (action IN ('drop', 'add') AND (n < 5 OR (w AND n < 6))) OR (action = 'change' AND n < 6) AS lacks,
+  CASE WHEN action = 'change' THEN t[5] WHEN action IN ('drop', 'add') THEN CASE WHEN w THEN t[6] ELSE t[5] END END AS name, CASE WHEN action = 'change' THEN t[6] END AS new_name,
+  CASE WHEN action = 'add' THEN CASE WHEN last = 'first' THEN 'first' WHEN pen = 'after' THEN 'after' ELSE 'last' END END AS place,
+  CASE WHEN action = 'add' AND last <> 'first' AND pen = 'after' THEN t[-1] END AS after FROM named)
+"""
+
+
+def parsed_sql(db: str) -> str:
+    return PARSED_SQL.replace("{db}", db).replace("__TEXT__", seeds.GENERATED.format(div="//", db="(" + db + ")").strip())
 
 
-@query(f"""SELECT id, n_nationkey, coalesce(schema, 'db' || n_nationkey) AS schema, tbl AS "table", action, error FROM {_statement_rows()} CROSS JOIN nation""")
+@query(f"""WITH {parsed_sql("'db' || (p_partkey % 4)")}
+SELECT seq, db, tbl, action, CASE WHEN lacks THEN 'missing token' END AS error, CASE WHEN NOT lacks THEN name END AS name, CASE WHEN NOT lacks THEN new_name END AS new_name,
+  CASE WHEN NOT lacks THEN place END AS place, CASE WHEN NOT lacks THEN after END AS after FROM parsed""")
 def ddl_parse(spark, sf_dir):
-    """Every statement under every nation's key as the default schema (23 by 25 rows)."""
-    each = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("s", F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(q).alias("query")) for i, q in seeds.STATEMENTS])))
-    p = each.select("n_nationkey", "s.id", ddl.parse(F.col("s.query"), F.concat(F.lit("db"), F.col("n_nationkey").cast("string"))).alias("p"))
-    p = p.select("n_nationkey", "id", F.explode(F.array("p")).alias("p")).filter("p is not null")
-    return p.select("id", "n_nationkey", "p.schema", "p.table", "p.action", "p.error")
+    """A statement for each part, and what the plain-token rules read in it."""
+    s = seeds.generated_statements(spark, sf_dir, "'db' || (p_partkey % 4)")
+    p = s.select("seq", F.explode(F.array(ddl.parse(F.col("query"), F.col("default_schema")))).alias("p")).filter("p is not null")
+    change = F.get("p.changes", F.lit(0))
+    return p.select("seq", F.col("p.schema").alias("db"), F.col("p.table").alias("tbl"), "p.action", "p.error", *[change[c].alias(c) for c in ("name", "new_name", "place", "after")])
 
 
-#: Column lists after each statement that changes or moves them.
-FOLDED = {
-    1: "id,p_type,v0,v1,v2,vx", 3: "id,p_type,v0,v2,num", 4: "id,p_type,v0,v1,v2,num,xxs", 5: "id,p_type,v0,age,v1,v2,num", 6: "test,id,p_type,v0,v1,v2,num", 7: "id,p_type,v0,v1,v2,num",
-    9: "id,p_type,v0,v1,v2", 10: "id,p_type,v0,v1,v2,num,ps", 12: "id,p_type,v0,v1,v2,num", 13: "id,p_type,v0,v1,v2,num,INDEX", 14: "id,p_type,v0,v1,v2,num,a", 17: "id,p_type,v0,v1,v2,num", 20: "id,p_type,v0,v1,v2,num",
-}
+#: The column list `c` after a parsed change, and whether the change moves the definition.
+APPLIED_SQL = """CASE WHEN action = 'drop' THEN list_filter(c, lambda x: x <> name) WHEN action = 'change' THEN list_transform(c, lambda x: CASE WHEN x = name THEN new_name ELSE x END)
+  WHEN list_contains(c, name) THEN c WHEN place = 'first' THEN list_prepend(name, c) WHEN place = 'last' THEN list_append(c, name)
+  WHEN list_contains(c, after) THEN list_concat(list_append(c[:list_position(c, after)], name), c[list_position(c, after) + 1:]) ELSE c END"""
+MOVES_SQL = "NOT (action = 'add' AND list_contains(c, name))"
+START_SQL = "[" + ", ".join(f"'{c}'" for c in seeds.START_COLUMNS) + "]"
 
 
-@query("SELECT id, columns, 'id,p_type,v0,v1,v2,num' AS old FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in FOLDED.items()) + ") v(id, columns)")
+@query(f"""WITH {parsed_sql("'shop'")}, s AS (SELECT *, {START_SQL} AS c FROM parsed WHERE NOT lacks AND name IS NOT NULL AND db = 'shop')
+SELECT seq, array_to_string({APPLIED_SQL}, ',') AS columns, array_to_string(c, ',') AS old FROM s WHERE {MOVES_SQL}""")
 def ddl_fold_versions(spark, sf_dir):
     """Each statement alone over the start columns: the lists after and before it, where it moves the definition."""
-    task = Task("t", database=("test",))
-    s = seeds.statements(spark).withColumns({"default_schema": F.lit("test"), "error_code": F.lit(0)}).filter(applied_queries(task))
-    s = s.select("id", F.explode(F.array(ddl.parse(F.col("query"), F.col("default_schema")))).alias("p")).filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, "open", F.col("p.schema")))
-    s = s.select("id", F.explode("p.changes").alias("change"), seeds.columns(seeds.START_COLUMNS).alias("before")).filter(ddl.shifts(F.col("before"), F.col("change")))
-    names = lambda c: F.array_join(F.transform(c, lambda x: x["name"]), ",")
-    return s.select("id", names(ddl.applied(F.col("before"), F.col("change"))).alias("columns"), names(F.col("before")).alias("old"))
+    task = Task("t", database=("shop",))
+    s = seeds.generated_statements(spark, sf_dir, "'shop'").withColumn("error_code", F.lit(0)).filter(applied_queries(task))
+    s = s.select("seq", F.explode(F.array(ddl.parse(F.col("query"), F.col("default_schema")))).alias("p")).filter(F.col("p").isNotNull() & F.col("p.error").isNull() & schema_gate(task, "open", F.col("p.schema")))
+    s = s.select("seq", F.explode("p.changes").alias("change"), seeds.columns(seeds.START_COLUMNS).alias("before")).filter(ddl.shifts(F.col("before"), F.col("change")))
+    return s.select("seq", _names(ddl.applied(F.col("before"), F.col("change"))).alias("columns"), _names(F.col("before")).alias("old"))
+
+
+def _names(columns):
+    return F.array_join(F.transform(columns, lambda x: x["name"]), ",")
+
+
+@query(f"""WITH RECURSIVE {parsed_sql("'db' || (p_partkey % 25)")},
+s AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY seq) AS i FROM parsed WHERE NOT lacks AND name IS NOT NULL AND tbl = 'visit' AND db <> 'other' AND seq % 10 <> 9),
+r AS (SELECT 'db' || n_nationkey AS db, 0::BIGINT AS i, -1::BIGINT AS from_seq, []::VARCHAR[] AS old, {START_SQL} AS c, 0::BIGINT AS version, TRUE AS moved FROM nation
+  UNION ALL SELECT db, i, CASE WHEN m THEN seq ELSE from_seq END, CASE WHEN m THEN c ELSE old END, CASE WHEN m THEN a ELSE c END, version + m::INT, m
+  FROM (SELECT r.db, s.i, s.seq, r.from_seq, r.old, r.c, r.version, {MOVES_SQL} AS m, {APPLIED_SQL} AS a FROM r JOIN s ON s.db = r.db AND s.i = r.i + 1))
+SELECT db, version, from_seq, lead(from_seq) OVER (PARTITION BY db ORDER BY version) AS to_seq, array_to_string(c, ',') AS columns, array_to_string(old, ',') AS old FROM r WHERE moved""")
+def ddl_history(spark, sf_dir):
+    """The versions of 25 tables over all statements, a tenth of which failed."""
+    s = seeds.generated_statements(spark, sf_dir, "'db' || (p_partkey % 25)")
+    events = seeds.shaped(s.select(*seeds.position("seq"), F.lit("query").alias("kind"), "query", "default_schema", F.when(F.col("seq") % 10 == 9, 1064).otherwise(0).alias("error_code")))
+    tables = spark.range(25).select(F.concat(F.lit("db"), F.col("id")).alias("db"), F.lit("visit").alias("tbl"), seeds.columns(seeds.START_COLUMNS).alias("columns"))
+    v = schemas.schema_versions(schemas.ddl_changes(events, Task("t")), tables)
+    return v.select("db", "version", "from_seq", "to_seq", _names(F.col("columns")).alias("columns"), _names(F.col("old")).alias("old"))
+
+
+@query("""SELECT 'db' || (c_custkey % 3) AS db, 't' || (c_custkey % 20) AS tbl, string_agg('f' || c_custkey || ':' || coalesce(c_mktsegment, ''), ',' ORDER BY c_custkey DESC) AS columns,
+  count(*) FILTER (c_custkey % 4 IN (1, 2)) AS not_null FROM customer GROUP BY ALL""")
+def catalog_columns(spark, sf_dir):
+    """Tables whose columns are customers, by falling key, half of them not null in either spelling."""
+    k = F.col("c_custkey")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("db"), k % 3).alias("db"), F.concat(F.lit("t"), k % 20).alias("tbl"), (-k).alias("ordinal"), F.concat(F.lit("f"), k).alias("field"), F.col("c_mktsegment").alias("type"), F.element_at(F.array(*map(F.lit, ("YES", "NO", "No", "yes"))), (k % 4 + 1).cast("int")).alias("null"))
+    each = F.transform("columns", lambda x: F.concat(x["name"], F.lit(":"), x["type"]))
+    return schemas.from_catalog(c).select("db", "tbl", F.array_join(each, ",").alias("columns"), F.size(F.filter("columns", lambda x: x["not_null"])).cast("long").alias("not_null"))
 
 
 EVOLVED_SQL = f"""WITH {LINES_SQL} SELECT seq, row_index::BIGINT AS row_index, partkey, CASE WHEN seq <= 700 THEN suppkey END AS suppkey, CASE WHEN seq <= 1000 THEN price::VARCHAR END AS price,
@@ -275,6 +323,95 @@ def marks_last_two(spark, sf_dir):
     return recovery.last_marks(e).select("task_id", "seq", "log_pos")
 
 
+@query("""WITH e AS (SELECT 'task_' || (user_id % 25) AS task_id, event_id AS seq, event_id * 10 AS log_pos, event_id % 3 <> 0 AS done FROM events WHERE event_type <> 'error'),
+l AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) AS n FROM e)
+SELECT task_id, string_agg(log_pos || ':' || done, ',' ORDER BY seq) AS marks FROM l WHERE n <= 2 GROUP BY task_id""")
+def marks_completed(spark, sf_dir):
+    """The marks of 25 tasks, of whose events two in three were completed."""
+    k = F.col("event_id")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_type <> 'error'").select(F.concat(F.lit("task_"), F.col("user_id") % 25).alias("task_id"), k.alias("seq"), F.lit("bin.000001").alias("log_file"), (k * 10).alias("log_pos"), F.lit("rows").alias("kind"))
+    marks = recovery.mark_states(e, e.filter("seq % 3 <> 0"))
+    return marks.select("task_id", F.array_join(F.transform("marks", lambda m: F.concat(m["pos"].cast("string"), F.lit(":"), m["success"].cast("string"))), ",").alias("marks"))
+
+
+@query("SELECT 'nation/' || n_nationkey AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name || '!' ELSE n_name END AS value FROM nation WHERE n_nationkey % 5 <> 0")
+def kv_upserts(spark, sf_dir):
+    """A key for each nation: set, half of them set again, a fifth deleted; other keys beside them."""
+    kv = KeyValueStore(spark, work_path(spark, "kv"))
+    for r in spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name").collect():  # 25 rows
+        key = f"nation/{r.n_nationkey}"
+        kv.set(key, r.n_name)
+        kv.set(f"other/{r.n_nationkey}", None)
+        if r.n_nationkey % 2 == 0:
+            kv.set(key, kv.get(key) + "!")
+        if r.n_nationkey % 5 == 0:
+            kv.delete(key)
+    return kv.frame("nation/").select("key", F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"].alias("value"))
+
+
+def write_log(spark: SparkSession, events: DataFrame, folder: str, number: int) -> None:
+    """One file of a log, as lines of JSON in the order of the log."""
+    events.select("seq", F.to_json(F.struct("*")).alias("value")).orderBy("seq").select("value").coalesce(1).write.text(f"{folder}/.{number}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(s.getPath() for s in fs.listStatus(path(f"{folder}/.{number}")) if s.getPath().getName().startswith("part-"))
+    fs.rename(part, path(f"{folder}/bin.{number}.jsonl"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT seq, 'task_001.' || db || '.' || tbl AS topic, action, CASE WHEN action <> 'insert' THEN price::VARCHAR END AS before_price,
+  CASE action WHEN 'insert' THEN price::VARCHAR WHEN 'update' THEN (price + 1)::VARCHAR END AS after_price FROM o WHERE action <> '' AND seq >= 400""")
+def source_change_log(spark, sf_dir):
+    """A log in files whose numbers gain a digit, from the second one on; in two runs, the second of which finds another file."""
+    spark.dataSource.register(ChangeLogSource)
+    home, events = work_path(spark, "log"), seeds.orders_log(spark, sf_dir)
+    conf = FileConf(f"{home}/out")
+    feed = ChangeFeed(spark, lambda: TASK, FileSink(conf), seeds.orders_catalog(spark), f"{home}/state")
+
+    def run():
+        stream = spark.readStream.format("change_log").option("path", f"{home}/log").option("startingOffset", '{"file": "bin.9.jsonl", "pos": 0}')
+        stream.load().writeStream.option("checkpointLocation", f"{home}/checkpoint").foreachBatch(feed).trigger(availableNow=True).start().awaitTermination()
+
+    for number, kept in ((8, "seq < 400"), (9, "seq >= 400 and seq < 900"), (10, "seq >= 900 and seq < 1200")):
+        write_log(spark, events.filter(kept), f"{home}/log", number)
+    run()
+    write_log(spark, events.filter("seq >= 1200"), f"{home}/log", 11)
+    run()
+    e = encode.parsed(read_files(spark, conf))
+    return e.select("seq", "topic", "action", e.before["price"].alias("before_price"), e.after["price"].alias("after_price"))
+
+
+@query(f"""WITH {ORDERS_SQL} SELECT 1 AS life, seq, 'task_001.' || db || '.' || tbl AS topic, action FROM o
+  WHERE action <> '' AND CASE WHEN seq % 3 < 2 THEN db IN ('db0', 'db1') ELSE db IN ('db0', 'db1', 'db2') AND NOT (db = 'db0' AND tbl = 't1') END
+UNION ALL SELECT 2, seq, 'task_001.' || db || '.' || tbl, action FROM o WHERE action <> '' AND db = 'db3'""")
+def task_lifecycle(spark, sf_dir):
+    """A task is created, stopped, resumed by another engine, updated, recovered by a third one and deleted, a third of the
+    log coming in before each start; then one of its id is created again, over the whole log and other tables."""
+    home, events = work_path(spark, "engine"), seeds.orders_log(spark, sf_dir)
+    engine = lambda: TaskEngine(spark, home, lambda task, starting: stream_events(spark, f"{home}/log"), lambda task: seeds.orders_catalog(spark))
+    arrive = lambda third: events.filter(F.col("seq") % 3 == third).write.mode("append").parquet(f"{home}/log")
+    lives = [FileConf(f"{home}/out/{life}") for life in (1, 2)]
+
+    first, second, third = engine(), engine(), engine()
+    arrive(0)
+    first.create(Task("task_001", database=("db0", "db1"), file_conf=lives[0]), once=True)
+    first.wait("task_001")
+    first.stop("task_001")
+    arrive(1)
+    assert second.recover_all() == {}  # a stopped task stays so
+    second.resume("task_001", once=True)
+    second.wait("task_001")
+    second.update(TaskUpdate("task_001", ("db0", "db1", "db2"), (), ("db0.t1",)))
+    arrive(2)
+    assert third.recover_all(once=True) == {"task_001": None}
+    third.wait("task_001")
+    third.delete("task_001")
+    third.create(Task("task_001", tables=("db3.*",), file_conf=lives[1]), once=True)
+    third.wait("task_001")
+    third.delete("task_001")
+    rows = [encode.parsed(read_files(spark, conf)).select(F.lit(life).alias("life"), "seq", "topic", "action") for life, conf in enumerate(lives, 1)]
+    return rows[0].unionByName(rows[1])
+
+
 def run_stream(spark: SparkSession, events: DataFrame, catalog: DataFrame, task: Task = TASK, batches: int = 3) -> tuple[FileConf, ChangeFeed]:
     """Events as files in the order of the log, streamed file by file through the feed into a file sink."""
     home = work_path(spark, "stream")

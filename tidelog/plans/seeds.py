@@ -7,33 +7,54 @@ from pyspark.sql import functions as F
 
 from tidelog.model import COLUMNS, RAW_EVENTS
 
-#: ALTER statements and their edge cases: (id, statement). Columns before: START_COLUMNS; database list: test.
+#: ALTER statements and their edge cases: (id, statement). Columns before: START_COLUMNS; database list: shop.
 STATEMENTS = [
-    (1, "/* c */alter table test.casbin_rule change num vx int(64) default 20 null"),
-    (2, "alter table test.casbin_rule modify column num int(64) default 20 null"),
-    (3, "alter table test.casbin_rule drop column v1"),
-    (4, "/* app */ alter table test.casbin_rule add xxs varchar(100) null"),
-    (5, "alter table test.casbin_rule add age int(4) default 20 after v0"),
-    (6, "alter table casbin_rule add test int (5) default 4  first"),
-    (7, "ALTER TABLE test.casbin_rule CHANGE `num` n2 float(20,6) NULL"),
-    (8, "ALTER TABLE test.casbin_rule MODIFY COLUMN num decimal(20,6) NULL"),
-    (9, "ALTER TABLE test.casbin_rule DROP COLUMN num"),
-    (10, "ALTER TABLE test.casbin_rule ADD ps varchar(100) NULL"),
-    (11, "ALTER TABLE test.casbin_rule ADD v2 varchar(100) NULL"),
-    (12, "ALTER TABLE test.casbin_rule CHANGE COLUMN num n2 int"),
-    (13, "ALTER TABLE test.casbin_rule ADD INDEX ix (v0)"),
-    (14, "ALTER TABLE test.casbin_rule ADD a int, ADD b int"),
+    (1, "/* c */alter table shop.visit change num total int(64) default 20 null"),
+    (2, "alter table shop.visit modify column num int(64) default 20 null"),
+    (3, "alter table shop.visit drop column page"),
+    (4, "/* app */ alter table shop.visit add note varchar(100) null"),
+    (5, "alter table shop.visit add age int(4) default 20 after host"),
+    (6, "alter table visit add flag int (5) default 4  first"),
+    (7, "ALTER TABLE shop.visit CHANGE `num` n2 float(20,6) NULL"),
+    (8, "ALTER TABLE shop.visit MODIFY COLUMN num decimal(20,6) NULL"),
+    (9, "ALTER TABLE shop.visit DROP COLUMN num"),
+    (10, "ALTER TABLE shop.visit ADD via varchar(100) NULL"),
+    (11, "ALTER TABLE shop.visit ADD lang varchar(100) NULL"),
+    (12, "ALTER TABLE shop.visit CHANGE COLUMN num n2 int"),
+    (13, "ALTER TABLE shop.visit ADD INDEX ix (host)"),
+    (14, "ALTER TABLE shop.visit ADD a int, ADD b int"),
     (15, "ALTER TABLE other.t ADD a int"),
-    (16, "ALTER  TABLE test.casbin_rule ADD a int"),
-    (17, "ALTER TABLE test.casbin_rule ADD a int AFTER nope"),
-    (18, "ALTER TABLE test.casbin_rule"),
+    (16, "ALTER  TABLE shop.visit ADD a int"),
+    (17, "ALTER TABLE shop.visit ADD a int AFTER nope"),
+    (18, "ALTER TABLE shop.visit"),
     (19, "CREATE TABLE t (a int)"),
-    (20, "ALTER TABLE test.casbin_rule DROP v1;"),
-    (21, "ALTER TABLE `test`.`casbin_rule` ADD a int"),
-    (22, "ALTER TABLE test.casbin_rule RENAME COLUMN num TO n2"),
+    (20, "ALTER TABLE shop.visit DROP page;"),
+    (21, "ALTER TABLE `shop`.`visit` ADD a int"),
+    (22, "ALTER TABLE shop.visit RENAME COLUMN num TO n2"),
     (23, "BEGIN"),
 ]
-START_COLUMNS = ("id", "p_type", "v0", "v1", "v2", "num")
+START_COLUMNS = ("id", "kind", "host", "page", "lang", "num")
+
+#: A statement for each part, put together from its key; {div} is the dialect's integer division, {db} the default schema.
+GENERATED = """
+CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '/* c */' WHEN 2 THEN '  ' ELSE '/* alter */ ' END
+|| CASE p_partkey % 9 WHEN 0 THEN 'alter table' WHEN 1 THEN 'ALTER  TABLE' WHEN 2 THEN 'Alter Table' WHEN 3 THEN 'CREATE TABLE' ELSE 'ALTER TABLE' END
+|| ' ' || CASE p_partkey {div} 2 % 8 WHEN 0 THEN 'visit' WHEN 1 THEN '`visit`' WHEN 2 THEN 'other.visit' WHEN 3 THEN 'visit' WHEN 4 THEN {db} || '.visit.x' ELSE {db} || '.visit' END
+|| CASE p_partkey {div} 7 % 12 WHEN 0 THEN '' WHEN 1 THEN ' modify' WHEN 2 THEN ' rename' WHEN 3 THEN ' drop' WHEN 4 THEN ' DROP' WHEN 5 THEN ' change' WHEN 6 THEN ' Change' ELSE ' ADD' END
+|| CASE p_partkey {div} 5 % 4 WHEN 0 THEN ' column' WHEN 1 THEN ' COLUMN' ELSE '' END
+|| CASE p_partkey {div} 11 % 9 WHEN 0 THEN '' WHEN 1 THEN ' host' WHEN 2 THEN ' `page`' WHEN 3 THEN ' lang' WHEN 4 THEN ' num;' WHEN 5 THEN ' id' ELSE ' n' || (p_partkey {div} 3 % 12) END
+|| CASE p_partkey {div} 13 % 3 WHEN 0 THEN '' WHEN 1 THEN ' n' || (p_partkey % 12) ELSE ' kind' END
+|| CASE p_partkey {div} 17 % 7 WHEN 0 THEN ' int' WHEN 1 THEN ' int FIRST' WHEN 2 THEN ' int after host' WHEN 3 THEN ' int AFTER nope' WHEN 4 THEN ' varchar(9) null  first ' WHEN 5 THEN ' int after n1' ELSE '' END
+"""
+
+
+def generated_statements(spark: SparkSession, sf_dir: str, db: str) -> DataFrame:
+    """seq, default_schema and query of a statement for each part. db: SQL for the default schema by p_partkey."""
+    text = GENERATED.format(div="div", db="(" + db + ")")
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return as_read(parts.select(F.col("p_partkey").alias("seq"), F.expr(db).alias("default_schema"), F.expr(text).alias("query")))
+
+
 LINE_COLUMNS = ("partkey", "suppkey", "linenumber", "quantity", "price")
 ORDER_COLUMNS = ("orderkey", "custkey", "status", "price")
 
@@ -124,7 +145,3 @@ def evolving_lines_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines_log(spark, sf_dir, "WRITE_ROWS_EVENTv2", F.transform("ls", cells))
     ddl = spark.createDataFrame(LINE_DDL, "seq long, query string")
     return rows.unionByName(shaped(ddl.select(*position("seq"), F.lit(0).alias("ts"), F.lit("query").alias("kind"), "query", F.lit("shop").alias("default_schema"), F.lit(0).alias("error_code"))))
-
-
-def statements(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATEMENTS, "id int, query string")
