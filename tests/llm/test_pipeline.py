@@ -48,7 +48,7 @@ def test_pipeline_against_plain_versions(spark):
 
 
 def test_stages_keep_the_columns_and_take_odd_rows(spark):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, size long"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, times long"
     long = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(1, long, "en", "a", 9, "r", 1), (2, long, "en", "a", 9, "r", 1), (3, long + " x", None, None, None, None, None), (None, "other " + long[::-1], "en", "b", 1, "r", 1), (4, None, "en", "a", 0, "r", 1), (5, "", "en", "a", 0, "r", 1)], schema)
     for rows, left in ((docs, {2, None}), (docs.limit(0), set())):
@@ -57,3 +57,18 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             assert rows.columns == docs.columns
         assert {r.doc_id for r in rows.collect()} == left
         assert {r.doc_id for r in corpus_pipeline.bpe(spark, rows, "").collect()} == left
+
+
+def test_rows_that_share_an_id_have_their_own_fate(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, id long, text_key long"
+    long = lambda w, n=80: " ".join(f"{w}{i}" for i in range(n))
+    texts = [(3, long("a")), (5, long("a") + " x"), (5, long("b")), (5, long("c")), (7, long("c") + " y"), (5, long("c") + " z"), (None, long("a")), (5, long("b"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k", 1, 2) for i, t in texts], schema)
+    left = corpus_pipeline.near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    got = sorted((str(r.doc_id), r.text) for r in left.collect())
+    groups_c = [x for x in got if x[1].startswith("c")]
+    assert len(groups_c) == 1 and groups_c[0][0] == "5"
+    assert [x for x in got if not x[1].startswith("c")] == sorted([("3", long("a")), ("5", long("b")), ("5", long("b")), ("None", long("a"))])
+    mixed = corpus_pipeline.mixing(spark, docs, "")
+    assert mixed.columns == docs.columns and {(r.doc_id, r.text) for r in mixed.collect()} <= {(r.doc_id, r.text) for r in docs.collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.session import materialize
+from tidelog.session import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rows_per_file: int = 200_000) -> DataFrame:
@@ -18,12 +18,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rows_per_file: int
     ends = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     both = materialize(ends.select(F.col(a).alias("u"), F.col(b).alias("v")).unionByName(ends.select(F.col(b).alias("u"), F.col(a).alias("v"))).distinct(), "edges")
     files = -(-both.count() // rows_per_file) or 1
-    labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label")).coalesce(files), "labels")
+    table = labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("label")).coalesce(files), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         over = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = materialize(moved.join(over, "label").select("node", "old", F.least("label", "next").alias("label")).coalesce(files), "labels")
-        if new.filter(F.col("old") != F.col("label")).isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        over_now = new.filter(F.col("old") != F.col("label")).isEmpty()
+        discard(table)
+        table, labels = new, new.select("node", "label")
+        if over_now:
+            discard(both)
+            return labels

@@ -34,13 +34,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.components import components
 from tidelog.llm.shared import parts_of, release
-from tidelog.session import materialize
+from tidelog.session import discard, materialize
 
 #: A token in more documents than this is frequent.
 RARE = 8
@@ -378,13 +378,25 @@ def _across(signed: DataFrame, compared: DataFrame, labels: DataFrame, percent:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, shingle: int = 5) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id (the smallest id that its links reach).
+    """One row per document: id_col, n_shingles, component_id (the smallest id that its links reach). See jaccard_groups()."""
+    return jaccard_groups(docs, id_col, text_col, threshold, shingle).select(id_col, "n_shingles", "component_id")
+
+
+def text_key(text: Column) -> Column:
+    """What tells rows of one id apart in jaccard_groups()."""
+    return F.xxhash64(text.cast("string"))
+
+
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75, shingle: int = 5) -> DataFrame:
+    """One row per document: id_col, text_key, n_shingles, component_id (the smallest id that its links reach), kept
+    (the first row of its component by id and text_key; rows equal to it are kept too).
 
     Two documents link if the Jaccard similarity of their sets of `shingle`-word shingles is at least the
     threshold (a whole percentage above 0); A-Z count as a-z; fewer words are one shingle. Documents without words
     (null and empty texts too) have an empty set and link with nothing, each being its own component. Equal
     sets are linked whatever their number. Ids are whole numbers; rows with a null id link with nothing and have
-    a null component_id; rows that repeat an id are documents of their own that share it, each with its own links.
+    a null component_id, and are all kept; rows that repeat an id are documents of their own that share it, each with
+    its own links.
     Other columns are ignored. Empty in, empty out. A very long text is one row of one task, held with its set
     (8 bytes a shingle) by one Python worker, and with its partner's in each comparison.
     """
@@ -392,7 +404,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if not 1 <= percent <= 100:
         raise ValueError("threshold is from 0.01 to 1")
     text = F.col(text_col).cast("string")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("h"), text.alias("text"))
     scanned = materialize(_scan(source, threshold, shingle, parts_of(source)), "join-scan")
     sizes = _sizes(scanned)
     found = materialize(_single_index(scanned), "join-singles")
@@ -424,10 +436,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = materialize(_compared(across, pool, percent, shingle).filter("linked").select("a", "b"), "join-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
+    discard(found, nodes, pairs, pool, signed, compared, more)
 
-    placed = sizes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("key", F.coalesce("label", "digest")).select("id", "n", "key")
+    placed = sizes.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("key", F.coalesce("label", "digest")).select("id", "h", "n", "key")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     # a table of its own, so that AQE can split the join of a component with many documents
-    smallest = materialize(placed.filter(~alone).groupBy("key").agg(F.min("id").alias("component_id")), "join-smallest")
-    rest = placed.filter(alone).select("id", "n", F.col("id").alias("component_id"))
-    return placed.filter(~alone).join(smallest, "key").select("id", "n", "component_id").unionByName(rest).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    first = materialize(placed.filter(~alone).groupBy("key").agg(F.min(F.struct("id", "h")).alias("first")), "join-smallest")
+    linked = placed.filter(~alone).join(first, "key").select("id", "h", "n", F.col("first.id").alias("component_id"), (F.struct("id", "h") == F.col("first")).alias("kept"))
+    rest = placed.filter(alone).select("id", "h", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(rest).select(F.col("id").alias(id_col), F.col("h").alias("text_key"), F.col("n").alias("n_shingles"), "component_id", "kept")

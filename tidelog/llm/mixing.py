@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import running, word_count
@@ -44,8 +44,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     return filled.select("source", "source_size", "weight", target.alias("target"), F.lit(total).cast("long").alias("total"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2) -> DataFrame:
-    """One row per document: id_col, size, source_size, target, taken (words the mix takes, repeats counted).
+def row_key(doc_id: Column, text: Column) -> Column:
+    """md5 of an id and of a text's md5: the order of documents within their source."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 2, with_key: bool = False) -> DataFrame:
+    """One row per document: id_col, size, source_size, target, taken (words the mix takes, repeats counted), and
+    row_key() as `key` if asked, which tells rows of one id with different texts apart.
 
     The document at the end of the budget is taken in part. Null text is of size 0, null source is a source
     of its own and sorts last; size 0 takes 0. Rows that repeat an id follow each other by size; the result
@@ -53,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text only its number of words and a digest are kept.
     """
     sized = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("digest")).select("*", F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))).alias("at")).drop("digest"),
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("at")),
         "mix-sized",
     )
     buckets = math.isqrt(sized.count()) + 1  # as many buckets as rows in one: neither level outgrows a task
@@ -75,7 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # one row: the slot in which the budget ends, and what is left for it; null if the budget takes everything
     cut, left = slots.filter("left >= 0 and left < n").agg(F.min_by("left", "slot").alias("left"), F.min("slot").alias("slot")).select("slot", "left").first()
     if cut is None:
-        return _result(queued.withColumn("taken", F.col("size") * max_epochs), id_col)
+        return _result(queued.withColumn("taken", F.col("size") * max_epochs), id_col, with_key)
     placed = queued.select("*", *finishes)
     whole = F.lit(0).cast("long")
     for e in range(max_epochs):
@@ -88,8 +94,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.lit(left) - F.coalesce(F.sum("size").over(one_slot), F.lit(0)))))
     edge = edge.groupBy(*row).agg(F.sum("part").alias("part"))
     taken = placed.withColumn("whole", whole).join(edge, row, "left").withColumn("taken", F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("part"), F.lit(0))).otherwise(0))
-    return _result(taken, id_col)
+    return _result(taken, id_col, with_key)
 
 
-def _result(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"))
+def _result(rows: DataFrame, id_col: str, with_key: bool) -> DataFrame:
+    return rows.select(F.col("id").alias(id_col), F.col("size").cast("long").alias("size"), F.col("source_size").cast("long").alias("source_size"), F.col("target").cast("double").alias("target"), F.col("taken").cast("long").alias("taken"), *([F.col("at").alias("key")] if with_key else []))
