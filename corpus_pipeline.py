@@ -1,8 +1,8 @@
 """From documents to token ids: rules, exact copies, near copies, the mix of sources, encoding.
 
 Every stage takes (spark, docs, sf_dir), works on all that the one before kept, and but for the last returns the
-columns of documents. Document ids are taken to be unique; rows that share one stay or go together where a stage
-decides by id.
+columns of documents. Stages decide by id and text, so rows that share an id but not a text have each their own fate;
+rows that share both stay or go together.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import encode
 from tidelog.llm.exact_dedup import exact_dedup
-from tidelog.llm.jaccard_join import jaccard_components
-from tidelog.llm.mixing import mix
+from tidelog.llm.jaccard_join import jaccard_groups, text_key
+from tidelog.llm.mixing import mix, row_key
 from tidelog.llm.quality_rules import keep_good
 from tidelog.llm.shared import ascii_lower, table, tokenizer_path
-from tidelog.session import materialize
+from tidelog.session import discard, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +26,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the largest id stays."""
-    stay = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.sha2(ascii_lower(F.col("text")), 256) == F.col("sha"))
-    return docs.join(stay, same, "left_semi")
+    stay = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.sha2(ascii_lower(F.col("d.text")), 256) == F.col("s.text_sha256"))
+    return docs.alias("d").join(stay.alias("s"), same, "left_semi")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that similarity links the smallest id stays; rows without an id stay."""
-    drop = jaccard_components(docs).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Of each group that similarity links one document stays, of the smallest id; rows without an id stay."""
+    drop = jaccard_groups(docs).filter("not kept").select("doc_id", "text_key").distinct()
+    same = (F.col("d.doc_id") == F.col("s.doc_id")) & (text_key(F.col("d.text")) == F.col("s.text_key"))
+    return docs.alias("d").join(drop.alias("s"), same, "left_anti")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. The one at the end of the budget counts whole."""
-    taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    taken = taken.groupBy("id").agg(F.max("times").alias("times"))
-    joined = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
+    taken = mix(docs, with_key=True).filter("taken > 0").select("key", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    taken = taken.groupBy("key").agg(F.max("times").alias("times"))
+    joined = docs.alias("d").join(taken.alias("s"), row_key(F.col("d.doc_id"), F.col("d.text")) == F.col("s.key"))
+    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("s.times"))).alias("_time")).drop("_time")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        read, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(read)
     return STAGES[-1][1](spark, docs, sf_dir)
