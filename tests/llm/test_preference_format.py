@@ -1,4 +1,11 @@
+from collections import Counter
+
+import duckdb
+import pytest
+
+from tidelog.llm.oracle import OP1
 from tidelog.llm.preference_format import conversation_turns, format_preferences, stale_reply_pairs
+from tidelog.llm.queries import op1_preference_format
 
 T = "array<struct<role:string,text:string>>"
 
@@ -34,3 +41,18 @@ def test_turns_and_pairs(spark):
     turns = conversation_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     got = {r.conv_id: ([t.text for t in r.chosen], [t.text for t in r.rejected]) for r in stale_reply_pairs(turns).collect()}
     assert got == {1: (["Q", "A", "R", "B"], ["Q", "A", "R", "A"]), 3: ([None], []), None: (["n"], [])}
+
+
+A = "assistant"
+ODD = [(1, 0, "user", "q", "x"), (1, 1, A, None, "x"), (1, 1, A, "b", "x"), (1, None, "user", "first", "x"), (None, 0, A, "n", None), (None, 0, A, "n", None), (None, None, None, None, None), (2, 0, None, None, "x"), (3, 0, A, "a" * 300_000, "x"), (3, 0, A, "a" * 300_000, "x"), (4, 0, "user", "", "x"), (4, 1, A, "", "x"), (4, 2, A, "", "x")]
+
+
+@pytest.mark.parametrize("rows", [[], ODD, [(None, None, None, None, None)], [(9, i, A if i % 2 else "user", f"t{i}", "x") for i in range(3_000)]])
+def test_query_on_odd_tables(spark, tmp_path, rows):
+    """Nulls, ties, repeated rows, very long turns and conversations, extra columns, empty tables; against the SQL."""
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(OP1)
+    names = [c[0] for c in want.description]
+    assert Counter(tuple(r[c] for c in names) for r in op1_preference_format(spark, str(tmp_path)).collect()) == Counter(want.fetchall())

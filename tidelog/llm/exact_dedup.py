@@ -35,7 +35,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts count as empty and form one group with empty ones. Of equal texts the row with the largest
     id stays; a null id never wins against another id, and a group of null ids keeps them (keep_id null).
     Rows that repeat the winning id and text can't be told apart and all stay. Other columns are ignored,
-    whatever their names; an empty table gives an empty result.
+    whatever their names; an empty table gives an empty result. A very long text is a key like others: a row of one
+    task, shuffled whole twice.
     """
     groups = materialize(content_groups(docs, id_col, text_col, n_salts).select("digest", "keep_id", "group_size", F.xxhash64("norm").alias("content")), "exact-groups")
     clashing = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("digest")

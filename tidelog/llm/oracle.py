@@ -50,7 +50,8 @@ FROM q LEFT JOIN got ON q.doc_id IS NOT DISTINCT FROM got.doc_id AND q.size = go
 """
 
 OP1 = r"""
-WITH t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS turns FROM conversations GROUP BY conv_id),
+WITH t AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL SELECT conv_id, [{'role': role, 'text': text}] FROM conversations WHERE conv_id IS NULL),
 i AS (SELECT *, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS idx FROM t),
 p AS (SELECT conv_id, turns[:idx[-1]] AS c,
   CASE WHEN len(idx) = 1 THEN turns[:idx[-1] - 1] ELSE list_append(turns[:idx[-1] - 1], {'role': 'assistant', 'text': turns[idx[1]].text}) END AS r FROM i WHERE len(idx) > 0),

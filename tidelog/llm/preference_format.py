@@ -38,7 +38,7 @@ def format_preferences(pairs: DataFrame, id_col: str = "pair_id", chosen_col: st
     the completions are the remaining turns of each side with spans, relative to the completion, of learned
     roles. Null conversations count as empty. Where one side is a prefix of the other, its completion is empty;
     usable says that the completions differ and each has a learned span. Rows are independent: ids may be null
-    or repeat, other columns are ignored, empty in, empty out.
+    or repeat, other columns are ignored, empty in, empty out. A pair of very long conversations is one row of one task.
     """
     side = lambda c: F.coalesce(F.col(c).cast(TURNS), F.array().cast(TURNS))
     both = pairs.select(F.col(id_col).alias("id"), side(chosen_col).alias("c"), side(rejected_col).alias("r"))
@@ -54,10 +54,16 @@ def format_preferences(pairs: DataFrame, id_col: str = "pair_id", chosen_col: st
 
 
 def conversation_turns(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """id_col and turns, by turn number (null first), then role and text. A conversation is one row by nature."""
-    turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    grouped = conversations.groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("t"))
-    return grouped.select(id_col, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    """id_col and turns, by turn number (null first), then role and text.
+
+    A conversation is one row by nature, however many turns it has (rows that repeat are turns of their own). Rows
+    without an id can't be told to belong together: each is a conversation of its own.
+    """
+    as_turn = F.struct(F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    turn = F.struct(F.col(turn_col).alias("turn"), as_turn["role"].alias("role"), as_turn["text"].alias("text"))
+    grouped = conversations.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(id_col)).agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    known = grouped.select(id_col, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    return known.unionByName(conversations.filter(F.col(id_col).isNull()).select(F.col(id_col), F.array(as_turn).alias("turns")))
 
 
 def stale_reply_pairs(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:

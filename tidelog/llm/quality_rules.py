@@ -82,7 +82,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     """id_col, the measures and fail_bits (long): every rule evaluated once.
 
     A null or empty text has all measures 0 and fails few_words and no_words. Rows are independent, so
-    ties and repeated rows change nothing; ids may be null; other columns are ignored. Empty in, empty out.
+    ties and repeated rows change nothing; ids may be null; other columns are ignored. Empty in, empty out. A very long
+    text is one row of one task, which holds its words and, where windows repeat, a sorted array of them.
     """
     bits = [F.when(F.expr(r.fails), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k, r in enumerate(rules)]
     total: Column = bits[0]

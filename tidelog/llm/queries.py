@@ -33,6 +33,7 @@ def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the one that stays of its text's group, by texts in lower-cased A-Z."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
@@ -43,11 +44,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document, with the verdicts of policies base and v1; n_lines and fail_bits follow."""
     rows = ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~verdict(F.col("fail_bits"), "base")).alias("base_failed"), verdict(F.col("fail_bits"), "v1").alias("kept"), "n_lines", "fail_bits")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that a string of 100 bytes covers which starts earlier."""
     rows = remove_repeats(table(spark, sf_dir, "documents"), with_kept=False)
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -73,19 +76,23 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a machine that learns from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix of sources takes of it, for 150% of all words."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 5-word shingles and its component, at a similarity of 0.75."""
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests of its ids and of the text that comes back."""
     return encode_decode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
