@@ -10,9 +10,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from tests.feed.test_feed import raw, row_event, statement
 from tidelog.model import FileConf, KafkaConf, MySQLConfig, RAW_EVENTS, Task, TaskError, TaskUpdate
-from tidelog.operators import decode, encode
+from tidelog.operators import decode, encode, schemas
 from tidelog.plans import seeds
-from tidelog.sources.change_log import ChangeLogReader, ChangeLogSource, events_batch, file_order, log_end, stream_events, whole_lines
+from tidelog.sources.change_log import ChangeLogReader, ChangeLogSource, ServerLogSource, events_batch, file_order, jdbc_options, log_end, read_catalog, read_server_position, stream_events, whole_lines
 from tidelog.sources.kv import KeyValueStore
 from tidelog.sources.sinks import KafkaSink, SinkRegistry, read_files
 from tidelog.streaming.engine import Metrics, TaskEngine
@@ -80,6 +80,46 @@ def test_log_source_resumes_by_file_and_position(spark, tmp_path):
     assert log_end(str(log)) == {"file": "bin.000002.jsonl", "pos": (log / "bin.000002.jsonl").stat().st_size}
 
 
+def test_catalog_and_position_over_jdbc(spark):
+    """The reads as they are, on the database that Spark brings along."""
+    url = f"jdbc:derby:memory:d{uuid.uuid4().hex};create=true"
+    options = {"url": url, "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark._jvm.java.lang.Class.forName(options["driver"])
+    con = spark._jvm.java.sql.DriverManager.getConnection(url)
+    for q in (
+        "CREATE SCHEMA information_schema",
+        "CREATE TABLE information_schema.columns (table_schema VARCHAR(9), table_name VARCHAR(9), ordinal_position BIGINT, column_name VARCHAR(9), column_type VARCHAR(20), is_nullable VARCHAR(3))",
+        "INSERT INTO information_schema.columns VALUES ('shop', 't', 2, 'b', 'decimal(9,2)', 'NO'), ('shop', 't', 1, 'a', 'int', 'YES'), ('shop', 'u', 1, 'x', 'text', 'YES')",
+        "CREATE TABLE master_status (file VARCHAR(20), position BIGINT)",
+        "INSERT INTO master_status VALUES ('bin.000007', 4294967295)",
+    ):
+        con.createStatement().execute(q)
+    config = MySQLConfig("", "", "h")
+    found = {(r.db, r.tbl): [(c.name, c.type, c.not_null) for c in r.columns] for r in schemas.from_catalog(read_catalog(spark, config, options)).collect()}
+    assert found == {("shop", "t"): [("a", "int", False), ("b", "decimal(9,2)", True)], ("shop", "u"): [("x", "text", False)]}
+    assert read_server_position(spark, config, options | {"query": "SELECT file, position FROM master_status"}) == {"file": "bin.000007", "pos": 4294967295}
+    assert jdbc_options(MySQLConfig("u", "p", "h", 33))["url"] == "jdbc:mysql://h:33/mysql"
+
+
+def test_a_live_source_by_a_client(spark, tmp_path):
+    """Positions as offsets: restarts go on where they were, and "latest" begins at the server's position."""
+    spark.dataSource.register(ServerLogSource)
+    log = tmp_path / "server"
+    log.mkdir()
+    write_log(log, "bin.000001", [row_event(i, [[str(i), "a"]]) for i in range(1, 6)])
+
+    def run(name, **options):
+        stream = spark.readStream.format("server_log").options(client="tests.feed.stand_in_server:Client", folder=str(log), **options)
+        stream.load().select("seq", "rows").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"cp{name}")).option("path", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.seq for r in spark.read.schema("seq long").parquet(str(tmp_path / name)).collect())
+
+    assert run("all") == [1, 2, 3, 4, 5] and run("new", startingOffset="latest") == []
+    write_log(log, "bin.000001", [row_event(6, [["6", "a"]])])
+    write_log(log, "bin.000002", [row_event(i, [[str(i), "a"]]) for i in (7, 8)])
+    assert run("all") == list(range(1, 9)) and run("new", startingOffset="latest") == [6, 7, 8]
+    assert run("all") == list(range(1, 9)) and run("some", startingOffset='{"file": "bin.000001", "pos": 4}') == [5, 6, 7, 8]
+
+
 def engine(spark, tmp_path, log, **more):
     def source(task, starting):
         return stream_events(spark, str(log), "json").filter("seq >= 100") if starting == "latest" else stream_events(spark, str(log), "json")

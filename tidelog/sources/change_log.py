@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -120,8 +123,7 @@ class ChangeLogSource(DataSource):
     """format("change_log"): a folder of *.jsonl log files, one raw event a line, named in the order of the log.
 
     Options: path (mounted by driver and executors), startingOffset ("earliest", "latest" or {"file", "pos"}; pos is a
-    byte), pieceBytes. A live server's log needs a replication client, which isn't part of this engine: any client
-    that writes such files feeds it.
+    byte), pieceBytes. Any client that writes such files feeds it; one that is asked is a ServerLogSource.
     """
 
     @classmethod
@@ -135,6 +137,69 @@ class ChangeLogSource(DataSource):
         return ChangeLogReader({k.lower(): v for k, v in self.options.items()})
 
 
+class LogClient(Protocol):
+    """What a live source needs of a replication client. Positions are {"file", "pos"}; a position is that of the next event."""
+
+    def position(self) -> dict:
+        """Where the server's log ends just now."""
+
+    def first(self) -> dict:
+        """Where the oldest log that the server still has begins."""
+
+    def events(self, start: dict, end: dict) -> Iterator[dict]:
+        """The raw events from start up to end, in order; the same ones each time it is asked."""
+
+
+def _client(options: dict) -> LogClient:
+    module, _, factory = options["client"].partition(":")
+    return getattr(importlib.import_module(module), factory)(options)
+
+
+class _Span(InputPartition):
+    def __init__(self, start: dict, end: dict):
+        self.start, self.end = start, end
+
+
+class ServerLogReader(DataSourceStreamReader):
+    """A server's log is one sequence over one connection, so a batch is one partition."""
+
+    def __init__(self, options: dict):
+        self.options, self.starting = options, options.get("startingoffset", "earliest")
+
+    def initialOffset(self) -> dict:
+        if self.starting in ("earliest", "latest"):
+            client = _client(self.options)
+            return client.first() if self.starting == "earliest" else client.position()
+        return json.loads(self.starting)
+
+    def latestOffset(self) -> dict:
+        return _client(self.options).position()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Span(start, end)] if start != end else []
+
+    def read(self, span: _Span) -> Iterator[pa.RecordBatch]:
+        events = _client(self.options).events(span.start, span.end)
+        while found := list(islice(events, 4_096)):
+            yield events_batch(found)
+
+
+class ServerLogSource(DataSource):
+    """format("server_log"): a server's log by a replication client. Options: client ("module:factory", which gets the
+    options and gives a LogClient, on the driver and on executors), startingOffset as for change_log, and the client's own.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "server_log"
+
+    def schema(self) -> str:
+        return RAW_EVENTS
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return ServerLogReader({k.lower(): v for k, v in self.options.items()})
+
+
 def log_end(path: str) -> dict:
     """The latest position of a log folder, as a starting offset."""
     return ChangeLogReader({"path": path}).latestOffset()
@@ -144,14 +209,23 @@ def jdbc_options(config: MySQLConfig) -> dict[str, str]:
     return {"url": f"jdbc:mysql://{config.host}:{config.port}/mysql", "user": config.user, "password": config.password, "numPartitions": "1", "driver": "com.mysql.cj.jdbc.Driver"}
 
 
-CATALOG_SQL = "SELECT table_schema AS db, table_name AS tbl, ordinal_position AS ordinal, column_name AS field, column_type AS type, is_nullable AS `null` FROM information_schema.columns"
+CATALOG_SQL = "SELECT table_schema AS db, table_name AS tbl, ordinal_position AS ordinal, column_name AS field, column_type AS type, is_nullable AS nullable FROM information_schema.columns"
+POSITION_SQL = "SHOW MASTER STATUS"
+
+
+def _jdbc(spark: SparkSession, config: MySQLConfig, query: str, options: dict[str, str] | None) -> DataFrame:
+    found = spark.read.format("jdbc").options(**jdbc_options(config) | {"query": query} | (options or {})).load()
+    return found.toDF(*[c.lower() for c in found.columns])
 
 
-def read_catalog(spark: SparkSession, config: MySQLConfig) -> DataFrame:
-    """The server's columns as a catalog table (needs the server's JDBC driver on the class path)."""
-    return spark.read.format("jdbc").options(**jdbc_options(config)).option("query", CATALOG_SQL).load().withColumn("ordinal", F.col("ordinal").cast("int"))
+def read_catalog(spark: SparkSession, config: MySQLConfig, options: dict[str, str] | None = None) -> DataFrame:
+    """The server's columns as a catalog table (needs the server's JDBC driver on the class path). options go over the
+    connection's own: another url, driver or query."""
+    found = _jdbc(spark, config, CATALOG_SQL, options)
+    return found.withColumn("ordinal", F.col("ordinal").cast("int")).withColumnRenamed("nullable", "null")
 
 
-def read_server_position(spark: SparkSession, config: MySQLConfig) -> DataFrame:
-    """file and position of the server's log (one row)."""
-    return spark.read.format("jdbc").options(**jdbc_options(config)).option("query", "SHOW MASTER STATUS").load()
+def read_server_position(spark: SparkSession, config: MySQLConfig, options: dict[str, str] | None = None) -> dict:
+    """The latest position of the server's log, as a starting offset."""
+    row = _jdbc(spark, config, POSITION_SQL, options).select("file", F.col("position").cast("long").alias("pos")).first()
+    return {"file": row.file, "pos": row.pos}
