@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions import ddl
-from tidelog.functions.filters import action_of, applied_queries, kept_rows, schema_gate
+from tidelog.functions.filters import action_of, applied_queries, is_kind, kept_rows, schema_gate
 from tidelog.model import FileConf, Task, TaskUpdate
 from tidelog.operators import decode, encode, recovery, schemas, views
 from tidelog.plans import seeds
@@ -80,6 +80,17 @@ def route_classify(spark, sf_dir):
     return e.select("event_id", "action", (F.col("action") != "").alias("decoded"))
 
 
+@query("""SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'rotate' WHEN 'signup' THEN 'query' ELSE 'rows' END AS kind FROM events
+  WHERE event_type <> 'view' AND event_id % 11 <> 0""")
+def route_kinds(spark, sf_dir):
+    """Row events, statements and rotations by their routes; other kinds and events without a position have none."""
+    k, t = F.col("event_id"), F.col("event_type")
+    kind = F.when(t == "error", "rotate").when(t == "signup", "query").when(t == "view", F.when(k % 2 == 0, "xid")).otherwise("rows")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(k.alias("seq"), kind.alias("kind"), F.when(k % 11 != 0, k * 10).alias("log_pos"))
+    routes = [e.filter(is_kind(name)) for name in ("rows", "query", "rotate")]
+    return routes[0].unionByName(routes[1]).unionByName(routes[2]).select("seq", "kind")
+
+
 def _filter_query(name: str, task: Task, sql: str):
     def run(spark, sf_dir):
         return seeds.orders_log(spark, sf_dir).filter(kept_rows(task)).select("seq", "db", "tbl")
