@@ -172,15 +172,20 @@ def kernel_rows(windows: list[str], table: np.ndarray, block: int = 128) -> np.n
     return np.concatenate(out)
 
 
-def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float) -> tuple[np.ndarray, float]:
-    """Primal L2-loss support vector machine by Newton steps; y is +1 or -1."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
-    w, ridge = np.zeros(x1.shape[1]), np.eye(x1.shape[1])
+def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float, block: int = 4_096) -> tuple[np.ndarray, float]:
+    """Primal L2-loss support vector machine by Newton steps; y is +1 or -1. Sums go block by block, in double precision."""
+    m = x.shape[1] + 1
+    w, ridge = np.zeros(m), np.eye(m)
     ridge[-1, -1] = 1e-3
     for _ in range(30):
-        active = y * (x1 @ w) < 1
-        xa, ca = x1[active], c * weight[active]
-        new = np.linalg.solve(ridge + (xa * ca[:, None]).T @ xa, (xa * ca[:, None]).T @ y[active])
+        h, g = ridge.copy(), np.zeros(m)
+        for a in range(0, len(x), block):
+            xb = np.hstack([x[a : a + block], np.ones((len(x[a : a + block]), 1), x.dtype)]).astype(np.float64)
+            active = y[a : a + block] * (xb @ w) < 1
+            xb, wb = xb[active], c * weight[a : a + block][active]
+            h += (xb * wb[:, None]).T @ xb
+            g += (wb * y[a : a + block][active]) @ xb
+        new = np.linalg.solve(h, g)
         done, w = np.abs(new - w).max() < 1e-6, new
         if done:
             break
@@ -290,7 +295,7 @@ def machine(found: list[tuple[str, int, str, str, float]], n_landmarks: int, c:
     y = np.array([1.0 if label else -1.0 for _, label in rows])
     weight = np.log1p(np.array([counts[r] for r in rows], np.float64))
     weight *= np.where(y > 0, len(y) / 2 / weight[y > 0].sum(), len(y) / 2 / weight[y < 0].sum())
-    w, _ = svm(kernel_rows([window for window, _ in rows], basis) @ whiten, y, weight, c)
+    w, _ = svm(kernel_rows([window for window, _ in rows], basis) @ whiten.astype(np.float32), y, weight, c)
     beta = whiten @ w
     return (basis @ beta.astype(np.float32)), landmarks, beta
 
