@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -41,6 +42,15 @@ def test_merged_rows_are_in_order_with_their_common_prefixes():
         interval, of2, row2 = repeated_intervals(turned, depth, step)
         start2 = [int(shards[i].order[r]) for i, r in zip(of2, row2)]
         assert sorted(zip(of2.tolist(), row2.tolist())) == sorted(zip(of[tied].tolist(), row[tied].tolist()))
+        inside, where = [], np.concatenate([t.offset + depth <= t.lengths[t.string] for t in turned])
+        cuts = np.cumsum([0] + [len(t.last) for t in turned])
+        for k2, i, r in zip(interval, of2, row2):
+            if where[cuts[i] + r]:
+                inside.append((k2, i, r))
+        alone = {k2 for k2, n in Counter(k2 for k2, _, _ in inside).items() if n > 1}
+        only = list(zip(*(x.tolist() for x in repeated_intervals(turned, depth, step, within=True))))
+        assert [(i, r) for _, i, r in only] == [(i, r) for k2, i, r in inside if k2 in alone]
+        assert all((only[j][0] == only[j - 1][0]) == (rotation(shards[only[j][1]], shards[only[j][1]].order[only[j][2]], depth) == rotation(shards[only[j - 1][1]], shards[only[j - 1][1]].order[only[j - 1][2]], depth)) for j in range(1, len(only)))
         for i in range(1, len(of2)):
             a, b = (rotation(shards[of2[j]], start2[j], depth) for j in (i - 1, i))
             assert (interval[i] == interval[i - 1]) == (a == b) and a <= b

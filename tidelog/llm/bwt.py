@@ -167,19 +167,23 @@ def merge(shards: list[Transform], depth: int, step: int = 4) -> tuple[np.ndarra
     return interleave, row, prefix
 
 
-def repeated_intervals(shards: list[Transform], depth: int, step: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_intervals(shards: list[Transform], depth: int, step: int = 4, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Merged rows with a common prefix of at least `depth` with a neighbour: interval, shard and row in it.
 
     The refinement of merge(), kept to rows that still share a block: a row that the first k bytes tell from all
     others is told apart by `step` more bytes wherever it moves, so it and its moves are never looked at again.
-    depth is a multiple of step.
+    depth is a multiple of step. within: only rows whose first `depth` bytes are within their string; those are where
+    the moves from rows at least `depth` bytes into a string end, so no other row is looked at.
     """
     if not sum(len(s.last) for s in shards):
         return np.empty(0, np.int32), np.empty(0, np.uint8), np.empty(0, np.int64)
     codes = np.concatenate([s.before(step) for s in shards])
     cuts = np.cumsum([0] + [len(s.last) for s in shards])
     moves = np.concatenate([s.moves(step) + np.int32(a) for s, a in zip(shards, cuts, strict=False)])
-    rows, block = np.arange(cuts[-1], dtype=np.int32), np.zeros(cuts[-1], np.int32)
+    rows = np.arange(cuts[-1], dtype=np.int32)
+    if within:
+        rows = rows[np.concatenate([s.offset for s in shards]) >= depth]
+    block = np.zeros(len(rows), np.int32)
     for _ in range(0, depth, step):
         c = codes[rows]
         order = np.argsort(c.astype(np.uint16), kind="stable")

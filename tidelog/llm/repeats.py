@@ -371,15 +371,13 @@ def merged_ranges(shards: list[bytes], width: int) -> np.ndarray:
         # a string with several places: all its windows are intervals, of which the later places go
         size = np.repeat(turned[-1].lengths, others).astype(np.int64)
         out.append(np.stack([more_k, more_s.astype(np.int64), more_s + size], 1))
-    interval, of, row = repeated_intervals(turned, width, next(x for x in (4, 2, 1) if width % x == 0))
+    interval, of, row = repeated_intervals(turned, width, next(x for x in (4, 2, 1) if width % x == 0), within=True)
     base = np.cumsum([0] + [len(x) for x in k])
     string, offset = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
     for i, t in enumerate(turned):
         mine = of == i
         string[mine], offset[mine] = t.string[row[mine]] + base[i], t.offset[row[mine]]
-    k, s, lengths = np.concatenate(k), np.concatenate(s), np.concatenate([t.lengths for t in turned])
-    whole = offset + width <= lengths[string]  # windows, and not rows that pass a string's end
-    interval, string, offset = interval[whole], string[whole], offset[whole]
+    k, s = np.concatenate(k), np.concatenate(s)
     order = np.lexsort((s[string] + offset, k[string], interval))
     interval, string, offset = interval[order], string[order], offset[order]
     later = np.zeros(len(order), bool)
