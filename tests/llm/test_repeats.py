@@ -75,7 +75,8 @@ def test_merged_intervals_keep_the_earliest():
     k, s = np.array([rng.randrange(5) for _ in strings]), np.arange(len(strings)) * 1000
     gone = {i: set() for i in range(len(strings))}
     number = np.arange(len(strings))
-    shards = [shard_row([strings[i] for i in part], k[part], s[part], [[(9, 90_000 + i * 100)] if i % 9 == 0 else [] for i in part]) for part in np.array_split(number, 4)]
+    others = (number % 9 == 0).astype(np.int64)
+    shards = [shard_row([strings[i] for i in part], k[part], s[part], others[part], np.full(others[part].sum(), 9), 90_000 + part[others[part] > 0] * 100) for part in np.array_split(number, 4)]
     for key, a, b in merged_ranges(shards, 12).tolist():
         if key == 9:  # later places of strings with several
             assert a % 900 == 0 and b - a == len(strings[(a - 90_000) // 100])
@@ -133,11 +134,12 @@ def test_a_line_in_very_many_contexts_stays_in_bounds(spark, monkeypatch):
     check(spark, texts)
 
 
-def test_what_the_intervals_remove_beside_chunks(spark):
-    """With small chunks nearly all that goes does so by repeated intervals of merged transforms, and not within chunks."""
+@pytest.mark.parametrize("chunk", [1 << 14, 8 << 20])
+def test_what_goes_does_so_by_intervals(spark, chunk):
+    """Of the documents next to nothing goes within chunks: all the rest by repeated intervals of merged transforms."""
     docs = table(spark, "/root/testdata/sf0.001", "documents")
-    keyed = docs.select(docs.doc_id.alias("k"), "text").repartition(6)
-    scanned = repeats._scanned(keyed, 100, 8, 1 << 14).cache()
+    keyed = docs.select(docs.doc_id.alias("k"), "text").repartition(2)
+    scanned = repeats._scanned(keyed, 100, 8, chunk).cache()
     strings = repeats._strings(scanned, 100, 8).cache()
 
     def covered(rows):
@@ -148,7 +150,14 @@ def test_what_the_intervals_remove_beside_chunks(spark):
 
     local = covered(x for r in strings.filter("part = -1").collect() for x in np.stack(repeats.unpack(bytes(r.payload)), 1).tolist())
     every = covered((r.k, r.a, r.b) for r in repeats._merged(repeats._shards(strings, 100), 100).collect())
-    assert every == sum(x[1] for x in brute([r.text for r in docs.orderBy("doc_id").collect()])) and local < 0.2 * every
+    assert every == sum(x[1] for x in brute([r.text for r in docs.orderBy("doc_id").collect()])) and local < 0.02 * every
+
+
+def test_strings_with_very_many_places(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "PLACES", 3)
+    rng = random.Random(12)
+    texts = corpus(rng)
+    check(spark, texts + texts[10:30] * 5, 2)
 
 
 def test_a_very_long_text_among_others(spark):

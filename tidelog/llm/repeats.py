@@ -7,8 +7,8 @@ one before). The strings of `width` bytes are called windows here.
    whatever surrounds them, and neighbours mostly share it: a text falls into some runs of windows. Texts are read
    once, in chunks of bounded size; a chunk leaves as one row, and its distinct hashes with their counts as one row for
    each part of the hashes. Parts add up the counts and answer each chunk how often its hashes occur over all.
-2. *Strings.* A chunk cuts out the runs whose hash occurs again. Equal ones are one string, with its earliest place;
-   what is later within the chunk goes. A hash with many places (the edge of a passage that many texts quote, a line
+2. *Strings.* A chunk cuts out the runs whose hash occurs again. Equal ones are one string with its places (the earliest
+   one, where they are very many; the later ones then go at once). A hash with many places (the edge of a passage that many texts quote, a line
    that stands in many contexts) would bring as many strings together, so its runs are cut into bands of BAND windows,
    which meet by a hash of the bytes that all windows of a band have; with very many places, into single windows.
 3. *Shards.* Parts of the strings fall into collections of bounded size, which end between hashes, and these into
@@ -182,51 +182,73 @@ def _answered(scanned: DataFrame) -> DataFrame:
     return scanned.filter("part >= 0").groupBy("part").applyInArrow(meet, CHUNKS)
 
 
+#: Places of a string that a chunk sends on; of strings with more the earliest one, as of those of crowded hashes.
+PLACES = 64
+
+
+def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... for counts[i] numbers, one i after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
+
 class Folded:
-    """Distinct strings with a key and their earliest places, and the ranges that later places leave."""
+    """Distinct strings with a key and their places, the earliest one first, and the ranges that places leave which
+    aren't sent on: those go, as an earlier one of the string is."""
 
     def __init__(self):
         self.at: dict[bytes, int] = {}
-        self.key, self.k, self.s, self.size = [], [], [], 0
+        self.key, self.k, self.s, self.n, self.size = [], [], [], [], 0
+        self.more: tuple[list[int], list[int], list[int]] = ([], [], [])  # string, k, s
         self.ranges: list[tuple[int, int, int]] = []
 
-    def add(self, string: bytes, key: int, k: int, s: int) -> int:
+    def add(self, string: bytes, key: int, k: int, s: int, send: bool = False) -> int:
         """The number of the string."""
         i = self.at.setdefault(string, len(self.key))
         if i == len(self.key):
-            self.key.append(key)
-            self.k.append(k)
-            self.s.append(s)
+            for to, x in ((self.key, key), (self.k, k), (self.s, s), (self.n, 1)):
+                to.append(x)
             self.size += len(string)
             return i
         if (k, s) < (self.k[i], self.s[i]):
             k, s, self.k[i], self.s[i] = self.k[i], self.s[i], k, s
-        if (k, s) != (self.k[i], self.s[i]):
-            last = self.ranges[-1] if self.ranges else (None, 0, 0)
-            if last[0] == k and last[1] <= s <= last[2]:
-                self.ranges[-1] = (k, last[1], max(last[2], s + len(string)))
-            else:
-                self.ranges.append((k, s, s + len(string)))
+        if (k, s) == (self.k[i], self.s[i]):
+            return i
+        if send and self.n[i] < PLACES:
+            self.n[i] += 1
+            for to, x in zip(self.more, (i, k, s), strict=True):
+                to.append(x)
+            return i
+        last = self.ranges[-1] if self.ranges else (None, 0, 0)
+        if last[0] == k and last[1] <= s <= last[2]:
+            self.ranges[-1] = (k, last[1], max(last[2], s + len(string)))
+        else:
+            self.ranges.append((k, s, s + len(string)))
         return i
 
-    def blobs(self, parts: int) -> Iterator[pa.RecordBatch]:
-        """The strings by part of their keys; part -1 has ranges."""
+    def blobs(self, parts: int, wanted: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """The strings (the wanted ones) by part of their keys; part -1 has ranges."""
         if self.ranges:
             yield _rows(BLOBS, [[-1], [pack(*np.array(self.ranges, np.int64).T.copy())]])
         key, strings = np.array(self.key, np.uint64), list(self.at)
-        k, s = np.array(self.k, np.int64), np.array(self.s, np.uint32)
+        k, s, others = np.array(self.k, np.int64), np.array(self.s, np.uint32), np.array(self.n, np.int64) - 1
+        more, more_k, more_s = (np.array(x, np.int64) for x in self.more)
+        by_string = np.argsort(more, kind="stable")
+        more_k, more_s, begin = more_k[by_string], more_s[by_string].astype(np.uint32), np.cumsum(others) - others
         part = ((key * np.uint64(MIX[3]) >> np.uint64(16)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((key, part))
+        if wanted is not None:
+            order = order[wanted[order]]
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             i = order[ends[p] : ends[p + 1]]
             if len(i):
-                own = [strings[x] for x in i.tolist()]
-                yield _rows(BLOBS, [[p], [pack(key[i], k[i], s[i], np.array([len(x) for x in own], np.uint16), b"".join(own))]])
+                own, places = [strings[x] for x in i.tolist()], spread(begin[i], others[i])
+                yield _rows(BLOBS, [[p], [pack(key[i], k[i], s[i], np.array([len(x) for x in own], np.uint16), b"".join(own), others[i].astype(np.uint8), more_k[places], more_s[places])]])
 
 
 def _strings(scanned: DataFrame, width: int, parts: int) -> DataFrame:
-    """The chunks' strings whose windows may occur again, by part; part -1 has the ranges that go within chunks."""
+    """The chunks' strings whose windows may occur again, with their places, by part; part -1 has the ranges of places
+    that chunks don't send on."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, blob = {}, None
@@ -255,27 +277,24 @@ def _strings(scanned: DataFrame, width: int, parts: int) -> DataFrame:
             n = lengths[own].astype(np.int64)
             start, found = np.cumsum(n) - n, np.flatnonzero(level[own])
             for s, m, v, crowd in zip(start[found].tolist(), n[found].tolist(), key[own][found].tolist(), level[own][found].tolist(), strict=True):
-                i = runs.add(body[end - size + s : end - size + s + m + width - 1], v, k, s)
+                i = runs.add(body[end - size + s : end - size + s + m + width - 1], v, k, s, crowd == 1)
                 if crowd > 1:
                     how[i] = crowd
         del body, level, key
-        whole, pieces = Folded(), Folded()
-        whole.ranges = runs.ranges
-        for i, string in enumerate(runs.at):
-            if i not in how:
-                whole.at[string] = len(whole.key)
-                for to, x in ((whole.key, runs.key[i]), (whole.k, runs.k[i]), (whole.s, runs.s[i])):
-                    to.append(x)
-                continue
-            for a, b, v in bands(string, width, BAND if how[i] == 2 else 1):
-                pieces.add(string[a:b], v, runs.k[i], runs.s[i] + a)
-            if pieces.size >= 8 << 20:
-                yield from pieces.blobs(parts)
-                pieces = Folded()
-        del runs
-        yield from whole.blobs(parts)
+        whole, pieces = np.ones(len(runs.key), bool), Folded()
+        if how:
+            whole[list(how)] = False
+            strings = list(runs.at)
+            for i, crowd in how.items():
+                for a, b, v in bands(strings[i], width, BAND if crowd == 2 else 1):
+                    pieces.add(strings[i][a:b], v, runs.k[i], runs.s[i] + a)
+                if pieces.size >= 8 << 20:
+                    yield from pieces.blobs(parts)
+                    pieces = Folded()
+            del strings
         yield from pieces.blobs(parts)
-        del whole, pieces
+        yield from runs.blobs(parts, whole)
+        del runs, pieces
         release()
 
     both = scanned.filter("part = -1").unionByName(_answered(scanned))
@@ -298,12 +317,12 @@ SHARDS = "collection long, payload binary"
 ARROW_SHARDS = pa.schema([("collection", pa.int64()), ("payload", pa.binary())])
 
 
-def shard_row(strings: list[bytes], k: np.ndarray, s: np.ndarray, others: list[list[tuple[int, int]]]) -> bytes:
-    """A shard: its transform, and of each string, in the transform's order, the earliest place and the other ones."""
+def shard_row(strings: list[bytes], k: np.ndarray, s: np.ndarray, others: np.ndarray, more_k: np.ndarray, more_s: np.ndarray) -> bytes:
+    """A shard: its transform, and of each string, in the transform's order, the earliest place and the other ones.
+    others: how many of those each string has in more_k and more_s, one string after another."""
     last, names = Shard(strings).transform()
-    more = [(k, s) for i in names.tolist() for k, s in others[i]]
-    more = np.array(more, np.int64).reshape(-1, 2)
-    return pack(last, k[names], s[names].astype(np.uint32), np.array([len(others[i]) for i in names.tolist()], np.uint32), more[:, 0].copy(), more[:, 1].astype(np.uint32))
+    places = spread((np.cumsum(others) - others)[names], others[names])
+    return pack(last, k[names], s[names].astype(np.uint32), others[names].astype(np.uint32), more_k[places], more_s[places].astype(np.uint32))
 
 
 def _shards(strings: DataFrame, width: int) -> DataFrame:
@@ -316,31 +335,29 @@ def _shards(strings: DataFrame, width: int) -> DataFrame:
                 if part < 0:
                     yield _rows(ARROW_SHARDS, [[-1], [payload]])
                     continue
-                key, k, s, lengths, body = unpack(payload)
+                key, k, s, lengths, body, others, more_k, more_s = unpack(payload)
                 ends = np.cumsum(lengths, dtype=np.int64).tolist()
-                sid.append(np.array([at.setdefault(body[b - n : b], len(at)) for b, n in zip(ends, lengths.tolist(), strict=True)], np.int64))
-                for to, x in ((keys, key), (ks, k), (ss, s.astype(np.int64))):
-                    to.append(x)
+                own = np.array([at.setdefault(body[b - n : b], len(at)) for b, n in zip(ends, lengths.tolist(), strict=True)], np.int64)
+                sid += [own, np.repeat(own, others)]
+                keys += [key, np.repeat(key, others)]
+                ks += [k, more_k]
+                ss += [s.astype(np.int64), more_s.astype(np.int64)]
         if not at:
             return
         sid, key, k, s = (np.concatenate(x) for x in (sid, keys, ks, ss))
         order = np.lexsort((s, k, sid))
         sid, key, k, s = sid[order], key[order], k[order], s[order]
         first, counts = runs_of(sid)
-        names = list(at)
-        others: list[list[tuple[int, int]]] = [[] for _ in names]
-        for i in np.flatnonzero(counts > 1).tolist():
-            a = int(first[i])
-            others[i] = list(zip(k[a + 1 : a + counts[i]].tolist(), s[a + 1 : a + counts[i]].tolist(), strict=True))
-        key, k, s = key[first], k[first], s[first]
+        names, others = list(at), counts - 1
+        key = key[first]
         size = np.array([len(x) for x in names], np.int64)
         order = np.argsort(key, kind="stable")
         groups, members = runs_of(key[order])
         # a window that is a string by itself, alone under its key, is an interval of its own: of its places, if it has others
         lone = np.repeat(members == 1, members) & (size[order] == width)
-        own = [(a, b, b + width) for i in order[lone].tolist() for a, b in others[i]]
-        if own:
-            yield _rows(ARROW_SHARDS, [[-1], [pack(*np.array(own, np.int64).T.copy())]])
+        again = spread(first[order[lone]] + 1, others[order[lone]])
+        if len(again):
+            yield _rows(ARROW_SHARDS, [[-1], [pack(k[again], s[again], s[again] + width)]])
         order = order[~lone]
         if not len(order):
             return
@@ -352,9 +369,10 @@ def _shards(strings: DataFrame, width: int) -> DataFrame:
             end = int(new[min(np.searchsorted(new, np.searchsorted(ends, target)), len(new) - 1)]) + 1
             shard = (ends[begin:end] - ends[begin]) // max(SHARD, -(-int(ends[end - 1] - ends[begin] + 1) // 255))
             for cut in np.split(order[begin:end], np.flatnonzero(np.diff(shard)) + 1):
-                yield _rows(ARROW_SHARDS, [[part << 32 | number], [shard_row([names[i] for i in cut.tolist()], k[cut], s[cut], [others[i] for i in cut.tolist()])]])
+                places = spread(first[cut] + 1, others[cut])
+                yield _rows(ARROW_SHARDS, [[part << 32 | number], [shard_row([names[i] for i in cut.tolist()], k[first[cut]], s[first[cut]], others[cut], k[places], s[places])]])
             begin, number = end, number + 1
-        del at, names, others
+        del at, names
         release()
 
     return strings.groupBy("part", F.when(F.col("part") < 0, F.xxhash64("payload")).alias("own")).applyInArrow(_named("part", "payload")(build), SHARDS)
