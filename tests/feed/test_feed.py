@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.functions import ddl
 from tidelog.functions.filters import action_of, kept_rows
 from tidelog.model import RAW_EVENTS, Task, TaskError, TaskUpdate
 from tidelog.operators import decode, encode, recovery, schemas, views

@@ -44,6 +44,8 @@ def test_routes(spark, tmp_path):
         assert call("POST", "/v1/post_task", [])[0] == 400
         listed = call("GET", "/v1/task")[1]["data"]
         assert listed["total"] == 1 and listed["task"]["t1"]["active"] and listed["task"]["t1"]["task"]["mysql"]["password"] == "***"
+        status, text = call("GET", "/debug/runtime")
+        assert status == 200 and json.loads(text)["heap_used"] > 0 and "t1" in json.loads(text)["queries"]
         assert call("POST", "/v1/update_task", {"task_id": "t1", "exclude_table": ["shop.*"]})[0] == 200
         assert call("POST", "/v1/stop_task", {"task_id": "t1", "stop_type": "stop"})[0] == 200
         assert call("GET", "/v1/task")[1]["data"]["task"]["t1"]["stopped"]

@@ -5,16 +5,17 @@ import os
 import uuid
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from tests.feed.test_feed import raw, row_event, statement
 from tidelog.model import FileConf, KafkaConf, MySQLConfig, RAW_EVENTS, Task, TaskError, TaskUpdate
-from tidelog.operators import decode, encode, schemas
+from tidelog.operators import decode, encode, recovery, schemas
 from tidelog.plans import seeds
 from tidelog.sources.change_log import ChangeLogReader, ChangeLogSource, ServerLogSource, events_batch, file_order, jdbc_options, log_end, read_catalog, read_server_position, stream_events, whole_lines
 from tidelog.sources.kv import KeyValueStore
-from tidelog.sources.sinks import KafkaSink, SinkRegistry, read_files
+from tidelog.sources.sinks import FileSink, KafkaSink, SinkRegistry, read_files
 from tidelog.streaming.engine import Metrics, TaskEngine
 
 
@@ -224,6 +225,35 @@ def test_crashes_between_the_steps_of_a_task(spark, tmp_path, monkeypatch):
     assert len(e.tasks()) == 1  # what can't start isn't kept
 
 
+def test_marks_of_a_batch_that_was_not_sent(spark, tmp_path, monkeypatch):
+    """They stay failed until the batch is sent; by them a replay knows what to send again."""
+    log, conf = tmp_path / "log", FileConf(f"file://{tmp_path}/out")
+    log.mkdir()
+    write_log(log, "1.json", [row_event(i, [[str(i), "x"]]) for i in (1, 2, 3)])
+    e = engine(spark, tmp_path, log)
+    assert e.states().collect() == []
+    e.create(Task("t", tables=("shop.none",), file_conf=conf), once=True)  # filtered events are marked too
+    e.wait("t", 120)
+    marks = lambda: [(m.pos, m.success) for m in e.states().first().marks]
+    assert marks() == [(20, True), (30, True)]
+    write_log(log, "2.json", [row_event(4, [["4", "x"]])])
+    with monkeypatch.context() as m:
+        m.setattr(FileSink, "send", lambda *_: 1 / 0)
+        e.resume("t", once=True)
+        with pytest.raises(StreamingQueryException):
+            e.wait("t", 120)
+    assert marks() == [(30, True), (40, False)]
+    start = recovery.start_position(e.states()).first()
+    assert (start.source, start.start_pos, start.high_water) == ("marks", 30, 40)
+    again = raw(spark, [row_event(i, [["1", "x"]]) for i in (3, 4, 5)]).withColumn("task_id", F.lit("t"))
+    assert {r.seq: r.processed for r in recovery.replay(again, e.states()).collect()} == {3: False, 4: True, 5: True}
+    e.resume("t", once=True)
+    e.wait("t", 120)
+    assert marks() == [(30, True), (40, True)]
+    e.delete("t")
+    assert e.states().collect() == []
+
+
 def test_passwords_stay_out_of_the_registry(spark, tmp_path):
     log = tmp_path / "log"
     log.mkdir()

@@ -14,7 +14,8 @@ from tidelog.sources.kv import KeyValueStore
 from tidelog.sources.sinks import SinkRegistry
 from tidelog.streaming.pipeline import ChangeFeed
 
-PREFIX = "task/"
+PREFIX, MARKS = "task/", "marks/"
+STATES = "task_id string, position_name string, position_pos long, marks array<struct<pos_name:string,pos:long,success:boolean>>"
 
 
 class Metrics(StreamingQueryListener):
@@ -109,7 +110,7 @@ class TaskEngine:
         sink = self.sinks.register(task)
         try:
             home, run = self._home(entry), entry["run"]
-            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state", run=run, label=f"{entry['home']}-", **self.feed)
+            handler = ChangeFeed(self.spark, lambda: Task.from_dict(self._current(task.task_id, entry)), sink, self.catalog(task), f"{home}/state", run=run, label=f"{entry['home']}-", marks=lambda marks: self._mark(task.task_id, marks), **self.feed)
             writer = self.source(task, entry["starting"]).writeStream.queryName(task.task_id).option("checkpointLocation", f"{home}/checkpoint-{run}").foreachBatch(handler)
             self.queries[task.task_id] = (writer.trigger(availableNow=True) if once else writer).start()
             self.errors.pop(task.task_id, None)
@@ -174,6 +175,7 @@ class TaskEngine:
         task_id = entry["task"]["task_id"]
         self.store.delete(PREFIX + task_id)
         self.secrets.delete(PREFIX + task_id)
+        self.store.delete(MARKS + task_id)
         home = self.store._path(self._home(entry))
         self.store._fs.delete(home, True)
 
@@ -190,6 +192,20 @@ class TaskEngine:
                     found[task_id] = str(e)
         return found
 
+    def _mark(self, task_id: str, marks: list[dict], keep: int = 2) -> None:
+        """Keep a task's newest marks; a batch that runs again replaces its own."""
+        try:
+            old = self.store.get(MARKS + task_id)
+        except KeyError:
+            old = []
+        here = {(m["pos_name"], m["pos"]) for m in marks}
+        self.store.set(MARKS + task_id, ([m for m in old if (m["pos_name"], m["pos"]) not in here] + marks)[-keep:])
+
+    def states(self) -> DataFrame:
+        """Where each task is, as recovery.start_position() and replay() take it: its newest mark, and its marks."""
+        found = [(k.removeprefix(MARKS), m[-1]["pos_name"], m[-1]["pos"], [(x["pos_name"], x["pos"], x["success"]) for x in m]) for k, m in self.store.prefix(MARKS).items()]
+        return self.spark.createDataFrame(found, STATES)
+
     def feed_of(self, task_id: str) -> ChangeFeed:
         """The state of a task's feed, for its column lists and quarantine."""
         entry = self._entry(task_id)

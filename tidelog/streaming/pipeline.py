@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidelog.functions.filters import is_kind
 from tidelog.model import COLUMNS, Task
 from tidelog.operators.decode import checked, decoded, quarantined, row_events
 from tidelog.operators.schemas import ddl_changes, schema_versions, with_schema
@@ -19,6 +21,12 @@ from tidelog.sources.sinks import Sink
 SCHEMA_STATE = f"db string, tbl string, columns {COLUMNS}"
 
 
+def newest_marks(batch: DataFrame, keep: int = 2) -> list[dict]:
+    """The newest row events of a batch, oldest first, as marks that aren't completed. Filters don't matter to marks."""
+    newest = batch.filter(is_kind("rows")).orderBy(F.col("seq").desc()).limit(keep).select("log_file", "log_pos").collect()
+    return [{"pos_name": r.log_file, "pos": r.log_pos, "success": False} for r in reversed(newest)]
+
+
 #: Batches whose state stays: Spark runs at most the newest one again.
 KEPT_STATES = 3
 
@@ -30,10 +38,12 @@ class ChangeFeed:
     column lists that the one before it has left.
     """
 
-    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first", run: int = 0, label: str = ""):
-        """label goes before run in the names of a sink's batches."""
+    def __init__(self, spark: SparkSession, task: Callable[[], Task], sink: Sink, catalog: DataFrame, path: str, mode: str = "compat", gate: str = "open", image_order: str = "after_first", run: int = 0, label: str = "", marks: Callable[[list[dict]], None] | None = None):
+        """label goes before run in the names of a sink's batches. marks gets the newest row events of each batch before
+        it is sent and, as completed, after that."""
         self.spark, self.task, self.sink, self.catalog, self.path = spark, task, sink, catalog, path.rstrip("/")
         self.mode, self.gate, self.image_order, self.run, self.label = mode, gate, image_order, run, label
+        self.marks = marks
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -58,6 +68,9 @@ class ChangeFeed:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         task, name = self.task(), self._name(batch_id)
+        marks = newest_marks(batch) if self.marks else []
+        if marks:
+            self.marks(marks)
         versions = schema_versions(ddl_changes(batch, task, self.mode, self.gate), self._state_before(name)).persist()
         after = versions.filter("to_seq is null").select("db", "tbl", "columns")
         after.write.mode("overwrite").parquet(f"{self.path}/schemas/{name}")
@@ -69,6 +82,8 @@ class ChangeFeed:
         finally:
             rows.unpersist()
             versions.unpersist()
+        if marks:
+            self.marks([m | {"success": True} for m in marks])
         for old in self._states(name)[: -KEPT_STATES + 1]:
             self._fs.delete(self._path(f"{self.path}/schemas/{old}"), True)
 
