@@ -370,10 +370,14 @@ def _across(signed: DataFrame, compared: DataFrame, labels: DataFrame, percent:
     apart = members.join(most.filter("lo <> hi"), "leader").filter(~F.col("label").eqNullSafe(F.col("home")))
     apart = apart.filter(enough(F.col("common") + F.least("other", "most") + F.col("extra"), F.col("n"), F.col("n") * (percent / 100)))
     apart = materialize(apart, "join-apart")
-    one = apart.select("leader", "extra", "home", *[F.col(c).alias(f"{c}1") for c in ("digest", "n", "rare", "label", "common", "other")])
-    two = members.select("leader", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "rare", "label", "common", "other")])
+    # sizes that may link are of one class or of neighbouring ones, so a leader's documents meet by class
+    width = max(0.01, 1.0001 * float(np.log(100 / percent)))
+    of_size = F.floor(F.log(F.col("n")) / F.lit(width))
+    apart = apart.withColumn("class", F.explode(F.array(of_size - 1, of_size, of_size + 1)))
+    one = apart.select("leader", "class", "extra", "home", *[F.col(c).alias(f"{c}1") for c in ("digest", "n", "rare", "label", "common", "other")])
+    two = members.withColumn("class", of_size).select("leader", "class", *[F.col(c).alias(f"{c}2") for c in ("digest", "n", "rare", "label", "common", "other")])
     bound_ = F.least("common1", "common2") + F.least("other1", "other2") + F.col("extra")
-    met = one.join(two, "leader").filter((F.col("label1") != F.col("label2")) & may_link(F.lit(PAIRS), F.col("n1"), F.col("rare1"), F.col("n2"), F.col("rare2"), percent) & enough(bound_, F.col("n1"), F.col("n2")))
+    met = one.join(two, ["leader", "class"]).filter((F.col("label1") != F.col("label2")) & may_link(F.lit(PAIRS), F.col("n1"), F.col("rare1"), F.col("n2"), F.col("rare2"), percent) & enough(bound_, F.col("n1"), F.col("n2")))
     return ordered(rare).unionByName(ordered(met)).distinct()
 
 
