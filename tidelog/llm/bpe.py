@@ -190,7 +190,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     content = docs.sparkSession.sparkContext.broadcast(read_tokenizer(tokenizer_path))  # as large as the vocabulary
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    parts = n_parts or parts_of(source)
+    parts = n_parts or parts_of(docs, text_col)
     chunks = _written(source, parts, chunk_bytes, chunks_of_home, to_arrow_type(kind))
     schema = pa.schema([(id_col, to_arrow_type(kind)), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 

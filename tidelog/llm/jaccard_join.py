@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.components import components
-from tidelog.llm.shared import parts_of, release
+from tidelog.llm.shared import parts_of, release, small_batches
 from tidelog.session import discard, materialize
 
 #: A token in more documents than this is frequent.
-RARE = 8
+RARE = 6
 #: Signatures from here on are pairs of frequent tokens.
 PAIRS = 1 << 62
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -144,7 +144,7 @@ BLOBS = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
 FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_tokens: int = 1 << 20) -> DataFrame:
+def _scan(source: DataFrame, threshold: float, shingle: int, parts: int, chunk_tokens: int = 1 << 19) -> DataFrame:
     """One pass over the texts. Rows of part -1 hold ids (null ones too), hashes of texts, set sizes, tokens below the
     bound, digests of sets and numbers of nodes; the others hold the tokens of a part with their nodes.
 
@@ -404,20 +404,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Other columns are ignored. Empty in, empty out. A very long text is one row of one task, held with its set
     (8 bytes a shingle) by one Python worker, and with its partner's in each comparison.
     """
+    with small_batches(docs.sparkSession):
+        return _groups(docs, id_col, text_col, threshold, shingle)
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, threshold: float, shingle: int) -> DataFrame:
     spark, percent = docs.sparkSession, round(threshold * 100)
     if not 1 <= percent <= 100:
         raise ValueError("threshold is from 0.01 to 1")
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("h"), text.alias("text"))
-    scanned = materialize(_scan(source, threshold, shingle, parts_of(source)), "join-scan")
+    scanned = materialize(_scan(source, threshold, shingle, parts_of(docs, text_col)), "join-scan")
     sizes = _sizes(scanned)
     found = materialize(_single_index(scanned), "join-singles")
 
     frequent = found.filter("kind = 1").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("f"))
     lacks = F.col("n") - F.ceil(F.round(F.col("n") * F.lit(threshold), 6))
-    nodes = sizes.filter("id is not null and n > 0").groupBy("digest").agg(F.min(F.struct("id", "h")).alias("rep"), *[F.min(c).alias(c) for c in ("n", "q", "node")])
+    nodes = sizes.filter("id is not null and n > 0").groupBy("digest").agg(F.min_by("h", "id").alias("h"), *[F.min(c).alias(c) for c in ("id", "n", "q", "node")])
     nodes = nodes.join(frequent, "node", "left").withColumn("hard", F.col("q") - F.coalesce("f", F.lit(0)) <= lacks)
-    nodes = materialize(nodes.select("node", "digest", "n", "hard", "rep.id", "rep.h"), "join-nodes")
+    nodes = materialize(nodes.select("node", "digest", "n", "hard", "id", "h"), "join-nodes")
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("digest").alias(f"d{c}"), F.col("n").alias(f"n{c}"))
     near = found.filter("kind = 0").select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(close(F.col("na"), F.col("nb"), percent) & (F.col("da") != F.col("db")))
     pairs = materialize(near.select(F.least("da", "db").alias("a"), F.greatest("da", "db").alias("b")).distinct(), "join-pairs")

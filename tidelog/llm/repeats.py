@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.bpe import pack, unpack
 from tidelog.llm.bwt import Shard, Transform, repeated_intervals
 from tidelog.llm.jaccard_join import BLOBS, _rows, runs_of
-from tidelog.llm.shared import parts_of, release
+from tidelog.llm.shared import parts_of, release, small_batches
 from tidelog.session import discard, materialize
 
 #: Windows of a string at most; bytes of a collection and of a shard, about.
@@ -439,10 +439,10 @@ def _zipped(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(squeeze, "k long, z binary")
 
 
-def removed_ranges(keyed: DataFrame, width: int = 100, chunk_bytes: int = 8 << 20) -> DataFrame:
+def removed_ranges(keyed: DataFrame, parts: int, width: int = 100, chunk_bytes: int = 8 << 20) -> DataFrame:
     """k, a, b: ranges (they may overlap) whose union is what goes. keyed: k (unique, in document order) and text."""
-    parts = parts_of(keyed)
-    scanned = materialize(_scanned(keyed, width, parts, chunk_bytes), "repeat-scan")
+    with small_batches(keyed.sparkSession):
+        scanned = materialize(_scanned(keyed, width, parts, chunk_bytes), "repeat-scan")
     ranges = materialize(_merged(_shards(_strings(scanned, width, parts), width), width), "repeat-ranges")
     discard(scanned)
     return ranges
@@ -473,7 +473,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A very long text is a chunk of its own: one task holds it, with about 20 bytes for each of its bytes.
     """
     keyed, ids = with_keys(docs, id_col, text_col)
-    ranges = removed_ranges(keyed, width)
+    ranges = removed_ranges(keyed, parts_of(docs, text_col), width)
     own = ranges.groupBy("k").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))  # a document's ranges at most
     schema = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 

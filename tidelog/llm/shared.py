@@ -46,11 +46,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def parts_of(texts: DataFrame, text_col: str = "text", part_bytes: int = 10 << 20) -> int:
+def parts_of(docs: DataFrame, text_col: str = "text", part_bytes: int = 20 << 20, known_up_to: int = 1 << 40) -> int:
     """Into how many parts to deal what comes from these texts, so that a part's share of them stays bounded: by their
-    size (one native pass over the column), and at least as many as shuffle partitions."""
-    size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
-    return max(8, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    size, and at least as many as shuffle partitions.
+
+    The size is what Spark knows of the table's files, twice that as they are packed. Where Spark knows nothing (it then
+    takes the table for immense) or the table is immense, the texts' bytes are added up in a pass over their column.
+    """
+    size = 2 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > known_up_to:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
 
 
 def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
