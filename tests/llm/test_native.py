@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.llm import exact_dedup as dedup
+from tidelog.llm import mixing
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.mixing import mix
 from tidelog.llm.quality_rules import POLICIES, RULES, ablations, apply_policies, keep_good, ledger, mask
-from tidelog.llm.shared import table
+from tidelog.llm.shared import table, word_count
 
 LONG = "Straße ÄB " * 20_000
 TEXTS = [(1, "Hello"), (2, "hELLO"), (3, "HÉLLO"), (4, "hÉllo"), (5, "héllo"), (6, None), (7, ""), (8, " "), (9, LONG), (10, LONG), (None, "hello"), (None, "x"), (11, "x"), (12, "y"), (12, "y")]
@@ -134,6 +135,18 @@ def test_mix_odd_rows(spark):
     assert sorted((r.doc_id, r.size, r.taken) for r in nothing) == [(1, 0, 0), (2, 0, 0)]
 
 
+@pytest.mark.parametrize("times", [1 << 16, 1 << 20])
+def test_mix_of_a_billion_words(spark, monkeypatch, times):
+    """All sizes times a power of two: targets and what is taken are so many times as large, below and above 2^31 words."""
+    texts = [(i, "w " * (i % 301), ["a", "ä", "Z", None, ""][i % 5]) for i in range(200)] + [(501, "x " * 900, "big")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    plain = sorted(tuple(r) for r in mix(docs).collect())
+    monkeypatch.setattr(mixing, "word_count", lambda text: word_count(text) * times)
+    rows = sorted(tuple(r) for r in mix(docs).collect())
+    assert 1 << 30 < sum(size for _, size, *_ in rows) < 1 << 36
+    assert rows == [(i, *(x * times for x in rest)) for i, *rest in plain]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_mix_whole_table(spark, sf):
     docs = table(spark, f"/root/testdata/{sf}", "documents")

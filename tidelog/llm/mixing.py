@@ -36,7 +36,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
     ratio = (F.col("source_size") * F.lit(lcm) / F.col("weight")).cast("decimal(38,0)")
     filled = materialize(running(ranked, [ratio, F.col("rank")], {"before": cap, "lighter": F.col("weight")}), "mix-sources")
     total, weight = (x or 0 for x in filled.agg(F.sum("source_size"), F.sum("weight")).first())
-    stopped = (F.lit(total) * 3 - F.col("before") * 2).cast("decimal(38,0)") * F.col("weight") >= (F.lit(weight) - F.col("lighter")).cast("decimal(38,0)") * cap * 2
+    stopped = (F.lit(total * 3).cast("long") - F.col("before") * 2).cast("decimal(38,0)") * F.col("weight") >= (F.lit(weight) - F.col("lighter")).cast("decimal(38,0)") * cap * 2
     filled = filled.withColumn("stopped", stopped)
     taken, open_ = (x or 0 for x in filled.agg(F.sum(F.when(F.col("stopped"), cap)), F.sum(F.when(~F.col("stopped"), F.col("weight")))).first())
     share = (F.lit(total * 3 - taken * 2) * F.col("weight")) / F.lit(float(2 * open_ or 1))
