@@ -1,12 +1,15 @@
 """Filters, DDL, schema history, decoding, recovery: truth tables and golden lists, and properties over random logs."""
 
 import random
+import threading
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.functions import ddl
 from tidelog.functions.filters import action_of, kept_rows
-from tidelog.model import RAW_EVENTS, Task, TaskError, TaskUpdate
+from tidelog.model import COLUMNS, RAW_EVENTS, Task, TaskError, TaskUpdate
 from tidelog.operators import decode, encode, recovery, schemas, views
 from tidelog.plans import catalog, seeds
 
@@ -115,6 +118,50 @@ def test_types_survive_a_change_and_catalog_reads(spark):
     assert [(c.name, c.type, c.not_null) for c in v.filter("to_seq is null").first().columns] == [("a", "varchar(9)", True), ("z", "int", False)]
 
 
+def test_after_a_name_that_two_columns_have(spark):
+    """A statement adds one column: after the first."""
+    queries = ["alter table shop.visit change page host", "alter table shop.visit add x int after host"]
+    versions = schemas.schema_versions(schemas.ddl_changes(raw(spark, [statement(i, q) for i, q in enumerate(queries)]), Task("t")), visits(spark))
+    assert [c.name for c in versions.filter("to_seq is null").first().columns] == ["id", "kind", "host", "x", "host", "lang", "num"]
+
+
+def test_changes_in_python_are_those_in_sql(spark):
+    r = random.Random(3)
+    name = lambda: r.choice(["a", "b", "c", "d", None])
+    rows = []
+    for i in range(600):
+        columns = None if i % 50 == 0 else [(name() or "a" if i % 3 else name(), "t", True) for _ in range(r.randrange(5))]
+        rows.append((i, columns, (r.choice(["add", "add", "drop", "change"]), name(), name(), r.choice(["first", "after", "last", None]), name())))
+    df = spark.createDataFrame(rows, f"i int, columns {COLUMNS}, change {ddl.CHANGE}")
+    got = df.select("i", ddl.shifts(F.col("columns"), F.col("change")).alias("moved"), ddl.applied(F.col("columns"), F.col("change")).alias("c")).collect()
+    for r in got:
+        _, columns, change = rows[r.i]
+        moved, after = ddl.moved(columns, *change)
+        assert moved == bool(r.moved), rows[r.i]
+        assert not moved or after == (None if r.c is None else [tuple(c) for c in r.c]), rows[r.i]
+
+
+def test_a_long_history_folds_in_time(spark):
+    """Three tables of the catalog, one twice and one without changes, and one that it lacks; 20,000 changes a table."""
+    n = 20_000
+    k = F.col("id")
+    change = F.struct(F.when(k % 2 == 0, "add").otherwise("drop").alias("action"), F.concat(F.lit("n"), F.floor(k / 2) % 7).alias("name"), F.lit(None).cast("string").alias("new_name"), F.lit("last").alias("place"), F.lit(None).cast("string").alias("after"))
+    steps = spark.range(n).crossJoin(spark.createDataFrame([("a",), ("b",), ("lost",)], "db string")).select(k.alias("seq"), "db", F.lit("t").alias("tbl"), F.lit(0).alias("step"), change.alias("change"))
+    initial = spark.createDataFrame([("a", "t", [("x", "int", True)]), ("b", "t", []), ("b", "t", [("y", "", False)]), ("c", "t", [("z", "", False)])], f"db string, tbl string, columns {COLUMNS}")
+    stop = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = schemas.schema_versions(steps, initial).collect()
+    finally:
+        stop.cancel()
+    found = Counter((r.db, r.version, r.from_seq, r.to_seq, tuple(map(tuple, r.old)), tuple(map(tuple, r.columns))) for r in got)
+    want = Counter({("c", 0, -1, None, (), (("z", "", False),)): 1})
+    for db, first in (("a", (("x", "int", True),)), ("b", ()), ("b", (("y", "", False),))):
+        lists = [first if i % 2 == 0 else (*first, (f"n{i // 2 % 7}", "", False)) for i in range(n + 1)]
+        want.update((db, i, i - 1, i if i < n else None, lists[i - 1] if i else (), lists[i]) for i in range(n + 1))
+    assert found == want
+
+
 def changes(spark, rows, columns=("id", "p_type", "v0"), **more):
     r = decode.row_events(raw(spark, rows), Task("task_001")).withColumn("columns", seeds.columns(columns))
     return decode.decoded(r, "task_001", **more), decode.quarantined(r)

@@ -104,10 +104,12 @@ def new_column(name: Column) -> Column:
 
 
 def applied(columns: Column, change: Column) -> Column:
-    """The column list after a change; unmatched names change nothing, an unknown `after` adds nothing."""
+    """The column list after a change; unmatched names change nothing, an unknown `after` adds nothing, one that several
+    columns have adds after the first."""
     name, added = change["name"], F.array(new_column(change["name"]))
     dropped = F.filter(columns, lambda c: c["name"] != name)
-    after = F.flatten(F.transform(columns, lambda c: F.when(c["name"] == change["after"], F.concat(F.array(c), added)).otherwise(F.array(c))))
+    at = F.coalesce(F.array_position(F.transform(columns, lambda c: c["name"]), change["after"]), F.lit(0)).cast("int")
+    after = F.when(at > 0, F.concat(F.slice(columns, 1, at), added, F.slice(columns, at + 1, F.size(columns)))).otherwise(columns)
     renamed = F.transform(columns, lambda c: F.struct(F.when(c["name"] == name, change["new_name"]).otherwise(c["name"]).alias("name"), c["type"].alias("type"), c["not_null"].alias("not_null")))
     grown = F.when(change["place"] == "first", F.concat(added, columns)).when(change["place"] == "after", after).otherwise(F.concat(columns, added))
     return F.when(change["action"] == "drop", dropped).when(change["action"] == "change", renamed).when(has_column(columns, name), columns).otherwise(grown).cast(COLUMNS)
@@ -120,3 +122,24 @@ def has_column(columns: Column, name: Column) -> Column:
 def shifts(columns: Column, change: Column) -> Column:
     """The change moves the definition to `old`: any but an add of a column that is there."""
     return ~((change["action"] == "add") & has_column(columns, change["name"]))
+
+
+#: A column as Python has it: name, type, not_null.
+Item = tuple[str | None, str | None, bool | None]
+
+
+def moved(columns: list[Item] | None, action: str, name: str | None, new_name: str | None, place: str | None, after: str | None) -> tuple[bool, list[Item] | None]:
+    """shifts() and applied() for one list in Python, nulls as in SQL; the list is not changed but made anew."""
+    if action == "drop":
+        return True, columns and [c for c in columns if name is not None and c[0] is not None and c[0] != name]
+    if action == "change":
+        return True, columns and [(new_name, *c[1:]) if name is not None and c[0] == name else c for c in columns]
+    if columns is None or any(name is None or c[0] is None or c[0] == name for c in columns):
+        return False, columns
+    added = (name, "", False)
+    if place == "first":
+        return True, [added, *columns]
+    if place != "after":
+        return True, [*columns, added]
+    at = next((i + 1 for i, c in enumerate(columns) if after is not None and c[0] == after), 0)
+    return True, [*columns[:at], added, *columns[at:]] if at else columns

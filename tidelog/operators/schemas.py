@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +34,75 @@ def ddl_changes(events: DataFrame, task: Task, mode: str = "compat", gate: str =
     return kept.select("seq", F.col("p.schema").alias("db"), F.col("p.table").alias("tbl"), F.posexplode("p.changes").alias("step", "change"))
 
 
+VERSIONS = f"db string, tbl string, version long, from_seq long, to_seq long, old {COLUMNS}, columns {COLUMNS}"
+ARROW_COLUMNS = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string()), ("not_null", pa.bool_())]))
+ARROW_VERSIONS = pa.schema([("db", pa.string()), ("tbl", pa.string()), ("version", pa.int64()), ("from_seq", pa.int64()), ("to_seq", pa.int64()), ("old", ARROW_COLUMNS), ("columns", ARROW_COLUMNS)])
+#: Columns in the lists of a batch of versions, about.
+BATCH_COLUMNS = 1 << 16
+
+
+def _lists(lists: list[list[ddl.Item] | None]) -> pa.Array:
+    """Column lists as Arrow has them, each distinct column converted once."""
+    code: dict[ddl.Item, int] = {}
+    flat = pa.array([code.setdefault(c, len(code)) for columns in lists for c in columns or ()], pa.int32())
+    items = pa.array([dict(zip(("name", "type", "not_null"), c, strict=True)) for c in code], ARROW_COLUMNS.value_type)
+    ends = list(accumulate((len(columns or ()) for columns in lists), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items.take(flat), type=ARROW_COLUMNS, mask=pa.array([columns is None for columns in lists]))
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Versions from rows in order: each table's list as the catalog has it, then its changes. Of a table only the newest
+    version is held, until the next one closes it."""
+    out, held, table, newest = [], 0, None, []
+
+    def flushed() -> pa.RecordBatch:
+        *plain, old, columns = zip(*out, strict=True)
+        arrays = [pa.array(c, kind) for c, kind in zip(plain, ARROW_VERSIONS.types[:-2], strict=True)]
+        return pa.record_batch([*arrays, _lists(old), _lists(columns)], schema=ARROW_VERSIONS)
+
+    def close(v: tuple, to_seq: int | None) -> None:
+        nonlocal held
+        out.append((*v[:4], to_seq, *v[4:]))
+        held += 1 + len(v[4] or ()) + len(v[5] or ())
+
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("db", "tbl", "seed", "seq", "columns", "action", "name", "new_name", "place", "after")), strict=True):
+            key, (seed, seq, columns, *change) = row[:2], row[2:]
+            if seed:
+                if key != table or None in key:  # a catalog that has a table twice gives it two histories
+                    for v in newest:
+                        close(v, None)
+                    table, newest = key, []
+                newest.append((*key, 0, START, [], columns and [tuple(c.values()) for c in columns]))
+            elif key == table:
+                for i, v in enumerate(newest):
+                    moved, after = ddl.moved(v[5], *change)
+                    if moved:
+                        close(v, seq)
+                        newest[i] = (*key, v[2] + 1, seq, v[5], after)
+            if held >= BATCH_COLUMNS:
+                yield flushed()
+                out.clear()
+                held = 0
+    for v in newest:
+        close(v, None)
+    if out:
+        yield flushed()
+
+
 def schema_versions(changes: DataFrame, initial: DataFrame) -> DataFrame:
     """db, tbl, version, from_seq, to_seq, old, columns.
 
-    A version holds for events with from_seq < seq <= to_seq (null: open). The statements of a table are few beside
-    its rows, so a table's history folds in one row: aggregate() carries the versions so far. Tables that the
-    catalog doesn't have are not followed.
+    A version holds for events with from_seq < seq <= to_seq (null: open). A table's list and its changes come to one
+    task in order and fold as they pass, so a history costs time in proportion to its versions' lists and no memory
+    but for the newest. Tables that the catalog doesn't have are not followed.
     """
-    state = f"struct<from_seq:long,old:{COLUMNS},columns:{COLUMNS}>"
-    history = changes.groupBy("db", "tbl").agg(F.array_sort(F.collect_list(F.struct("seq", "step", "change"))).alias("steps"))
-    seeded = initial.select("db", "tbl", F.array(F.struct(F.lit(START).cast("long").alias("from_seq"), F.array().cast(COLUMNS).alias("old"), F.col("columns").alias("columns")).cast(state)).alias("seed"))
-    joined = seeded.join(history, ["db", "tbl"], "left")
-
-    def step(versions, s):
-        now = F.element_at(versions, -1)
-        moved = F.struct(s["seq"].alias("from_seq"), now["columns"].alias("old"), ddl.applied(now["columns"], s["change"]).alias("columns")).cast(state)
-        return F.when(ddl.shifts(now["columns"], s["change"]), F.concat(versions, F.array(moved))).otherwise(versions)
-
-    folded = joined.withColumn("versions", F.when(F.col("steps").isNull(), F.col("seed")).otherwise(F.aggregate("steps", F.col("seed"), step)))
-    closed = F.transform("versions", lambda v, i: F.struct(v["from_seq"].alias("from_seq"), F.get("versions", i + 1)["from_seq"].alias("to_seq"), v["old"].alias("old"), v["columns"].alias("columns")))
-    each = folded.select("db", "tbl", F.posexplode(closed).alias("version", "v"))
-    return each.select("db", "tbl", F.col("version").cast("long").alias("version"), "v.from_seq", "v.to_seq", "v.old", "v.columns")
+    fields = ("action", "name", "new_name", "place", "after")
+    seeds = initial.select("db", "tbl", F.lit(True).alias("seed"), F.lit(START).cast("long").alias("seq"), F.lit(0).alias("step"), F.col("columns").cast(COLUMNS).alias("columns"), *[F.lit(None).cast("string").alias(c) for c in fields])
+    steps = changes.select("db", "tbl", F.lit(False).alias("seed"), F.col("seq").cast("long").alias("seq"), F.col("step").cast("int").alias("step"), F.lit(None).cast(COLUMNS).alias("columns"), *[F.col("change")[c].alias(c) for c in fields])
+    known = steps.filter(F.col("db").isNotNull() & F.col("tbl").isNotNull())
+    ordered = seeds.unionByName(known).repartition("db", "tbl").sortWithinPartitions("db", "tbl", F.col("seed").desc(), "seq", "step", *fields)
+    return ordered.mapInArrow(_folded, VERSIONS)
 
 
 def with_schema(rows: DataFrame, versions: DataFrame) -> DataFrame:
